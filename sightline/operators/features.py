@@ -36,6 +36,8 @@ PERCEPTION_COLUMNS = (
     "visible_before_kill",
 )
 SHOT_COLUMNS = ("arrival_shot", "arrival_delay_ms")
+#: Ticks with a known speed, and those without any motion.
+TICK_COUNTS = ("speed_ticks", "still_ticks")
 
 
 @dataclass(frozen=True)
@@ -215,6 +217,10 @@ def window_features(
             (opening == arrived).alias("arrival_shot"),
             ticks_to_ms(opening - arrived).alias("arrival_delay_ms"),
         ]
+    aggs += [
+        F.count("yaw_speed").alias("speed_ticks"),
+        F.count_if(F.col("yaw_speed") == 0).alias("still_ticks"),
+    ]
     out = rows.groupBy("window_uid").agg(*[F.first(k).alias(k) for k in keys], *aggs)
     out = out.withColumns(
         {
@@ -230,29 +236,25 @@ def window_features(
     )
     present = [
         c
-        for c in (*AIM_COLUMNS, *PERCEPTION_COLUMNS, *SHOT_COLUMNS)
+        for c in (*AIM_COLUMNS, *PERCEPTION_COLUMNS, *SHOT_COLUMNS, *TICK_COUNTS)
         if c in out.columns
     ]
     return out.select("window_uid", *keys, *present)
 
 
-def zero_motion_share(window_ticks: DataFrame) -> DataFrame:
-    return (
-        window_ticks.filter(F.col("yaw_speed").isNotNull())
-        .groupBy("session_id", "entity_id")
-        .agg(F.avg((F.col("yaw_speed") == 0).cast("int")).alias("zero_motion_share"))
-    )
-
-
 def entity_features(
     features: DataFrame,
-    window_ticks: DataFrame | None = None,
     *,
     min_kills: int = K.MIN_KILLS,
     min_arrivals: int = K.MIN_ARRIVAL_KILLS,
     quantile_method: str = "linear",
 ) -> DataFrame:
-    """Shares, extremes and typical values per (session, entity, label)."""
+    """Shares, extremes and typical values per (session, entity, label).
+
+    ``features`` is read for the aggregates and for the quantiles: stage it when it
+    is expensive. The share of motionless ticks comes from the windows' own counts,
+    so the ticks are not read again.
+    """
     keys = ["session_id", "entity_id", "label"]
     have = set(features.columns)
 
@@ -268,6 +270,9 @@ def entity_features(
         F.max("speed_at_kill").alias("snap_max"),
         share(snap).alias("snap_share"),
         F.count_if(snap & ~sniper).alias("snap_kills"),
+        F.try_divide(F.sum("still_ticks"), F.sum("speed_ticks")).alias(
+            "zero_motion_share"
+        ),
     ]
     if "weapon" in have:
         aggs.append(share(F.col("weapon").isin(*K.SNIPERS)).alias("sniper_share"))
@@ -303,18 +308,11 @@ def entity_features(
             ),
         ]
     wide = features.groupBy(*keys).agg(*aggs).filter(F.col("n_kills") >= min_kills)
-    out = wide.join(
+    return wide.join(
         feature_quantiles(features, keys, medians, method=quantile_method),
         keys,
         "left",
     )
-    if window_ticks is not None:
-        out = out.join(
-            zero_motion_share(window_ticks), ["session_id", "entity_id"], "left"
-        )
-    else:
-        out = out.withColumn("zero_motion_share", F.lit(None).cast("double"))
-    return out
 
 
 def visibility_agreement(window_ticks: DataFrame, kind: Column) -> DataFrame:

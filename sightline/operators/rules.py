@@ -14,6 +14,7 @@ from sightline.functions.labels import severity_rank
 from sightline.operators.motion import ENTITY
 from sightline.operators.ordered import CHUNK_TICKS, runs, with_halo
 from sightline.operators.quantiles import quantiles
+from sightline.session import staged
 
 EVIDENCE_COLUMNS = (
     "session_id",
@@ -296,8 +297,9 @@ def run_rules(
 ) -> DataFrame:
     """Evidence rows of every rule over all sessions at once.
 
-    ``deltas`` feeds several rules; persist it (or write it) when it is expensive.
+    Each rule reads ``deltas`` again, so it is staged once.
     """
+    deltas = staged(deltas)
     out: DataFrame | None = None
     for rule in (rules or RULES).values():
         found = rule(deltas, anchors, lines)

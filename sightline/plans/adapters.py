@@ -14,6 +14,7 @@ from sightline.operators.features import Segments
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import CHUNK_SECONDS, number_rows, time_chunk
+from sightline.session import staged
 
 PRE, POST = 8, 4
 SEGMENTS = Segments(idle=(-8, -5), engage=(-4, 0), after=(1, 4))
@@ -78,24 +79,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_deltas(samples(spark, sf_dir))
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table as ingest leaves it: written once, read by several branches."""
+    return staged(samples(spark, sf_dir))
 
 
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).filter("anchor").select(
+def deltas(s: DataFrame) -> DataFrame:
+    return entity_deltas(s)
+
+
+def anchors(s: DataFrame) -> DataFrame:
+    return s.filter("anchor").select(
         "session_id", "entity_id", "target_id", "tick", "weapon"
     )
 
 
-def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return anchor_windows(
-        deltas(spark, sf_dir),
-        anchors(spark, sf_dir),
-        pre=PRE,
-        post=POST,
-        carry=("weapon",),
-    )
+def windows(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return anchor_windows(deltas(s), anchors(s), pre=PRE, post=POST, carry=("weapon",))
 
 
 def label_of(entity: Column, session: Column) -> Column:
@@ -145,7 +145,9 @@ DELTAS_SQL = (
 lagged AS (
   SELECT *,
     tick - lag(tick) OVER w AS d_tick,
-    ((((yaw - lag(yaw) OVER w) + 180) % 360) + 360) % 360 - 180 AS d_yaw,
+    CASE WHEN (yaw - lag(yaw) OVER w + 180) % 360 < 0
+      THEN ((yaw - lag(yaw) OVER w + 180) % 360 + 360) % 360
+      ELSE (yaw - lag(yaw) OVER w + 180) % 360 END - 180 AS d_yaw,
     pitch - lag(pitch) OVER w AS d_pitch,
     is_alive AND lag(is_alive) OVER w AND NOT is_freeze
       AND NOT lag(is_freeze) OVER w AS live
@@ -174,3 +176,57 @@ cut AS (
 wt AS (SELECT * FROM cut WHERE n_rows = 13),
 win AS (SELECT k.* FROM kills k WHERE window_uid IN (SELECT window_uid FROM wt))"""
 )
+
+
+# --- meshes -----------------------------------------------------------------------
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One triangle per embedding, spread over the samples' positions at eye height."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def dim(i: int) -> Column:
+        return F.element_at("embedding", i).cast("double")
+
+    centre = [250 + dim(1) * 1500, 500 + dim(2) * 3000, 94 + dim(3) * 150]
+    corners = {}
+    for a, c, p, q in zip("xyz", centre, (4, 5, 6), (7, 8, 9), strict=True):
+        corners[f"a{a}"] = c
+        corners[f"b{a}"] = c + dim(p) * 150
+        corners[f"c{a}"] = c + dim(q) * 150
+    return e.select(
+        (F.col("vec_id") % 2).alias("map"),
+        F.col("vec_id").alias("tri_id"),
+        *[c.alias(n) for n, c in corners.items()],
+    )
+
+
+def with_map(df: DataFrame) -> DataFrame:
+    return df.withColumn("map", F.col("session_id") % 2)
+
+
+VOXEL = 60.0
+
+MESH_SQL = """
+ev AS (SELECT vec_id, vec_id % 2 AS map, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+tri AS (SELECT map, vec_id AS tri_id,
+    250 + e[1] * 1500 AS ax, 500 + e[2] * 3000 AS ay, 94 + e[3] * 150 AS az,
+    250 + e[1] * 1500 + e[4] * 150 AS bx, 500 + e[2] * 3000 + e[5] * 150 AS by_, 94 + e[3] * 150 + e[6] * 150 AS bz,
+    250 + e[1] * 1500 + e[7] * 150 AS cx, 500 + e[2] * 3000 + e[8] * 150 AS cy, 94 + e[3] * 150 + e[9] * 150 AS cz
+  FROM ev),
+tedge AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM tri)"""
+
+
+def blocked_sql(source: str, keys: str, near: float = 8.0) -> str:
+    """CTEs ``hit`` and ``blocked`` by brute force over ``source`` (map, o*, d*, dist)."""
+    return f"""
+crossed AS (SELECT s.*, t.tri_id, t.ux, t.uy, t.uz, t.vx, t.vy, t.vz,
+    s.dy * t.vz - s.dz * t.vy AS hx, s.dz * t.vx - s.dx * t.vz AS hy, s.dx * t.vy - s.dy * t.vx AS hz,
+    s.ox - t.ax AS sx, s.oy - t.ay AS sy, s.oz - t.az AS sz
+  FROM {source} s JOIN tedge t ON s.map = t.map),
+det AS (SELECT *, ux * hx + uy * hy + uz * hz AS a,
+    sy * uz - sz * uy AS qx, sz * ux - sx * uz AS qy, sx * uy - sy * ux AS qz FROM crossed),
+hit AS (SELECT *, (sx * hx + sy * hy + sz * hz) / a AS u, (dx * qx + dy * qy + dz * qz) / a AS v,
+    (vx * qx + vy * qy + vz * qz) / a AS t FROM det WHERE abs(a) > 1e-12),
+blocked AS (SELECT DISTINCT {keys} FROM hit
+  WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t > 0 AND t * dist < dist - {near})"""

@@ -25,7 +25,7 @@ from sightline.plans.registry import query
     f"WITH {A.DELTAS_SQL} SELECT * FROM deltas",
 )
 def entity_deltas(spark, d):
-    return A.deltas(spark, d)
+    return A.deltas(A.samples(spark, d))
 
 
 @query(
@@ -42,7 +42,7 @@ FROM r WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 2""",
 def runs_above(spark, d):
     speed = F.col("yaw_speed")
     return runs(
-        A.deltas(spark, d),
+        A.deltas(A.samples(spark, d)),
         M.ENTITY,
         "seq",
         speed > 4000,
@@ -69,7 +69,7 @@ FROM r WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 4"""
     "session_id:l entity_id:l tick_start:l tick_end:l length:l peak:d", _ROLLING_SQL
 )
 def rolling_median_runs(spark, d):
-    return R.sustained_runs(A.deltas(spark, d), 2000.0, 4)
+    return R.sustained_runs(A.deltas(A.samples(spark, d)), 2000.0, 4)
 
 
 _FLIP_SQL = f"""{A.DELTAS_SQL},
@@ -88,7 +88,7 @@ SELECT session_id, entity_id, min(tick) AS tick_start, max(tick) AS tick_end,
 FROM flr WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 2""",
 )
 def alternating_runs(spark, d):
-    return R.alternating_runs(A.deltas(spark, d), 60.0, 2)
+    return R.alternating_runs(A.deltas(A.samples(spark, d)), 60.0, 2)
 
 
 @query(
@@ -98,7 +98,8 @@ SELECT session_id, entity_id, tick, yaw_speed FROM deltas
 WHERE anchor AND yaw_speed > 2210""",
 )
 def anchor_spike(spark, d):
-    found = R.anchor_speeds(A.deltas(spark, d), A.anchors(spark, d))
+    s = A.stored_samples(spark, d)
+    found = R.anchor_speeds(A.deltas(s), A.anchors(s))
     return found.filter(F.col("yaw_speed") > 2210)
 
 
@@ -246,7 +247,7 @@ FROM rows_ r ASOF LEFT JOIN places p
   ON r.session_id = p.session_id AND r.entity_id = p.entity_id AND r.tick >= p.tick""",
 )
 def asof_by_key(spark, d):
-    s = A.samples(spark, d)
+    s = A.stored_samples(spark, d)
     rows = s.filter("anchor").select(
         "session_id",
         F.col("target_id").alias("entity_id"),
@@ -289,7 +290,7 @@ SELECT s.session_id, s.entity_id, s.tick, iv.number FROM samples s JOIN iv
 WHERE s.shot""",
 )
 def interval_of_event(spark, d):
-    s = A.samples(spark, d)
+    s = A.stored_samples(spark, d)
     return J.in_interval(s.filter("shot"), _intervals(s))
 
 
@@ -301,7 +302,7 @@ SELECT s.session_id, s.entity_id, s.tick, min(iv.number) AS number FROM samples
 WHERE s.shot GROUP BY 1, 2, 3""",
 )
 def interval_before_end(spark, d):
-    s = A.samples(spark, d)
+    s = A.stored_samples(spark, d)
     return J.before_interval_end(s.filter("shot"), _intervals(s))
 
 
@@ -314,7 +315,7 @@ FROM samples s JOIN iv ON s.session_id = iv.session_id
 WHERE s.anchor GROUP BY 1, 2, 3""",
 )
 def interval_clamped(spark, d):
-    s = A.samples(spark, d)
+    s = A.stored_samples(spark, d)
     return J.clamped_interval(s.filter("anchor"), _intervals(s))
 
 

@@ -15,6 +15,7 @@ from sightline.operators import reference as P
 from sightline.operators import rules as R
 from sightline.plans import adapters as A
 from sightline.plans.registry import query
+from sightline.session import staged
 
 
 @query(
@@ -22,7 +23,7 @@ from sightline.plans.registry import query
     f"WITH {A.WINDOWS_SQL} SELECT * FROM wt",
 )
 def anchor_windows(spark, d):
-    return A.windows(spark, d)[1]
+    return A.windows(A.stored_samples(spark, d))[1]
 
 
 AIM_SQL = """
@@ -63,7 +64,7 @@ _AIM_COLUMNS = (
 
 @query(_AIM_COLUMNS, f"WITH {A.WINDOWS_SQL}, {AIM_SQL} SELECT * FROM aim")
 def anchor_window_features(spark, d):
-    _, ticks = A.windows(spark, d)
+    _, ticks = A.windows(A.stored_samples(spark, d))
     return X.window_features(A.with_label(ticks.drop("shot")), A.SEGMENTS)
 
 
@@ -83,10 +84,10 @@ geo AS (SELECT *,
   FROM geo1)"""
 
 
-def geometry_ticks(spark, d):
+def geometry_ticks(s):
     """Window ticks with target geometry and the spotting flag as visibility."""
-    _, ticks = A.windows(spark, d)
-    with_target = C.add_target_geometry(ticks, A.samples(spark, d))
+    _, ticks = A.windows(s)
+    with_target = C.add_target_geometry(ticks, s)
     return A.with_label(with_target).withColumn(
         "target_visible", F.col("flag_visible")
     )
@@ -98,7 +99,7 @@ def geometry_ticks(spark, d):
     f"WITH {A.WINDOWS_SQL}, {GEO_SQL} SELECT * FROM geo",
 )
 def target_geometry(spark, d):
-    return geometry_ticks(spark, d)
+    return geometry_ticks(A.stored_samples(spark, d))
 
 
 PERCEPTION_SQL = """
@@ -118,7 +119,7 @@ perc AS (SELECT p.*, -fv / 64.0 * 1000 AS reaction_ms, fv IS NOT NULL AS visible
     f"WITH {A.WINDOWS_SQL}, {GEO_SQL}, {PERCEPTION_SQL} SELECT * FROM perc",
 )
 def perception_features(spark, d):
-    return X.window_features(geometry_ticks(spark, d), A.SEGMENTS)
+    return X.window_features(geometry_ticks(A.stored_samples(spark, d)), A.SEGMENTS)
 
 
 ARRIVAL_SQL = """
@@ -140,9 +141,8 @@ arr AS (SELECT window_uid, max(opening) AS opening,
 
 
 def shot_ticks(spark, d):
-    shots = A.samples(spark, d).filter("shot")
-    ticks = geometry_ticks(spark, d)
-    return X.mark_shots(ticks, shots)
+    s = A.stored_samples(spark, d)
+    return X.mark_shots(geometry_ticks(s), s.filter("shot"))
 
 
 @query(
@@ -204,12 +204,11 @@ ENTITY_PREFIX = (
 
 def full_features(spark, d):
     ticks = shot_ticks(spark, d)
-    return X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP), ticks
+    return staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP))
 
 
 def entities(spark, d):
-    features, ticks = full_features(spark, d)
-    return X.entity_features(features, ticks, min_arrivals=2)
+    return X.entity_features(full_features(spark, d), min_arrivals=2)
 
 
 @query(
@@ -237,7 +236,7 @@ SELECT label, kind, count(*) AS anchors, avg(vis::INT) AS visible_share,
   avg(flag::INT) AS flag_share, avg((vis = flag)::INT) AS agreement FROM v GROUP BY 1, 2""",
 )
 def visibility_agreement(spark, d):
-    ticks = geometry_ticks(spark, d).withColumn(
+    ticks = geometry_ticks(A.stored_samples(spark, d)).withColumn(
         "target_visible", F.coalesce(F.col("target_angle") <= 53, F.lit(False))
     )
     return X.visibility_agreement(ticks, weapon_kind(F.col("weapon")))
@@ -253,7 +252,8 @@ LEFT JOIN al a ON a.session_id = w.session_id AND a.tick = w.tick AND a.team = s
 JOIN al e ON e.session_id = w.session_id AND e.tick = w.tick AND e.team <> s.team""",
 )
 def alive_counts(spark, d):
-    return C.alive_counts(A.windows(spark, d)[0], A.samples(spark, d))
+    s = A.stored_samples(spark, d)
+    return C.alive_counts(A.windows(s)[0], s)
 
 
 @query(
@@ -266,9 +266,8 @@ SELECT w.window_uid, (w.tick - f.t) / 64.0 * 1000 AS victim_fired_ms_ago
 FROM win w LEFT JOIN f USING (window_uid)""",
 )
 def lookback_last_event(spark, d):
-    return C.fired_recently(
-        A.windows(spark, d)[0], A.samples(spark, d).filter("shot"), span=A.SPAN
-    )
+    s = A.stored_samples(spark, d)
+    return C.fired_recently(A.windows(s)[0], s.filter("shot"), span=A.SPAN)
 
 
 @query(
@@ -285,12 +284,9 @@ SELECT w.window_uid, h.window_uid IS NOT NULL AS victim_was_running
 FROM win w LEFT JOIN h USING (window_uid)""",
 )
 def lookback_moving(spark, d):
+    s = A.stored_samples(spark, d)
     return C.ran_nearby(
-        A.windows(spark, d)[0],
-        A.samples(spark, d),
-        span=A.SPAN,
-        speed=20000.0,
-        reach=150.0,
+        A.windows(s)[0], s, span=A.SPAN, speed=20000.0, reach=150.0
     )
 
 
@@ -307,7 +303,7 @@ SELECT *, CASE WHEN target_distance > 0 THEN degrees(acos(greatest(-1.0, least(1
      - sin(radians(pitch)) * dz) / target_distance)))) END AS target_angle FROM q""",
 )
 def opposing_pairs(spark, d):
-    s = A.samples(spark, d)
+    s = A.stored_samples(spark, d)
     live = s.filter(
         (F.col("tick") % K.REPLAY_SAMPLE_TICKS == 0)
         & F.col("is_alive")
@@ -363,7 +359,8 @@ evidence AS (
 
 
 def evidence(spark, d):
-    return R.run_rules(A.deltas(spark, d), A.anchors(spark, d), lines=LINES)
+    s = A.stored_samples(spark, d)
+    return R.run_rules(A.deltas(s), A.anchors(s), lines=LINES)
 
 
 @query(
@@ -448,8 +445,9 @@ SELECT l.*, count(*) AS entities, count(*) FILTER (sustained_speed > spin_speed_
 FROM ex, l GROUP BY ALL""",
 )
 def threshold_calibration(spark, d):
-    extremes = R.entity_extremes(A.deltas(spark, d), A.anchors(spark, d), sustain=4)
-    return R.calibrate(extremes)
+    s = A.stored_samples(spark, d)
+    moved = staged(A.deltas(s))
+    return R.calibrate(staged(R.entity_extremes(moved, A.anchors(s), sustain=4)))
 
 
 # --- populations --------------------------------------------------------------------
@@ -461,7 +459,8 @@ SELECT label, t_ms, quantile_cont(yaw_speed, 0.5) AS lo, avg(yaw_speed) AS mid,
   quantile_cont(yaw_speed, 0.9) AS hi FROM wt GROUP BY 1, 2""",
 )
 def time_profile(spark, d):
-    return E.time_profile(A.with_label(A.windows(spark, d)[1]))
+    ticks = A.with_label(A.windows(A.stored_samples(spark, d))[1])
+    return E.time_profile(staged(ticks.select("label", "t_ms", "yaw_speed")))
 
 
 _SEPARATED = ("peak_speed_engage", "speed_at_kill", "straightness", "corrections")
@@ -482,9 +481,9 @@ a AS (SELECT feature, quantile_cont(v, 0.5) FILTER (label = 'cheater') AS cheate
 SELECT *, abs(auc - 0.5) AS separation FROM a""",
 )
 def feature_separation(spark, d):
-    _, ticks = A.windows(spark, d)
+    _, ticks = A.windows(A.stored_samples(spark, d))
     aim = X.window_features(A.with_label(ticks.drop("shot")), A.SEGMENTS)
-    return E.feature_separation(aim, _SEPARATED)
+    return E.feature_separation(staged(aim), _SEPARATED)
 
 
 BASELINE_FEATURES = (
@@ -541,7 +540,7 @@ escore AS (SELECT session_id, entity_id, label, count(*) AS n_windows, avg(score
 
 def window_scores(spark, d):
     """A fixed logistic score per window, standing in for a trained model."""
-    _, ticks = A.windows(spark, d)
+    _, ticks = A.windows(A.stored_samples(spark, d))
     aim = X.window_features(A.with_label(ticks.drop("shot")), A.SEGMENTS)
     return aim.withColumn(
         "score",
@@ -574,7 +573,7 @@ SELECT g.*, (SELECT count(*) FROM escore WHERE label = 'clean') AS n_clean,
   (SELECT count(*) FROM escore WHERE label = 'cheater') AS n_cheater FROM g""",
 )
 def score_quantile_grid(spark, d):
-    scores = P.entity_scores(window_scores(spark, d))
+    scores = staged(P.entity_scores(window_scores(spark, d)))
     return P.score_reference(scores, levels=GRID)
 
 
@@ -586,7 +585,7 @@ SELECT e.session_id, e.entity_id, e.n_windows, e.score, n_windows >= 5 AS enough
   coalesce((SELECT max(level) FROM g WHERE cut <= e.score), 0) AS percentile FROM escore e""",
 )
 def clean_percentile(spark, d):
-    scores = P.entity_scores(window_scores(spark, d))
+    scores = staged(P.entity_scores(window_scores(spark, d)))
     return P.place_scores(scores, P.score_reference(scores, levels=GRID))
 
 
@@ -598,5 +597,5 @@ SELECT session_id, entity_id, count(*) AS n_windows, avg(score) AS score_mean, m
   avg(score) FILTER (rn <= 5) AS score_topk FROM r GROUP BY 1, 2""",
 )
 def topk_scores(spark, d):
-    return P.topk_scores(window_scores(spark, d), k=5)
+    return P.topk_scores(staged(window_scores(spark, d)), k=5)
 

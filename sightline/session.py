@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "sightline") -> SparkSession.Builder:
@@ -28,3 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = shared or tempfile.mkdtemp(prefix="sightline-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    It lives in the checkpoint folder, so a lost executor costs a re-read and not a
+    re-computation; as Parquet it stays prunable and its size is known to the
+    optimizer.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
