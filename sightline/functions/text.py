@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from sightline import constants as K
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with ``digits`` decimals; exact ties go to the even digit."""
+    value = value.cast("double")
+    halves = value * float(2 ** (digits + 1))
+    # only eighths, quarters and halves can be exact binary ties
+    tie = (F.floor(halves) == halves) & (F.pmod(halves, F.lit(2.0)) == 1.0)
+    return F.format_string(
+        f"%.{digits}f", F.when(tie, F.bround(value, digits)).otherwise(value)
+    )
+
+
 def number(value: Column) -> Column:
     """A measurement as displayed: 0, whole from 100, one decimal from 1, else two."""
     size = F.abs(value)
     return (
         F.when(value == 0, "0")
-        .when(size >= 100, F.format_string("%.0f", value))
-        .when(size >= 1, F.format_string("%.1f", value))
-        .otherwise(F.format_string("%.2f", value))
+        .when(size >= 100, fixed(value, 0))
+        .when(size >= 1, fixed(value, 1))
+        .otherwise(fixed(value, 2))
     )
 
 
@@ -48,7 +59,7 @@ def header_text(value: Column, size: int = 128) -> Column:
 
 
 def seconds(ms: Column) -> Column:
-    return F.format_string("%.1f", ms / 1000)
+    return fixed(ms / 1000, 1)
 
 
 def context_sentence(

@@ -7,6 +7,7 @@ chunks, never over all rows in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -104,18 +105,18 @@ def bootstrap_auc(
 ) -> DataFrame:
     """90% interval of the AUC by a Poisson bootstrap.
 
-    Each row's weight in a replicate is drawn from a hash of (row, replicate), so a
+    Each row's weight in a replicate is drawn from a digest of (key, replicate), so a
     retried task draws the same weights.
     """
     tall = rows.select(
         score.alias("_score"),
         positive.alias("_positive"),
-        key.alias("_key"),
+        key.cast("string").alias("_key"),
         F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"),
     )
-    key = F.col("_key")
-    draw = F.pmod(F.xxhash64(key, F.col("replicate"), F.lit(seed)), F.lit(1 << 30))
-    drawn = tall.withColumn("w", _poisson(draw / F.lit(float(1 << 30))))
+    digest = F.md5(F.concat_ws("/", "_key", "replicate", F.lit(seed)))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = tall.withColumn("w", poisson_weight(u))
     hist = score_histogram(
         drawn.filter(F.col("w") > 0),
         F.col("_score"),
@@ -129,16 +130,24 @@ def bootstrap_auc(
     )
 
 
-def _poisson(u: Column) -> Column:
-    """Inverse of the Poisson(1) distribution function, cut off beyond 1e-9."""
-    out, mass, cumulative = F.lit(0), 0.36787944117144233, 0.0
-    for n in range(12):
+def poisson_steps(terms: int = 12) -> list[float]:
+    """Poisson(1) distribution function at 0, 1, 2, ... (beyond it 1e-9 is left)."""
+    out, mass, cumulative = [], math.exp(-1.0), 0.0
+    for n in range(terms):
         cumulative += mass
-        out = out + F.when(u >= cumulative, 1).otherwise(0)
+        out.append(cumulative)
         mass /= n + 1
     return out
 
 
+def poisson_weight(u: Column) -> Column:
+    """How often a row is drawn, from a uniform number."""
+    weight = F.lit(0)
+    for step in poisson_steps():
+        weight = weight + F.when(u >= step, 1).otherwise(0)
+    return weight
+
+
 def feature_separation(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: medians by label and the single-feature AUC."""
     labelled = features.filter(F.col("label").isin("cheater", "clean"))
@@ -460,7 +469,7 @@ def marks_gate(
     ).drop("_clean")
 
 
-def measurement_check(rows: DataFrame, entities: Column) -> DataFrame:
+def measurement_check(rows: DataFrame) -> DataFrame:
     """Per parsed measurement: how many were shown and how many are past each line."""
     below = F.col("side") == "below"
 
@@ -477,10 +486,5 @@ def measurement_check(rows: DataFrame, entities: Column) -> DataFrame:
         F.max("notable").alias("notable"),
         F.max("strong").alias("strong"),
     )
-    return out.withColumns(
-        {
-            "of_shown": F.try_divide(F.col("past95"), F.col("shown")),
-            "of_all": F.try_divide(F.col("past95"), entities),
-        }
-    )
+    return out.withColumn("of_shown", F.try_divide(F.col("past95"), F.col("shown")))
 

@@ -281,7 +281,7 @@ moves AS (SELECT mv.* FROM mv ANTI JOIN blocked b ON b.map = mv.map AND b."row"
     f"WITH {_MOVES_SQL} SELECT * FROM moves",
 )
 def floor_moves(spark, d):
-    moves = _moves(spark, d, _floors(spark, d))
+    moves = _moves(spark, d, staged(_floors(spark, d)))
     return moves.select(
         "src.*",
         F.col("dst.row").alias("row2"),
@@ -304,7 +304,7 @@ reach AS (SELECT map, "row", col, z FROM sf UNION
 SELECT * FROM reach""",
 )
 def reachability(spark, d):
-    floors = _floors(spark, d)
+    floors = staged(_floors(spark, d))
     seeds = (
         A.mesh(spark, d)
         .filter(F.col("az") > 100)

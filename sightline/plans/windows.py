@@ -140,8 +140,7 @@ arr AS (SELECT window_uid, max(opening) AS opening,
   FROM ar2 GROUP BY 1)"""
 
 
-def shot_ticks(spark, d):
-    s = A.stored_samples(spark, d)
+def shot_ticks(s):
     return X.mark_shots(geometry_ticks(s), s.filter("shot"))
 
 
@@ -152,7 +151,7 @@ SELECT window_uid, opening = arrived AS arrival_shot,
   (opening - arrived) / 64.0 * 1000 AS arrival_delay_ms FROM arr""",
 )
 def arrival_features(spark, d):
-    return X.window_features(shot_ticks(spark, d), A.SEGMENTS, burst_gap=A.BURST_GAP)
+    return X.window_features(shot_ticks(A.stored_samples(spark, d)), A.SEGMENTS, burst_gap=A.BURST_GAP)
 
 
 @query(
@@ -164,7 +163,7 @@ FROM (SELECT * FROM ar2 WHERE tick_offset = 0) k
 LEFT JOIN (SELECT * FROM ar2 WHERE enters AND tick_offset <= opening) a USING (window_uid)""",
 )
 def arrival_rows(spark, d):
-    return X.arrival_table(shot_ticks(spark, d), A.BURST_GAP)
+    return X.arrival_table(shot_ticks(A.stored_samples(spark, d)), A.BURST_GAP)
 
 
 ENTITY_SQL = """
@@ -202,13 +201,13 @@ ENTITY_PREFIX = (
 )
 
 
-def full_features(spark, d):
-    ticks = shot_ticks(spark, d)
+def full_features(s):
+    ticks = shot_ticks(s)
     return staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP))
 
 
-def entities(spark, d):
-    return X.entity_features(full_features(spark, d), min_arrivals=2)
+def entities(s):
+    return X.entity_features(full_features(s), min_arrivals=2)
 
 
 @query(
@@ -222,7 +221,7 @@ def entities(spark, d):
     f"{ENTITY_PREFIX} SELECT * FROM entities",
 )
 def entity_features(spark, d):
-    return entities(spark, d)
+    return entities(A.stored_samples(spark, d))
 
 
 @query(
@@ -327,48 +326,43 @@ _RUN = """(SELECT session_id, entity_id, sum(ch) OVER (PARTITION BY session_id,
   hit, tick, v FROM (SELECT *, CASE WHEN hit IS DISTINCT FROM lag(hit) OVER (
     PARTITION BY session_id, entity_id ORDER BY tick) THEN 1 ELSE 0 END AS ch FROM {src}))"""
 
-EVIDENCE_SQL = (
-    A.DELTAS_SQL
-    + """,
-spin0 AS (SELECT *, coalesce(v > 2000, false) AS hit FROM (SELECT *,
-    CASE WHEN count(*) OVER w = 4 THEN median(coalesce(yaw_speed, 0)) OVER w END AS v
-  FROM deltas WINDOW w AS (PARTITION BY session_id, entity_id ORDER BY tick ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))),
-flip0 AS (SELECT *, abs(d_yaw) AS v, coalesce(abs(d_yaw) > 60 AND sign(d_yaw) <> lag(sign(d_yaw)) OVER w, false) AS hit
+def evidence_sql(lines: R.Lines) -> str:
+    rows = lines.spin_min_ticks
+    return f"""{A.DELTAS_SQL},
+spin0 AS (SELECT *, coalesce(v > {lines.spin_speed_dps}, false) AS hit FROM (SELECT *,
+    CASE WHEN count(*) OVER w = {rows} THEN median(coalesce(yaw_speed, 0)) OVER w END AS v
+  FROM deltas WINDOW w AS (PARTITION BY session_id, entity_id ORDER BY tick ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW))),
+flip0 AS (SELECT *, abs(d_yaw) AS v, coalesce(abs(d_yaw) > {lines.alias_min_step_deg} AND sign(d_yaw) <> lag(sign(d_yaw)) OVER w, false) AS hit
   FROM deltas WINDOW w AS (PARTITION BY session_id, entity_id ORDER BY tick)),
-pitch0 AS (SELECT *, abs(pitch) AS v, abs(pitch) > 85 AS hit FROM deltas),
+pitch0 AS (SELECT *, abs(pitch) AS v, abs(pitch) > {lines.max_pitch_deg} AS hit FROM deltas),
 evidence AS (
   SELECT session_id, entity_id, 'spinbot' AS trigger, 'sustained_spin' AS name, min(tick) AS tick_start,
     max(tick) AS tick_end, round(max(v), 1) AS value, 'impossible' AS severity
-  FROM """
-    + _RUN.format(src="spin0")
-    + """ WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 4
+  FROM {_RUN.format(src="spin0")} WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= {rows}
   UNION ALL
   SELECT session_id, entity_id, 'aliased_spin', 'aliased_spin', min(tick), max(tick), count(*), 'impossible'
-  FROM """
-    + _RUN.format(src="flip0")
-    + """ WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 2
+  FROM {_RUN.format(src="flip0")} WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= {lines.alias_min_ticks}
   UNION ALL
   SELECT session_id, entity_id, 'kill_tick_snap', 'kill_tick_snap', tick - 64, tick + 32, round(yaw_speed, 1), 'strong'
-  FROM deltas WHERE anchor AND yaw_speed > 2210
+  FROM deltas WHERE anchor AND yaw_speed > {lines.snap_speed_dps}
   UNION ALL
   SELECT session_id, entity_id, 'impossible_pitch', 'impossible_pitch', min(tick), max(tick), round(max(v), 2), 'impossible'
-  FROM """
-    + _RUN.format(src="pitch0")
-    + """ WHERE hit GROUP BY session_id, entity_id, run)"""
-)
+  FROM {_RUN.format(src="pitch0")} WHERE hit GROUP BY session_id, entity_id, run)"""
 
 
-def evidence(spark, d):
-    s = A.stored_samples(spark, d)
-    return R.run_rules(A.deltas(s), A.anchors(s), lines=LINES)
+EVIDENCE_SQL = evidence_sql(LINES)
+
+
+def evidence(s, lines=LINES):
+    return R.run_rules(A.deltas(s), A.anchors(s), lines=lines)
 
 
 @query(
     "session_id:l entity_id:l trigger:s name:s tick_start:l tick_end:l value:d severity:s",
     f"WITH {EVIDENCE_SQL} SELECT * FROM evidence",
 )
-def rule_evidence(spark, d):
-    return evidence(spark, d)
+def rule_evidence(A.stored_samples(spark, d)):
+    return evidence(A.stored_samples(spark, d))
 
 
 HITS_SQL = """
@@ -390,7 +384,7 @@ SELECT label, count(*) AS entities, avg((spinbot > 0)::INT) AS spinbot,
 FROM hits GROUP BY 1""",
 )
 def rule_hit_rates(spark, d):
-    hits = R.rule_hits(evidence(spark, d), A.roster(spark, d))
+    hits = R.rule_hits(evidence(A.stored_samples(spark, d)), A.roster(spark, d))
     return R.rule_hit_rates(hits)
 
 
@@ -402,7 +396,7 @@ SELECT count(*) FILTER (any_rule AND label <> 'unknown') AS flagged,
   count(*) FILTER (any_rule AND label = 'clean') AS clean_flagged FROM hits""",
 )
 def flag_precision(spark, d):
-    return R.flag_precision(R.rule_hits(evidence(spark, d), A.roster(spark, d)))
+    return R.flag_precision(R.rule_hits(evidence(A.stored_samples(spark, d)), A.roster(spark, d)))
 
 
 @query(
@@ -419,7 +413,7 @@ p AS (SELECT session_id, entity_id, name, episodes, severity, value, at_tick AS
 SELECT * FROM p WHERE place <= 3""",
 )
 def worst_rule_hits(spark, d):
-    return R.worst_hits(evidence(spark, d))
+    return R.worst_hits(evidence(A.stored_samples(spark, d)))
 
 
 @query(
@@ -521,7 +515,7 @@ lines AS (SELECT feature,
     f"{ENTITY_PREFIX}, {REFERENCE_SQL} SELECT * FROM baselines",
 )
 def clean_baselines(spark, d):
-    return P.clean_baselines(entities(spark, d), BASELINE_FEATURES)
+    return P.clean_baselines(entities(A.stored_samples(spark, d)), BASELINE_FEATURES)
 
 
 @query(
@@ -529,7 +523,7 @@ def clean_baselines(spark, d):
     f"{ENTITY_PREFIX}, {REFERENCE_SQL} SELECT * FROM lines",
 )
 def clean_lines(spark, d):
-    return P.clean_lines(entities(spark, d), BASELINE_FEATURES)
+    return P.clean_lines(entities(A.stored_samples(spark, d)), BASELINE_FEATURES)
 
 
 SCORE_SQL = """
