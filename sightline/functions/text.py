@@ -9,24 +9,17 @@ from sightline import constants as K
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """A number with ``digits`` decimals; exact ties go to the even digit."""
-    value = value.cast("double")
-    halves = value * float(2 ** (digits + 1))
-    # only eighths, quarters and halves can be exact binary ties
-    tie = (F.floor(halves) == halves) & (F.pmod(halves, F.lit(2.0)) == 1.0)
-    return F.format_string(
-        f"%.{digits}f", F.when(tie, F.bround(value, digits)).otherwise(value)
-    )
+    """A number with ``digits`` decimals, rounded half to even on its exact value."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
 def number(value: Column) -> Column:
     """A measurement as displayed: 0, whole from 100, one decimal from 1, else two."""
     size = F.abs(value)
-    return (
-        F.when(value == 0, "0")
-        .when(size >= 100, fixed(value, 0))
-        .when(size >= 1, fixed(value, 1))
-        .otherwise(fixed(value, 2))
+    pattern = F.when(size >= 100, "0").when(size >= 1, "0.0").otherwise("0.00")
+    return F.when(value == 0, "0").otherwise(
+        F.call_function("format_number", value.cast("double"), pattern)
     )
 
 
@@ -35,9 +28,11 @@ def shown(value: Column) -> Column:
     return number(value).cast("double")
 
 
-def percent(value: Column) -> Column:
-    """The displayed share as a whole percentage."""
-    return F.concat(F.bround(shown(value) * 100).cast("int").cast("string"), F.lit("%"))
+def as_percent(figure: Column) -> Column:
+    """A displayed share (``number``'s text) as a whole percentage."""
+    return F.concat(
+        F.bround(figure.cast("double") * 100).cast("int").cast("string"), F.lit("%")
+    )
 
 
 def plain(value: Column, kind: str) -> Column:

@@ -219,26 +219,85 @@ def _point(reason: Column, weight: Column, kind: Column, from_rule: bool) -> Col
     )
 
 
-def _check_point(feature: str, higher: bool, kind: str, sentence: str) -> Column:
-    value = F.col("features")[feature]
-    line = F.col("lines")[feature]
-    base = F.coalesce(F.col("baselines")[feature], line["notable"])
-    found = level(
-        T.shown(value),
-        T.shown(line["notable"]),
-        T.shown(line["strong"]),
-        F.lit(higher),
-    )
-    show = T.percent if feature.endswith("_share") else T.number
-    head, rest = sentence.split("{value}")
-    middle, tail = rest.split("{base}")
-    reason = F.concat(
-        F.lit(head), show(value), F.lit(middle), show(base), F.lit(tail)
+def _measurements(features: Sequence[str]) -> Column:
+    """Measurements of the case next to the reference: an array of structs.
+
+    One lambda then serves every measurement, which keeps the plan small.
+    """
+    rows = []
+    for f in features:
+        said, direction = K.FEATURE_LABELS[f]
+        line = F.col("lines")[f]
+        rows.append(
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.lit(said).alias("said"),
+                F.lit(direction).alias("direction"),
+                F.col("features")[f].alias("value"),
+                F.col("baselines")[f].alias("base"),
+                line["notable"].alias("notable"),
+                line["strong"].alias("strong"),
+            )
+        )
+    return F.transform(
+        F.filter(F.array(*rows), lambda r: r["value"].isNotNull()),
+        lambda r: F.struct(
+            r["feature"].alias("feature"),
+            r["said"].alias("said"),
+            r["direction"].alias("direction"),
+            T.number(r["value"]).alias("value"),
+            T.number(r["base"]).alias("base"),
+            T.number(r["notable"]).alias("notable"),
+            T.number(r["strong"]).alias("strong"),
+        ),
     )
-    weight = F.when(found == "strong", K.WEIGHTS["strong"]).otherwise(
-        K.WEIGHTS["notable"]
+
+
+def _check_points() -> Column:
+    """A point for every check whose displayed value is past its displayed line."""
+    table = F.create_map(
+        *[
+            part
+            for feature, higher, kind, sentence in K.CHECKS
+            for part in (
+                F.lit(feature),
+                F.struct(
+                    F.lit(higher).alias("higher"),
+                    F.lit(kind).alias("kind"),
+                    F.lit(sentence).alias("sentence"),
+                ),
+            )
+        ]
     )
-    return F.when(found.isNotNull(), _point(reason, weight, F.lit(kind), False))
+
+    def point(m: Column) -> Column:
+        check = table[m["feature"]]
+        share = m["feature"].endswith("_share")
+        value, base = m["value"], F.coalesce(m["base"], m["notable"])
+        found = level(
+            value.cast("double"),
+            m["notable"].cast("double"),
+            m["strong"].cast("double"),
+            check["higher"],
+        )
+        reason = F.replace(
+            F.replace(
+                check["sentence"],
+                F.lit("{value}"),
+                F.when(share, T.as_percent(value)).otherwise(value),
+            ),
+            F.lit("{base}"),
+            F.when(share, T.as_percent(base)).otherwise(base),
+        )
+        weight = F.when(found == "strong", K.WEIGHTS["strong"]).otherwise(
+            K.WEIGHTS["notable"]
+        )
+        return F.when(found.isNotNull(), _point(reason, weight, check["kind"], False))
+
+    shown = F.filter(
+        _measurements([c[0] for c in K.CHECKS]), lambda m: m["notable"].isNotNull()
+    )
+    return F.array_compact(F.transform(shown, point))
 
 
 def aimed_through_cover(m: Column) -> Column:
@@ -292,10 +351,9 @@ def _rule_points() -> Column:
 
 def evidence_points() -> Column:
     """Points worth citing, heaviest first; equal weights keep their order."""
-    checks = F.array_compact(
-        F.array(*[_check_point(*c) for c in K.CHECKS], _awareness_point())
+    every = F.concat(
+        _check_points(), F.array_compact(F.array(_awareness_point())), _rule_points()
     )
-    every = F.concat(checks, _rule_points())
     placed = F.transform(
         every,
         lambda p, i: F.struct((-p["weight"]).alias("w"), i.alias("i"), p.alias("p")),
@@ -420,8 +478,8 @@ def guard(
     """
     visible = set(features_for(generation))
     hidden = [f for f in K.FEATURE_LABELS if f not in visible]
-    seen = cases.withColumn(
-        "features", F.map_filter("features", lambda k, v: ~k.isin(hidden) if hidden else F.lit(True))
+    seen = cases.withColumn("_whole", F.col("features")).withColumn(
+        "features", F.map_filter("features", lambda k, v: ~k.isin(hidden))
     )
     seen = seen.withColumn("_counted", counted(evidence_points()))
     lines = F.filter("_counted", lambda p: ~p["from_rule"])
@@ -464,40 +522,36 @@ def guard(
             "held_note": F.when(held, note),
         }
     )
-    # the caller's own measurements come back, not the reduced ones
-    return out.drop("_counted", "features").join(
-        cases.select(*ENTITY, "features"), list(ENTITY)
-    ) if hidden else out.drop("_counted")
+    # the caller's own measurements stay as they were
+    return out.drop("_counted", "features").withColumnRenamed("_whole", "features")
 
 
 # --- text -------------------------------------------------------------------------
 
 
-def _measurement_line(feature: str) -> Column:
-    said, direction = K.FEATURE_LABELS[feature]
-    value = F.col("features")[feature]
-    base, line = F.col("baselines")[feature], F.col("lines")[feature]
-    side = "below" if direction == "higher" else "above"
-    edges = F.concat(
-        F.lit(" (clean "),
-        T.number(base),
-        F.lit(f"; 95% of clean players are {side} "),
-        T.number(line["notable"]),
-        F.lit(f", 99% {side} "),
-        T.number(line["strong"]),
-        F.lit(")"),
-    )
-    plain = F.concat(
-        F.lit(" (clean "), T.number(base), F.lit(f", {direction} is suspicious)")
-    )
-    tail = (
-        F.when(base.isNotNull() & line.isNotNull(), edges)
-        .when(base.isNotNull(), plain)
-        .otherwise("")
-    )
-    return F.when(
-        value.isNotNull(), F.concat(F.lit(f"- {said}: "), T.number(value), tail)
-    )
+def _measurement_lines(features: Sequence[str]) -> Column:
+    def line(m: Column) -> Column:
+        side = F.when(m["direction"] == "higher", "below").otherwise("above")
+        edges = F.concat(
+            F.lit(" (clean "),
+            m["base"],
+            F.lit("; 95% of clean players are "),
+            side,
+            F.lit(" "),
+            m["notable"],
+            F.lit(", 99% "),
+            side,
+            F.lit(" "),
+            m["strong"],
+            F.lit(")"),
+        )
+        plain = F.concat(
+            F.lit(" (clean "), m["base"], F.lit(", "), m["direction"], F.lit(" is suspicious)")
+        )
+        tail = F.coalesce(edges, plain, F.lit(""))
+        return F.concat(F.lit("- "), m["said"], F.lit(": "), m["value"], tail)
+
+    return F.transform(_measurements(features), line)
 
 
 def _moment_lines(m: Column, n: Column) -> Column:
@@ -590,9 +644,7 @@ def render_case(generation: int = K.LATEST_FORMAT) -> Column:
         F.coalesce(F.concat(F.lit(" on "), place), F.lit("")),
         F.coalesce(F.concat(F.lit(", lobby rank "), rank), F.lit("")),
     )
-    measured = F.array_compact(
-        F.array(*[_measurement_line(f) for f in features_for(generation)])
-    )
+    measured = _measurement_lines(features_for(generation))
     rules = F.transform(
         "rule_evidence",
         lambda e: F.concat(

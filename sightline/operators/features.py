@@ -129,11 +129,15 @@ def _with_reversals(df: DataFrame, seg: Segments) -> DataFrame:
     )
 
 
-def with_arrivals(window_ticks: DataFrame, burst_gap: int = K.BURST_GAP) -> DataFrame:
+def with_arrivals(
+    window_ticks: DataFrame,
+    burst_gap: int = K.BURST_GAP,
+    radius: float = K.HEAD_RADIUS,
+) -> DataFrame:
     """Per row: ``arrives`` (the view came onto the head by its own motion), the
     window's ``opening`` shot, ``sweep`` and ``closure`` of the angle."""
     w = W.partitionBy("window_uid").orderBy("tick_offset")
-    head = on_head(F.col("target_angle"), F.col("target_distance"))
+    head = on_head(F.col("target_angle"), F.col("target_distance"), radius)
     sweep = sweep_speed(F.col("d_yaw"), F.col("d_pitch"), F.col("pitch"))
     shot_at = F.when(F.col("shot") & (F.col("tick_offset") <= 0), F.col("tick_offset"))
     rows = window_ticks.withColumns(
@@ -168,13 +172,17 @@ def with_arrivals(window_ticks: DataFrame, burst_gap: int = K.BURST_GAP) -> Data
     )
 
 
-def arrival_table(window_ticks: DataFrame, burst_gap: int = K.BURST_GAP) -> DataFrame:
+def arrival_table(
+    window_ticks: DataFrame,
+    burst_gap: int = K.BURST_GAP,
+    radius: float = K.HEAD_RADIUS,
+) -> DataFrame:
     """Every arrival at or before the opening shot, one row each, with its sweep.
 
     Sweep thresholds can then be tried without returning to the ticks; windows
     without an arrival keep one row with NULLs.
     """
-    rows = with_arrivals(window_ticks, burst_gap)
+    rows = with_arrivals(window_ticks, burst_gap, radius)
     hit = F.col("enters") & (F.col("tick_offset") <= F.col("opening"))
     keys = [c for c in ("session_id", "entity_id", "label", "weapon") if c in rows.columns]
     arrivals = rows.filter(hit).select(
@@ -191,7 +199,11 @@ def arrival_table(window_ticks: DataFrame, burst_gap: int = K.BURST_GAP) -> Data
 
 
 def window_features(
-    window_ticks: DataFrame, seg: Segments = Segments(), *, burst_gap: int = K.BURST_GAP
+    window_ticks: DataFrame,
+    seg: Segments = Segments(),
+    *,
+    burst_gap: int = K.BURST_GAP,
+    radius: float = K.HEAD_RADIUS,
 ) -> DataFrame:
     """One row per window. Groups of features appear when their inputs are present.
 
@@ -205,7 +217,7 @@ def window_features(
     if "target_visible" in have:
         aggs += _perception(seg)
     if {"shot", "target_angle", "target_distance"} <= have:
-        rows = with_arrivals(rows, burst_gap)
+        rows = with_arrivals(rows, burst_gap, radius)
         arrived = F.max(
             F.when(
                 F.col("arrives") & (F.col("tick_offset") <= F.col("opening")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ FIELDS = ("x", "y", "z", "yaw", "hp", "blind", "sees")
 SIDES = {2: "T", 3: "CT"}
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda row: row[name]
+
+
 def replay_values(
     samples: DataFrame,
     intervals: DataFrame,
@@ -93,7 +99,7 @@ def replay_grid(
         *keys,
         "t0",
         F.when(F.col("team") == 2, "T").when(F.col("team") == 3, "CT").alias("side"),
-        *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in FIELDS],
+        *[F.transform("_rows", _field(c)).alias(c) for c in FIELDS],
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.labels import severity_rank
+from sightline.functions.text import fixed
 from sightline.operators.motion import ENTITY
 from sightline.operators.ordered import CHUNK_TICKS, runs, with_halo
 from sightline.operators.quantiles import quantiles
@@ -204,11 +205,12 @@ def spinbot(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> DataFrame:
         threshold=lines.spin_speed_dps,
         baseline=lines.clean_speed_p9999,
         severity="impossible",
-        note=F.format_string(
-            "view spun at a sustained %.0f deg/s for %.2fs; the line is "
-            f"{lines.spin_speed_dps:.0f} deg/s",
-            F.col("peak"),
-            F.col("length") / float(K.TICK_RATE),
+        note=F.concat(
+            F.lit("view spun at a sustained "),
+            fixed(F.col("peak"), 0),
+            F.lit(" deg/s for "),
+            fixed(F.col("length") / float(K.TICK_RATE), 2),
+            F.lit(f"s; the line is {lines.spin_speed_dps:.0f} deg/s"),
         ),
         **_span(found),
     )
@@ -248,10 +250,13 @@ def kill_tick_snap(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> DataF
         threshold=lines.snap_speed_dps,
         baseline=lines.clean_snap_p9999,
         severity="strong",
-        note=F.format_string(
-            "crosshair moved %.0f deg/s on the tick the kill landed, against "
-            f"{lines.clean_snap_p9999:.0f} deg/s for the most extreme clean kills",
-            F.col("yaw_speed"),
+        note=F.concat(
+            F.lit("crosshair moved "),
+            fixed(F.col("yaw_speed"), 0),
+            F.lit(
+                " deg/s on the tick the kill landed, against "
+                f"{lines.clean_snap_p9999:.0f} deg/s for the most extreme clean kills"
+            ),
         ),
         tick_start=F.col("tick") - K.TICK_RATE,
         tick_end=F.col("tick") + K.TICK_RATE // 2,
@@ -270,10 +275,13 @@ def impossible_pitch(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> Dat
         threshold=lines.max_pitch_deg,
         baseline=None,
         severity="impossible",
-        note=F.format_string(
-            "pitch reached %.1f deg; the game clamps a player's view at "
-            f"{lines.max_pitch_deg:.0f} deg",
-            F.col("peak"),
+        note=F.concat(
+            F.lit("pitch reached "),
+            fixed(F.col("peak"), 1),
+            F.lit(
+                " deg; the game clamps a player's view at "
+                f"{lines.max_pitch_deg:.0f} deg"
+            ),
         ),
         **_span(found),
     )

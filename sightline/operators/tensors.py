@@ -61,12 +61,16 @@ def sequence_channels(
         "window_uid",
         *ids,
         *[
-            F.transform("_rows", lambda r, n=n: r[f"c_{n}"]).alias(f"ch_{n}")
+            F.transform("_rows", _field(f"c_{n}")).alias(f"ch_{n}")
             for n in channels
         ],
     )
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda row: row[name]
+
+
 Scorer = Callable[["object"], "object"]
 
 

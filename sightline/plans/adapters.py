@@ -19,6 +19,7 @@ from sightline.session import staged
 PRE, POST = 8, 4
 SEGMENTS = Segments(idle=(-8, -5), engage=(-4, 0), after=(1, 4))
 BURST_GAP = 2
+RADIUS = 200.0
 ROUND_TICKS = 16
 FREEZE_TICKS = 3
 SPAN = 12

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.plans import documents, reports, series, space, windows  # noqa: F401
+from sightline.plans import documents, reports, series, space, streams, windows  # noqa: F401
 from sightline.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

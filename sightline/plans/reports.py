@@ -54,7 +54,7 @@ def _cases(spark, d):
     """Cases with moments, approaches, strict rule hits and the clean reference."""
     s = A.stored_samples(spark, d)
     ticks = staged(Q.shot_ticks(s))
-    features = staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP))
+    features = staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS))
     entities = staged(X.entity_features(features, min_arrivals=2))
     anchor = ticks.filter(F.col("tick_offset") == 0).select(
         "window_uid", F.col("anchor_tick").alias("tick")
@@ -391,7 +391,7 @@ FROM r JOIN wscore s USING (window_uid) JOIN win w USING (window_uid)""",
 def kill_reports(spark, d):
     ticks = staged(Q.shot_ticks(A.stored_samples(spark, d)))
     features = staged(
-        X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP).withColumns(
+        X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS).withColumns(
             {
                 c: F.round(c, 9)
                 for c in ("aim_through_wall_share", "angle_at_first_visible")
@@ -474,7 +474,7 @@ FROM r"""
     _SWEEP_SQL,
 )
 def sweep_lines(spark, d):
-    table = X.arrival_table(Q.shot_ticks(A.stored_samples(spark, d)), A.BURST_GAP)
+    table = X.arrival_table(Q.shot_ticks(A.stored_samples(spark, d)), A.BURST_GAP, A.RADIUS)
     return E.arrival_sweep(staged(table), (None, 50.0, 3000.0), (1, 2), min_clean=3)
 
 
@@ -542,7 +542,7 @@ _CHANNEL_SQL = """sign(coalesce(d_yaw, 0)) * ln(1 + abs(coalesce(d_yaw, 0))) * (
 
 
 @query(
-    "window_uid:s size:l valid:l yaw_sum:d3 off_sum:d3",
+    "window_uid:s size:l valid:l yaw_sum:d2 off_sum:d2",
     f"""WITH {A.WINDOWS_SQL}, {Q.GEO_SQL}
 SELECT window_uid, count(*) AS size, count(yaw_speed) AS valid, sum({_CHANNEL_SQL}) AS yaw_sum,
   sum(sign(coalesce(target_yaw_error, 180)) * ln(1 + abs(coalesce(target_yaw_error, 180)))) AS off_sum FROM geo GROUP BY 1""",

@@ -123,7 +123,7 @@ def perception_features(spark, d):
 
 
 ARRIVAL_SQL = """
-ar0 AS (SELECT *, target_angle < degrees(1.0) * 8 / greatest(target_distance, 50) AS on_head,
+ar0 AS (SELECT *, target_angle < degrees(1.0) * 200 / greatest(target_distance, 50) AS on_head,
     sqrt(power(d_yaw * cos(radians(pitch)), 2) + power(d_pitch, 2)) * 64 AS sweep,
     CASE WHEN shot AND weapon <> 'knife' AND tick_offset <= 0 THEN tick_offset END AS shot_at
   FROM geo),
@@ -151,7 +151,7 @@ SELECT window_uid, opening = arrived AS arrival_shot,
   (opening - arrived) / 64.0 * 1000 AS arrival_delay_ms FROM arr""",
 )
 def arrival_features(spark, d):
-    return X.window_features(shot_ticks(A.stored_samples(spark, d)), A.SEGMENTS, burst_gap=A.BURST_GAP)
+    return X.window_features(shot_ticks(A.stored_samples(spark, d)), A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS)
 
 
 @query(
@@ -163,7 +163,7 @@ FROM (SELECT * FROM ar2 WHERE tick_offset = 0) k
 LEFT JOIN (SELECT * FROM ar2 WHERE enters AND tick_offset <= opening) a USING (window_uid)""",
 )
 def arrival_rows(spark, d):
-    return X.arrival_table(shot_ticks(A.stored_samples(spark, d)), A.BURST_GAP)
+    return X.arrival_table(shot_ticks(A.stored_samples(spark, d)), A.BURST_GAP, A.RADIUS)
 
 
 ENTITY_SQL = """
@@ -203,7 +203,7 @@ ENTITY_PREFIX = (
 
 def full_features(s):
     ticks = shot_ticks(s)
-    return staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP))
+    return staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS))
 
 
 def entities(s):
@@ -361,7 +361,7 @@ def evidence(s, lines=LINES):
     "session_id:l entity_id:l trigger:s name:s tick_start:l tick_end:l value:d severity:s",
     f"WITH {EVIDENCE_SQL} SELECT * FROM evidence",
 )
-def rule_evidence(A.stored_samples(spark, d)):
+def rule_evidence(spark, d):
     return evidence(A.stored_samples(spark, d))
 
 

@@ -17,6 +17,8 @@ def builder(app: str = "sightline") -> SparkSession.Builder:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites of every column expression: costs seconds on long plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
