@@ -150,7 +150,7 @@ def annotation_errors(
 ) -> Column:
     """What is wrong with a human verdict, as an array of messages (empty: nothing)."""
     def said(a: Column) -> Column:
-        return F.filter(F.transform(a, F.trim), lambda s: F.length(s) > 0)
+        return F.filter(F.transform(a, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
     given, notes = said(reasons), said(caveats)
     long_ones = F.exists(
