@@ -52,43 +52,83 @@ def _cells(low: Sequence[Column], high: Sequence[Column], size: float) -> Column
     )
 
 
-def _segment_cells(voxel: float) -> Column:
-    """Cells a segment passes: it is cut into pieces of at most one voxel."""
-    start = [F.col(c) for c in ("ox", "oy", "oz")]
-    step = [F.col(c) for c in ("dx", "dy", "dz")]
-    n = F.greatest(F.lit(1), F.ceil(F.col("dist") / voxel).cast("int"))
+def _visited_cells(rays: DataFrame, size: float) -> DataFrame:
+    """One row per grid cell a segment passes: ix, iy, iz.
 
-    def piece(i: Column) -> Column:
-        a = [s + d * (i / n) for s, d in zip(start, step, strict=True)]
-        b = [s + d * ((i + 1) / n) for s, d in zip(start, step, strict=True)]
-        low = [F.least(x, y) for x, y in zip(a, b, strict=True)]
-        high = [F.greatest(x, y) for x, y in zip(a, b, strict=True)]
-        return _cells(low, high, voxel)
+    Slab by slab: the x slabs it crosses, in each the y range it has there, in each
+    of those the z range. Ranges are widened by a hair, so a cell may be visited
+    needlessly but is never missed.
+    """
 
-    return F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece))
-    )
+    def between(low: Column, high: Column) -> Column:
+        first = F.floor((F.least(low, high) - _EPS) / size).cast("long")
+        last = F.floor((F.greatest(low, high) + _EPS) / size).cast("long")
+        return F.explode(F.sequence(first, last))
+
+    def at(axis: str, t: str) -> Column:
+        return F.col(f"o{axis}") + F.col(f"d{axis}") * F.col(t)
+
+    def clip(df: DataFrame, axis: str) -> DataFrame:
+        """Narrow [t0, t1] to the part inside the current cell of one axis."""
+        o, d, i = F.col(f"o{axis}"), F.col(f"d{axis}"), F.col(f"i{axis}")
+        safe = F.when(F.abs(d) > _EPS, d)
+        enter, leave = (i * size - o) / safe, ((i + 1) * size - o) / safe
+        low = F.greatest(F.col("t0"), F.least(enter, leave) - _EPS)
+        high = F.least(F.col("t1"), F.greatest(enter, leave) + _EPS)
+        return df.withColumns({"t0": low, "t1": F.greatest(high, low)})
+
+    out = rays.withColumns({"t0": F.lit(0.0), "t1": F.lit(1.0)})
+    out = out.withColumn("ix", between(at("x", "t0"), at("x", "t1")))
+    out = clip(out, "x").withColumn("iy", between(at("y", "t0"), at("y", "t1")))
+    out = clip(out, "y").withColumn("iz", between(at("z", "t0"), at("z", "t1")))
+    return out.drop("t0", "t1")
+
+
+def _planes(triangles: DataFrame) -> DataFrame:
+    """Triangle edges, normal and plane offset: t_u*, t_v*, t_n*, t_c."""
+    a = {x: F.col(f"a{x}").cast("double") for x in "xyz"}
+    u = {x: F.col(f"b{x}") - a[x] for x in "xyz"}
+    v = {x: F.col(f"c{x}") - a[x] for x in "xyz"}
+    n = {
+        "x": u["y"] * v["z"] - u["z"] * v["y"],
+        "y": u["z"] * v["x"] - u["x"] * v["z"],
+        "z": u["x"] * v["y"] - u["y"] * v["x"],
+    }
+    named = {
+        f"t_{p}{x}": part[x]
+        for p, part in (("a", a), ("u", u), ("v", v), ("n", n))
+        for x in "xyz"
+    }
+    offset = a["x"] * n["x"] + a["y"] * n["y"] + a["z"] * n["z"]
+    return triangles.withColumns({**named, "t_c": offset})
 
 
 def _hit(near: float) -> Column:
-    """The segment meets the triangle before its end, less the near clip."""
-    ux, uy, uz = (F.col(f"t_b{a}") - F.col(f"t_a{a}") for a in "xyz")
-    vx, vy, vz = (F.col(f"t_c{a}") - F.col(f"t_a{a}") for a in "xyz")
-    dx, dy, dz = F.col("dx"), F.col("dy"), F.col("dz")
-    sx, sy, sz = (F.col(f"o{a}") - F.col(f"t_a{a}") for a in "xyz")
-    hx, hy, hz = dy * vz - dz * vy, dz * vx - dx * vz, dx * vy - dy * vx
-    qx, qy, qz = sy * uz - sz * uy, sz * ux - sx * uz, sx * uy - sy * ux
-    det = ux * hx + uy * hy + uz * hz
-    safe = F.when(F.abs(det) > 1e-12, det)
-    u = (sx * hx + sy * hy + sz * hz) / safe
-    v = (dx * qx + dy * qy + dz * qz) / safe
-    t = (vx * qx + vy * qy + vz * qz) / safe
+    """The segment meets the triangle before its end, less the near clip.
+
+    The plane test comes first and needs no division; it rejects most pairs.
+    """
+    c = F.col
+    along = c("dx") * c("t_nx") + c("dy") * c("t_ny") + c("dz") * c("t_nz")
+    height = (
+        c("ox") * c("t_nx") + c("oy") * c("t_ny") + c("oz") * c("t_nz") - c("t_c")
+    )
+    sx, sy, sz = (c(f"o{a}") - c(f"t_a{a}") for a in "xyz")
+    hx = c("dy") * c("t_vz") - c("dz") * c("t_vy")
+    hy = c("dz") * c("t_vx") - c("dx") * c("t_vz")
+    hz = c("dx") * c("t_vy") - c("dy") * c("t_vx")
+    qx = sy * c("t_uz") - sz * c("t_uy")
+    qy = sz * c("t_ux") - sx * c("t_uz")
+    qz = sx * c("t_uy") - sy * c("t_ux")
+    u = sx * hx + sy * hy + sz * hz
+    v = c("dx") * qx + c("dy") * qy + c("dz") * qz
     return (
-        (u >= 0)
-        & (v >= 0)
-        & (u + v <= 1)
-        & (t > 0)
-        & (t * F.col("dist") < F.col("dist") - near)
+        (height * along < 0)
+        & (F.abs(height) * c("dist") < (c("dist") - near) * F.abs(along))
+        & (F.abs(along) > 1e-12)
+        & (u * along <= 0)
+        & (v * along <= 0)
+        & (F.abs(u + v) <= F.abs(along))
     )
 
 
@@ -135,10 +175,11 @@ def line_of_sight(
     ).filter(F.col("dist") > near_clip)
 
     corner = {a: [F.col(f"{p}{a}") for p in "abc"] for a in "xyz"}
-    parts = triangles.select(
+    parts = _planes(triangles).select(
         F.col(by).alias("_map"),
         "tri_id",
-        *[F.col(f"{p}{a}").alias(f"t_{p}{a}") for p in "abc" for a in "xyz"],
+        *[f"t_{p}{a}" for p in "auvn" for a in "xyz"],
+        "t_c",
         F.inline(
             _cells(
                 [F.least(*corner[a]) for a in "xyz"],
@@ -156,7 +197,7 @@ def line_of_sight(
     salted = parts.join(crowded, cell, "left").withColumn(
         "salt", F.pmod(F.xxhash64("tri_id"), F.coalesce("salts", F.lit(1)))
     )
-    visits = rays.select("*", F.inline(_segment_cells(voxel)))
+    visits = _visited_cells(rays, voxel)
     # cells without triangles are dropped here, crowded ones are sent to every salt
     visits = visits.join(salts, cell).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))

@@ -82,10 +82,10 @@ def read_event_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
 
 def rejected_sessions(files: DataFrame) -> DataFrame:
     """Sessions whose file did not parse, with its text and what was read before."""
-    return files.filter(F.col("_corrupt_record").isNotNull()).select(
-        "session_id",
-        "_corrupt_record",
-        F.coalesce(F.size("player_death"), F.lit(0)).alias("deaths_read"),
+    deaths = F.coalesce(F.size("player_death"), F.lit(0))
+    # Spark refuses to read the corrupt column alone, so the filter names another
+    return files.filter(F.col("_corrupt_record").isNotNull() & (deaths >= 0)).select(
+        "session_id", "_corrupt_record", deaths.alias("deaths_read")
     )
 
 
