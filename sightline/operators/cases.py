@@ -16,12 +16,16 @@ from sightline import constants as K
 from sightline.functions import text as T
 from sightline.functions.labels import (
     corroborated,
+    fingerprint,
     level,
+    seek_command,
     severity_rank,
+    split_for,
     stable_choice,
     target_probability,
     verdict_for,
 )
+from sightline.operators.ordered import attach_row, number_rows, value_chunk
 
 ENTITY = ("session_id", "entity_id")
 
@@ -118,7 +122,7 @@ def reference_row(baselines: DataFrame, lines: DataFrame) -> DataFrame:
     )
     edge = F.struct("feature", F.struct("notable", "strong").alias("line"))
     edges = lines.agg(F.map_from_entries(F.collect_list(edge)).alias("lines"))
-    return base.crossJoin(F.broadcast(edges))
+    return attach_row(base, edges)
 
 
 def case_documents(
@@ -168,8 +172,10 @@ def case_documents(
         ).alias("m"),
     )
     nested = packed.groupBy(*ENTITY).agg(F.collect_list("m").alias("moments"))
-    by_place = F.transform(F.sequence(F.lit(1), F.size("moments")), lambda n: F.filter(
-        "moments", lambda m: m["place"] == n)[0])
+    places = F.sequence(F.lit(1), F.size("moments"))
+    by_place = F.transform(
+        places, lambda n: F.filter("moments", lambda m: m["place"] == n)[0]
+    )
     nested = nested.withColumn("moments", by_place)
 
     hit_type = (
@@ -196,14 +202,11 @@ def case_documents(
         out = out.join(hits, list(ENTITY), "left")
     else:
         out = out.withColumn("rule_evidence", F.lit(None).cast(hit_type))
-    empty = F.filter("moments", lambda m: F.lit(False))
-    return (
-        out.crossJoin(F.broadcast(reference))
-        .withColumn("moments", F.coalesce("moments", F.array().cast(out.schema["moments"].dataType), empty))
-        .withColumn(
-            "rule_evidence",
-            F.coalesce("rule_evidence", F.array().cast(out.schema["rule_evidence"].dataType)),
-        )
+    def filled(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(out.schema[name].dataType))
+
+    return attach_row(out, reference).withColumns(
+        {"moments": filled("moments"), "rule_evidence": filled("rule_evidence")}
     )
 
 
@@ -705,7 +708,7 @@ def flags(
     line = grid.filter(F.abs(F.col("level") - quantile) < 1e-9).agg(
         F.max("cut").alias("_line")
     )
-    rows = entities.join(worst, list(ENTITY), "left").crossJoin(F.broadcast(line))
+    rows = attach_row(entities.join(worst, list(ENTITY), "left"), line)
     by_rule = F.coalesce(F.col("_worst") <= 1, F.lit(False))
     by_score = F.coalesce(
         (F.col("score") >= F.col("_line")) & (F.col("n_windows") >= min_windows),
@@ -732,9 +735,6 @@ def kill_reports(features: DataFrame, scores: DataFrame) -> DataFrame:
     One row per anchor: an entity's report is this table filtered, so no entity's
     anchors are ever gathered in one place.
     """
-    from sightline.functions.labels import seek_command
-    from sightline.operators.ordered import number_rows, value_chunk
-
     ranked = features.withColumns(
         {
             "_wall": -F.coalesce("aim_through_wall_share", F.lit(-1.0)),
@@ -758,8 +758,6 @@ def training_rows(
     evidence_sha, verdict, probability, answer. An annotation made on evidence that
     has changed since is stale and not used.
     """
-    from sightline.functions.labels import fingerprint, split_for
-
     answer = F.to_json(
         F.struct("verdict", "probability", "cheat_type", "reasons", "caveats")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.labels import is_sniper, sniper_band
+from sightline.operators.ordered import attach_row
 from sightline.operators.quantiles import cumulative_counts, quantiles, unpivot
 
 
@@ -459,8 +460,7 @@ def marks_gate(
     clean = rates.agg(
         F.max(F.when(F.col("label") == "clean", F.col("with_mark"))).alias("_clean")
     )
-    # three labels: both sides are a few rows
-    out = rates.join(marks, "label").crossJoin(F.broadcast(clean))
+    out = attach_row(rates.join(marks, "label"), clean)
     return out.withColumn(
         "passes",
         F.when(F.col("label") == "clean", F.col("with_mark") <= ceiling).otherwise(

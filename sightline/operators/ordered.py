@@ -42,14 +42,17 @@ def time_chunk(ts: str | Column, seconds: int = CHUNK_SECONDS) -> Column:
     return F.floor(_col(ts).cast("double") / F.lit(seconds)).cast("long")
 
 
-def value_chunk(value: str | Column, resolution: int = 256) -> Column:
-    """A chunk that grows with the value: logarithmic, about 0.4% of the value wide."""
+def value_chunk(value: str | Column, resolution: int = 1 << 14) -> Column:
+    """A chunk that grows with the value: logarithmic, 0.006% of the value wide.
+
+    Narrow, because one crowded stretch of values may hold much of a column.
+    """
     v = _col(value).cast("double")
     size = F.floor(F.log1p(F.abs(v) * 1e6) * resolution)
     return (F.signum(v) * size).cast("long")
 
 
-def hash_chunk(digest: str | Column, digits: int = 3) -> Column:
+def hash_chunk(digest: str | Column, digits: int = 5) -> Column:
     """Chunk of a hex digest: its first digits, which order like the digest itself."""
     return F.conv(F.substring(_col(digest), 1, digits), 16, 10).cast("long")
 
@@ -72,6 +75,13 @@ def _prepare(
     return out, list(keys)
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Every row with the columns of a table that has exactly one row."""
+    key = "_row_key"
+    single = F.broadcast(one_row.withColumn(key, F.lit(0)))
+    return df.withColumn(key, F.lit(0)).join(single, key).drop(key)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

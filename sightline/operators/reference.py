@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.operators.joins import step_lookup
+from sightline.operators.ordered import attach_row
 from sightline.operators.quantiles import quantiles, unpivot
 
 GRID = tuple(round(q / 100, 2) for q in range(1, 100)) + (0.995, 0.999)
@@ -120,11 +121,14 @@ def score_reference(
         method=method,
         counts=True,
     ).withColumnRenamed("n", "n_cheater")
-    # both sides are one row
-    return (
-        grid.withColumnRenamed("n", "n_clean")
-        .select("n_clean", F.inline(rows))
-        .join(F.broadcast(positive), how="left")
+    # without positives the aggregate still gives its one (NULL) row
+    positive = positive.agg(
+        F.max("cheater_median").alias("cheater_median"),
+        F.max("n_cheater").alias("n_cheater"),
+    )
+    return attach_row(
+        grid.withColumnRenamed("n", "n_clean").select("n_clean", F.inline(rows)),
+        positive,
     )
 
 

@@ -13,7 +13,7 @@ from sightline import constants as K
 from sightline.functions.labels import severity_rank
 from sightline.functions.text import fixed
 from sightline.operators.motion import ENTITY
-from sightline.operators.ordered import CHUNK_TICKS, runs, with_halo
+from sightline.operators.ordered import CHUNK_TICKS, attach_row, runs, with_halo
 from sightline.operators.quantiles import quantiles
 from sightline.session import staged
 
@@ -437,8 +437,7 @@ def calibrate(
             "alias_min_ticks"
         ),
     )
-    # one row of lines against the population, so it is broadcast by its size
-    return extremes.crossJoin(F.broadcast(lines)).groupBy(
+    return attach_row(extremes, lines).groupBy(
         "spin_speed_dps", "snap_speed_dps", "alias_min_ticks"
     ).agg(
         F.count(F.lit(1)).alias("entities"),

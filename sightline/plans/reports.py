@@ -13,7 +13,7 @@ from sightline.operators import replay as Y
 from sightline.operators import rules as R
 from sightline.operators import sampling as U
 from sightline.operators import tensors as N
-from sightline.operators.ordered import tick_chunk
+from sightline.operators.ordered import attach_row, tick_chunk
 from sightline.plans import adapters as A
 from sightline.plans import windows as Q
 from sightline.plans.registry import query
@@ -241,8 +241,7 @@ def external_population_check(spark, d):
     )
     rows = texts.select(F.inline(measurement_rows(F.col("text"))))
     total = texts.agg(F.count(F.lit(1)).alias("_entities"))
-    # the total is one row
-    checked = E.measurement_check(rows).crossJoin(F.broadcast(total))
+    checked = attach_row(E.measurement_check(rows), total)
     return checked.withColumn("of_all", F.col("past95") / F.col("_entities"))
 
 

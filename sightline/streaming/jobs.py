@@ -75,8 +75,8 @@ def burst_stream(
 ) -> DataFrame:
     """Bursts per key that end after ``gap`` without an event; emitted when closed.
 
-    Partial sessions are merged before the shuffle of a batch, so a busy key sends
-    one row per task.
+    Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` when
+    single keys are busy: rows of a batch are then merged before they are shuffled.
     """
     return (
         events.withWatermark(ts, delay)
