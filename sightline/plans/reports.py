@@ -537,14 +537,16 @@ def crossing_count(spark, d):
 
 # --- tensors ------------------------------------------------------------------------------
 
-_CHANNEL_SQL = """sign(coalesce(d_yaw, 0)) * ln(1 + abs(coalesce(d_yaw, 0))) * (yaw_speed IS NOT NULL)::INT"""
+# channels are stored as float32
+_CHANNEL_SQL = """CAST(CAST(sign(coalesce(d_yaw, 0)) * ln(1 + abs(coalesce(d_yaw, 0)))
+  * (yaw_speed IS NOT NULL)::INT AS REAL) AS DOUBLE)"""
 
 
 @query(
-    "window_uid:s size:l valid:l yaw_sum:d2 off_sum:d2",
+    "window_uid:s size:l valid:l yaw_sum:d4 off_sum:d3",
     f"""WITH {A.WINDOWS_SQL}, {Q.GEO_SQL}
 SELECT window_uid, count(*) AS size, count(yaw_speed) AS valid, sum({_CHANNEL_SQL}) AS yaw_sum,
-  sum(sign(coalesce(target_yaw_error, 180)) * ln(1 + abs(coalesce(target_yaw_error, 180)))) AS off_sum FROM geo GROUP BY 1""",
+  sum(CAST(CAST(sign(coalesce(target_yaw_error, 180)) * ln(1 + abs(coalesce(target_yaw_error, 180))) AS REAL) AS DOUBLE)) AS off_sum FROM geo GROUP BY 1""",
 )
 def tensor_channels(spark, d):
     ticks = Q.geometry_ticks(A.stored_samples(spark, d))
@@ -563,7 +565,7 @@ def tensor_channels(spark, d):
 
 
 def _mean_turn():
-    return lambda x: x[:, 0, :].mean(axis=1)
+    return lambda x: x[:, 0, :].astype("float64").mean(axis=1)
 
 
 @query(

@@ -38,7 +38,7 @@ aim0 AS (SELECT window_uid, any_value(session_id) AS session_id,
     any_value(entity_id) AS entity_id, any_value(label) AS label,
     any_value(anchor_weapon) AS weapon,
     max(yaw_speed) FILTER (tick_offset BETWEEN -4 AND 0) AS peak_speed_engage,
-    coalesce(arg_max(t_ms, yaw_speed * 1000 - tick_offset) FILTER (tick_offset BETWEEN -4 AND 0 AND yaw_speed IS NOT NULL),
+    coalesce(arg_max(t_ms, struct_pack(a := yaw_speed, b := -tick_offset)) FILTER (tick_offset BETWEEN -4 AND 0 AND yaw_speed IS NOT NULL),
       min(t_ms) FILTER (tick_offset BETWEEN -4 AND 0)) AS t_peak_ms,
     max(yaw_speed) FILTER (tick_offset = 0) AS speed_at_kill,
     avg(yaw_speed) FILTER (tick_offset BETWEEN 1 AND 4) AS mean_speed_after,
