@@ -16,6 +16,7 @@ from sightline.operators.ordered import (
     tick_chunk,
     with_halo,
 )
+from sightline.session import staged
 
 ENTITY = ("session_id", "entity_id")
 
@@ -92,6 +93,8 @@ def play_intervals(samples: DataFrame, *, chunk: int = 4096) -> DataFrame:
             F.max(F.when(F.col("is_freeze"), F.col("tick"))).alias("freeze_last"),
         )
     )
+    # one row per round, read three times below: the samples are scanned once
+    per = staged(per)
     final = per.groupBy("session_id").agg(
         F.max("round").alias("_final"),
         F.count(F.lit(1)).alias("_rounds"),
@@ -136,6 +139,7 @@ def side_switches(samples: DataFrame, *, chunk: int = 4096) -> DataFrame:
         .groupBy(*ENTITY, "round")
         .agg(F.mode("team", deterministic=True).alias("team"))
     )
+    sides = staged(sides)
     changed = neighbours(
         sides, ENTITY, tick_chunk("round", chunk), ["round"], back={"_prev": "team"}
     ).filter(F.col("team") != F.col("_prev"))

@@ -153,8 +153,10 @@ def line_of_sight(
     an unknown position gives NULL. Triangles and segments meet in the voxel cells
     both touch; the test is the condition of a semi join, so pairs are tried and
     never produced. A cell with more than ``cell_triangles`` triangles is split
-    over salts, the segments visiting it are sent to each.
+    over salts, the segments visiting it are sent to each. Segments are read twice
+    (for the test and for the answer), so they are staged first.
     """
+    segments = staged(segments)
     rise = dict(zip(("x", "y", "z"), (0.0, 0.0, 1.0), strict=True))
     start = {
         a: F.col(c).cast("double") + rise[a] * eye_height
@@ -460,7 +462,11 @@ def storey_split(
     spans = quantiles(
         keyed, [by, "gx", "gy"], "z", {"lo": 0.1, "hi": 0.9}, counts=True
     ).filter(F.col("n") >= min_samples)
-    spans = spans.withColumn("stacked", F.col("hi") - F.col("lo") > storey)
+    spans = staged(
+        spans.select(
+            by, "gx", "gy", (F.col("hi") - F.col("lo") > storey).alias("stacked")
+        )
+    )
     shares = spans.groupBy(by).agg(
         F.avg(F.col("stacked").cast("int")).alias("share")
     )
