@@ -488,3 +488,104 @@ def measurement_check(rows: DataFrame) -> DataFrame:
     )
     return out.withColumn("of_shown", F.try_divide(F.col("past95"), F.col("shown")))
 
+
+
+def coverage(answers: DataFrame, cases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many of the cases the answers cover: covered, cases, share."""
+    answered = answers.select(*keys).distinct().withColumn("_a", F.lit(1))
+    rows = cases.select(*keys).distinct().join(answered, list(keys), "left")
+    return rows.agg(
+        F.count("_a").alias("covered"),
+        F.count(F.lit(1)).alias("cases"),
+        F.try_divide(F.count("_a"), F.count(F.lit(1))).alias("share"),
+    )
+
+
+def answer_summary(rows: DataFrame, keys: Sequence[str] = ("judge",)) -> DataFrame:
+    """Rates of judges' answers against targets and labels, one row per judge.
+
+    ``rows``: verdict, probability, invented (a count), seconds, target_verdict,
+    target_probability, label, score. Invalid answers count only in ``valid``.
+    """
+    keys = list(keys)
+    ok = F.col("verdict") != "invalid"
+    accuses = (F.col("verdict") == "cheating").cast("int")
+    clean, listed = F.col("label") == "clean", F.col("label") == "cheater"
+    commits = ok & (F.col("verdict") != "unclear")
+    right = (listed == (F.col("verdict") == "cheating")).cast("int")
+
+    def among(who: Column, c: Column) -> Column:
+        return F.avg(F.when(ok & who, c))
+
+    p, t, s = (
+        F.when(ok, F.col(c).cast("double"))
+        for c in ("probability", "target_probability", "score")
+    )
+    rates = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.avg(ok.cast("int")).alias("valid"),
+        among(
+            F.lit(True), (F.col("verdict") == F.col("target_verdict")).cast("int")
+        ).alias("matches_target"),
+        among(clean, accuses).alias("accuses_clean"),
+        among(listed, accuses).alias("convicts_listed"),
+        among(F.lit(True), (F.col("verdict") == "unclear").cast("int")).alias("unclear"),
+        F.avg(F.when(commits, right)).alias("right_when_committing"),
+        F.corr(p, t).alias("follows_evidence"),
+        F.corr(p, s).alias("_ps"),
+        F.corr(s, t).alias("_st"),
+        F.coalesce(F.sum(F.when(ok, F.col("invented"))), F.lit(0)).alias("invented"),
+    )
+    pt, ps, st = F.col("follows_evidence"), F.col("_ps"), F.col("_st")
+    rest = F.sqrt((1 - pt * pt) * (1 - st * st))
+    hist = score_histogram(rows.filter(ok), F.col("probability"), listed, keys)
+    auc = roc_auc(hist, keys).select(*keys, "auc")
+    pace = quantiles(rows, keys, "seconds", {"seconds_median": 0.5})
+    return (
+        rates.withColumn("leans_on_score", F.try_divide(ps - pt * st, rest))
+        .drop("_ps", "_st")
+        .join(auc, keys, "left")
+        .join(pace, keys, "left")
+    )
+
+
+def criterion_check(
+    reference: DataFrame, external: DataFrame, value: str, *, ceiling: float = 0.01
+) -> DataFrame:
+    """A measurement's lines from the reference, tried on a disjoint external sample.
+
+    One row: line95, line99, entities, shown, past95, past99, their shares, and
+    whether the share of all entities past the 95% line stays under ``ceiling``.
+    """
+    lines = quantiles(
+        reference.filter(F.col("label") == "clean"),
+        [],
+        value,
+        {"line95": K.NOTABLE_QUANTILE, "line99": K.STRONG_QUANTILE},
+    )
+    rows = attach_row(external.select(F.col(value).alias("_v")), lines)
+    out = rows.agg(
+        F.max("line95").alias("line95"),
+        F.max("line99").alias("line99"),
+        F.count(F.lit(1)).alias("entities"),
+        F.count("_v").alias("shown"),
+        F.count_if(F.col("_v") > F.col("line95")).alias("past95"),
+        F.count_if(F.col("_v") > F.col("line99")).alias("past99"),
+    )
+    of_all = F.try_divide(F.col("past95"), F.col("entities"))
+    return out.withColumns(
+        {
+            "of_shown": F.try_divide(F.col("past95"), F.col("shown")),
+            "of_all": of_all,
+            "passes": of_all <= ceiling,
+        }
+    )
+
+
+def subgroup_correlation(
+    rows: DataFrame, a: str, b: str, keys: Sequence[str]
+) -> DataFrame:
+    """Correlation of a score with a confounder inside each subgroup."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("r")
+    )

@@ -13,7 +13,14 @@ from sightline import constants as K
 from sightline.functions.labels import severity_rank
 from sightline.functions.text import fixed
 from sightline.operators.motion import ENTITY
-from sightline.operators.ordered import CHUNK_TICKS, attach_row, runs, with_halo
+from sightline.operators.ordered import (
+    CHUNK_TICKS,
+    attach_row,
+    number_rows,
+    runs,
+    value_chunk,
+    with_halo,
+)
 from sightline.operators.quantiles import quantiles
 from sightline.session import staged
 
@@ -368,6 +375,18 @@ def worst_hits(evidence: DataFrame, top: int = K.RULE_EVIDENCE_PER_CASE) -> Data
     )
 
 
+def ranked_findings(evidence: DataFrame) -> DataFrame:
+    """Every finding with its ``place`` in the entity's report: severity, then value."""
+    keyed = evidence.withColumns(
+        {"_rank": severity_rank(F.col("severity")), "_neg": -F.col("value")}
+    )
+    # severity first, then the value's own chunk: an order-preserving composite
+    chunk = F.struct("_rank", value_chunk("_neg").alias("c"))
+    return number_rows(
+        keyed, ENTITY, chunk, ["_rank", "_neg", "name", "tick"], "place"
+    ).drop("_rank", "_neg")
+
+
 def entity_extremes(
     deltas: DataFrame, anchors: DataFrame, *, sustain: int = 16, min_step: float = 90.0
 ) -> DataFrame:

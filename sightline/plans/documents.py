@@ -298,3 +298,69 @@ def unseen_numbers(spark, d):
         "turn",
         F.array_join(unseen(F.col("text"), F.col("evidence")), "|").alias("unseen"),
     )
+
+
+_ANSWERS_SQL = f"""WITH {_SCORED},
+a AS (SELECT source AS judge, doc_id, CASE WHEN flag THEN 'cheater' ELSE 'clean' END AS label,
+    CASE WHEN n_chars % 10 = 0 THEN 'invalid' WHEN n_chars > 1200 THEN 'cheating' WHEN n_chars > 300 THEN 'unclear' ELSE 'clean' END AS verdict,
+    CASE WHEN n_chars > 1000 THEN 'cheating' WHEN n_chars > 400 THEN 'unclear' ELSE 'clean' END AS target_verdict,
+    least(100, n_chars // 20) AS probability, least(95, n_chars // 25) AS target_probability,
+    score / (score + 1000) AS s, (n_chars % 13 = 0)::INT AS invented, n_chars % 7 AS seconds FROM scored),
+v AS (SELECT *, rank() OVER (PARTITION BY judge ORDER BY probability) + (count(*) OVER (PARTITION BY judge, probability) - 1) / 2.0 AS rk
+  FROM a WHERE verdict <> 'invalid'),
+c AS (SELECT judge, corr(probability, target_probability) AS pt, corr(probability, s) AS ps, corr(s, target_probability) AS st,
+    avg((verdict = target_verdict)::INT) AS matches_target, avg((verdict = 'cheating')::INT) FILTER (label = 'clean') AS accuses_clean,
+    avg((verdict = 'cheating')::INT) FILTER (label = 'cheater') AS convicts_listed, avg((verdict = 'unclear')::INT) AS unclear,
+    avg(((label = 'cheater') = (verdict = 'cheating'))::INT) FILTER (verdict <> 'unclear') AS right_when_committing, sum(invented) AS invented,
+    (sum(rk) FILTER (label = 'cheater') - count(*) FILTER (label = 'cheater') * (count(*) FILTER (label = 'cheater') + 1) / 2.0)
+      / nullif(count(*) FILTER (label = 'cheater') * count(*) FILTER (label = 'clean'), 0) AS auc FROM v GROUP BY 1),
+g AS (SELECT judge, count(*) AS answers, avg((verdict <> 'invalid')::INT) AS valid, quantile_cont(seconds, 0.5) AS seconds_median FROM a GROUP BY 1)
+SELECT *, pt AS follows_evidence, (ps - pt * st) / sqrt((1 - pt * pt) * (1 - st * st)) AS leans_on_score FROM g JOIN c USING (judge)"""
+
+
+@query(
+    "judge:s answers:l valid:d matches_target:d accuses_clean:d convicts_listed:d "
+    "unclear:d right_when_committing:d auc:d follows_evidence:d leans_on_score:d "
+    "invented:l seconds_median:d",
+    _ANSWERS_SQL,
+)
+def answer_summary(spark, d):
+    n = F.col("n_chars")
+    verdict = (
+        F.when(n % 10 == 0, "invalid")
+        .when(n > 1200, "cheating")
+        .when(n > 300, "unclear")
+        .otherwise("clean")
+    )
+    target = F.when(n > 1000, "cheating").when(n > 400, "unclear").otherwise("clean")
+    rows = scored(spark, d).select(
+        F.col("source").alias("judge"),
+        F.when(F.col("flag"), "cheater").otherwise("clean").alias("label"),
+        verdict.alias("verdict"),
+        target.alias("target_verdict"),
+        F.least(F.lit(100), F.floor(n / 20)).alias("probability"),
+        F.least(F.lit(95), F.floor(n / 25)).alias("target_probability"),
+        (F.col("score") / (F.col("score") + 1000)).alias("score"),
+        (n % 13 == 0).cast("int").alias("invented"),
+        (n % 7).alias("seconds"),
+    )
+    return E.answer_summary(rows)
+
+
+@query(
+    "covered:l cases:l share:d",
+    """SELECT count(l.doc_id) AS covered, count(*) AS cases, count(l.doc_id) / count(*) AS share
+FROM documents LEFT JOIN labels l USING (doc_id)""",
+)
+def answer_coverage(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id")
+    return E.coverage(A.table(spark, d, "labels"), docs, ["doc_id"])
+
+
+@query(
+    "lang:s n:l r:d",
+    f"""WITH {_SCORED} SELECT lang, count(*) AS n, corr(score, y::INT) AS r FROM scored WHERE NOT flag GROUP BY 1""",
+)
+def subgroup_correlation(spark, d):
+    rows = scored(spark, d).filter(~F.col("flag")).withColumn("_y", F.col("y").cast("int"))
+    return E.subgroup_correlation(rows, "score", "_y", ["lang"])

@@ -13,6 +13,7 @@ from sightline.operators import replay as Y
 from sightline.operators import rules as R
 from sightline.operators import sampling as U
 from sightline.operators import tensors as N
+from sightline.operators.joins import compare_tables, state_of
 from sightline.operators.ordered import attach_row, tick_chunk
 from sightline.plans import adapters as A
 from sightline.plans import windows as Q
@@ -623,3 +624,78 @@ def entity_bags(spark, d):
         return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
     return bags.withColumns({"picked": total("mask"), "total": total("tick")})
+
+
+@query(
+    "line95:d line99:d entities:l shown:l past95:l past99:l of_shown:d of_all:d passes:b",
+    f"""{Q.ENTITY_PREFIX},
+l AS (SELECT quantile_cont(wall_aim_share, 0.95) AS line95, quantile_cont(wall_aim_share, 0.99) AS line99 FROM entities WHERE label = 'clean'),
+r AS (SELECT line95, line99, count(*) AS entities, count(wall_aim_share) AS shown, count(*) FILTER (wall_aim_share > line95) AS past95,
+    count(*) FILTER (wall_aim_share > line99) AS past99 FROM entities, l WHERE label = 'unknown' GROUP BY ALL)
+SELECT *, past95 / nullif(shown, 0) AS of_shown, past95 / entities AS of_all, past95 / entities <= 0.01 AS passes FROM r""",
+)
+def criterion_check(spark, d):
+    entities = staged(Q.entities(A.stored_samples(spark, d)))
+    unknown = entities.filter(F.col("label") == "unknown")
+    return E.criterion_check(entities, unknown, "wall_aim_share")
+
+
+@query(
+    "session_id:l entity_id:l place:l name:s value:d",
+    f"""WITH {Q.EVIDENCE_SQL}
+SELECT session_id, entity_id, name, value, row_number() OVER (PARTITION BY session_id, entity_id
+  ORDER BY CASE severity WHEN 'impossible' THEN 0 ELSE 1 END, value DESC, name,
+  CASE WHEN name = 'kill_tick_snap' THEN tick_start + 64 ELSE tick_start END) AS place FROM evidence""",
+)
+def ranked_findings(spark, d):
+    return R.ranked_findings(Q.evidence(A.stored_samples(spark, d)))
+
+
+@query(
+    "window_uid:s points:l first_ms:l ax:d vx:d",
+    f"""WITH {A.WINDOWS_SQL}, {Q.GEO_SQL}
+SELECT window_uid, count(*) AS points, min(CAST(trunc(t_ms) AS BIGINT)) AS first_ms, sum(x) AS ax, sum(tx) AS vx
+FROM geo WHERE tick_offset % 2 = 0 GROUP BY 1""",
+)
+def position_tracks(spark, d):
+    s = A.stored_samples(spark, d)
+    _, ticks = A.windows(s)
+    where = {c: f"target_{c}" for c in "xyz"}
+    both = state_of(ticks, s, "target_id", where).withColumn(
+        "target_visible", F.lit(None).cast("boolean")
+    )
+    tracks = Z.position_tracks(both, stride=2)
+
+    def total(c):
+        return F.aggregate(
+            F.filter(F.transform("path", lambda p: p[c]), lambda x: x.isNotNull()),
+            F.lit(0.0),
+            lambda a, x: a + x,
+        )
+
+    any_target = F.exists("path", lambda p: p["target_x"].isNotNull())
+    return tracks.withColumns(
+        {
+            "points": F.size("path"),
+            "first_ms": F.array_min(F.transform("path", lambda p: p["ms"])),
+            "ax": total("x"),
+            "vx": F.when(any_target, total("target_x")),
+        }
+    )
+
+
+@query(
+    "session_id:l entity_id:l status:s",
+    f"""WITH {A.SAMPLES_SQL},
+a AS (SELECT session_id, entity_id, count(*) AS n FROM samples GROUP BY 1, 2),
+b AS (SELECT session_id, entity_id, count(*) AS n FROM samples WHERE is_alive GROUP BY 1, 2)
+SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.entity_id, b.entity_id) AS entity_id,
+  CASE WHEN a.n IS NULL THEN 'only_fresh' WHEN b.n IS NULL THEN 'only_stored' WHEN a.n = b.n THEN 'equal' ELSE 'differs' END AS status
+FROM a FULL JOIN b ON a.session_id = b.session_id AND a.entity_id = b.entity_id""",
+)
+def stored_versus_fresh(spark, d):
+    s = A.stored_samples(spark, d)
+    by = ["session_id", "entity_id"]
+    stored = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    fresh = s.filter("is_alive").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return compare_tables(stored, fresh, by, ["n"])
