@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline import constants as K
 
 
+def fill(template: str, **parts: Column | str) -> Column:
+    """A text format with columns in its ``{name}`` places; NULL if one is NULL."""
+    out: list[Column] = []
+    for piece in re.split(r"(\{\w+\})", template):
+        if piece.startswith("{"):
+            value = parts[piece[1:-1]]
+            out.append(F.lit(value) if isinstance(value, str) else value.cast("string"))
+        elif piece:
+            out.append(F.lit(piece))
+    return F.concat(*out)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A number with ``digits`` decimals, rounded half to even on its exact value."""
     pattern = "0." + "0" * digits if digits else "0"
@@ -67,36 +81,14 @@ def context_sentence(
 ) -> Column:
     """What the actor could have known; parts that are unknown are left out."""
     checked = F.coalesce(sight_checked, F.lit(False))
+    seen = fill(K.CONTEXT_SEEN, s=seconds(last_seen_ms))
+    facing = F.coalesce(enemies.cast("string"), F.lit("None"))
     return F.concat_ws(
         "; ",
-        F.when(
-            checked & last_seen_ms.isNull(),
-            "had not seen this enemy at any point in the "
-            f"{K.LOOKBACK_SECONDS}s before the engagement",
-        ).when(
-            checked,
-            F.concat(
-                F.lit("last saw this enemy "),
-                seconds(last_seen_ms),
-                F.lit("s before the kill"),
-            ),
-        ),
-        F.when(
-            fired_ms_ago.isNotNull(),
-            F.concat(
-                F.lit("the enemy had fired "), seconds(fired_ms_ago), F.lit("s before")
-            ),
-        ),
-        F.when(was_running, "the enemy was running within earshot"),
-        F.when(
-            allies.isNotNull(),
-            F.concat(
-                allies.cast("string"),
-                F.lit("v"),
-                F.coalesce(enemies.cast("string"), F.lit("None")),
-                F.lit(" at the time"),
-            ),
-        ),
+        F.when(checked & last_seen_ms.isNull(), K.CONTEXT_NEVER_SEEN).when(checked, seen),
+        fill(K.CONTEXT_FIRED, s=seconds(fired_ms_ago)),
+        F.when(was_running, K.CONTEXT_RUNNING),
+        fill(K.CONTEXT_ALIVE, a=allies, b=facing),
     )
 
 

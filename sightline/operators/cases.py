@@ -320,16 +320,7 @@ def _awareness_point() -> Column:
     unexplained = F.size(
         F.filter("moments", lambda m: aimed_through_cover(m) & ~seen_or_heard(m))
     )
-    reason = F.concat(
-        F.lit(
-            "they tracked an enemy through cover without having seen or heard them "
-            "first on "
-        ),
-        unexplained.cast("string"),
-        F.lit(" of their "),
-        F.size("moments").cast("string"),
-        F.lit(" most suspicious kills"),
-    )
+    reason = T.fill(K.AWARENESS_REASON, n=unexplained, all=F.size("moments"))
     weight = F.lit(K.WEIGHTS["notable"])
     return F.when(unexplained >= 2, _point(reason, weight, F.lit("wallhack"), False))
 
@@ -377,23 +368,10 @@ def standard_caveats() -> Column:
     return F.array_compact(
         F.array(
             F.when(
-                F.col("kills") < 10,
-                F.concat(
-                    F.lit("only "),
-                    F.col("kills").cast("string"),
-                    F.lit(" kills to judge from"),
-                ),
-            ),
-            F.when(
-                explained,
-                "their aim through cover came after they had seen or heard the enemy, "
-                "which a clean player can do",
-            ),
-            F.when(
-                heavy,
-                "this player snipes heavily, which inflates the visibility measurements "
-                "on its own",
+                F.col("kills") < 10, T.fill(K.CAVEAT_FEW_KILLS, n=F.col("kills"))
             ),
+            F.when(explained, K.CAVEAT_EXPLAINED),
+            F.when(heavy, K.CAVEAT_SNIPER),
         )
     )
 
@@ -489,32 +467,15 @@ def guard(
     strong = F.size(F.filter(lines, lambda p: p["weight"] >= K.WEIGHTS["strong"]))
     held = (F.col(verdict) == "cheating") & ~corroborated(F.col("_counted"))
     basis = (
-        F.when(
-            (strong == 1) & (F.size(lines) == 1),
-            "one measurement past its 99% line alone",
-        )
-        .when(
-            (strong == 0) & (F.size(lines) > 0),
-            "measurements past their 95% lines, none past 99%",
-        )
-        .otherwise("evidence that does not include two measurements past their lines")
+        F.when((strong == 1) & (F.size(lines) == 1), K.HELD_ONE_LINE)
+        .when((strong == 0) & (F.size(lines) > 0), K.HELD_NOTABLE)
+        .otherwise(K.HELD_OTHER)
     )
     named = F.when(F.col(cheat_type) == "none", "").otherwise(
         F.concat(F.lit(", "), F.col(cheat_type))
     )
-    note = F.concat(
-        F.lit("Held at unclear. The judge said cheating ("),
-        F.col(probability).cast("string"),
-        F.lit("%"),
-        named,
-        F.lit(") on "),
-        basis,
-        F.lit(
-            ". An accusation needs two measurements past their lines, one of them past "
-            "99%, or a hard-limit finding: one line alone is where 1 clean player in "
-            "100 sits by construction."
-        ),
-    )
+    said = F.concat(F.col(probability).cast("string"), F.lit("%"), named)
+    note = T.fill(K.HELD_NOTE, said=said, basis=basis)
     out = seen.withColumns(
         {
             "shown_verdict": F.when(held, "unclear").otherwise(F.col(verdict)),

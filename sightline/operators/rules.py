@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.labels import severity_rank
-from sightline.functions.text import fixed
+from sightline.functions.text import fill, fixed
 from sightline.operators.motion import ENTITY
 from sightline.operators.ordered import (
     CHUNK_TICKS,
@@ -212,12 +212,11 @@ def spinbot(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> DataFrame:
         threshold=lines.spin_speed_dps,
         baseline=lines.clean_speed_p9999,
         severity="impossible",
-        note=F.concat(
-            F.lit("view spun at a sustained "),
-            fixed(F.col("peak"), 0),
-            F.lit(" deg/s for "),
-            fixed(F.col("length") / float(K.TICK_RATE), 2),
-            F.lit(f"s; the line is {lines.spin_speed_dps:.0f} deg/s"),
+        note=fill(
+            K.NOTE_SPIN,
+            peak=fixed(F.col("peak"), 0),
+            s=fixed(F.col("length") / float(K.TICK_RATE), 2),
+            line=f"{lines.spin_speed_dps:.0f}",
         ),
         **_span(found),
     )
@@ -234,11 +233,11 @@ def aliased_spin(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> DataFra
         threshold=lines.alias_min_ticks,
         baseline=None,
         severity="impossible",
-        note=F.format_string(
-            f"view reversed direction by more than {lines.alias_min_step_deg:.0f} deg "
-            "on %d consecutive ticks: a spin faster than "
-            f"{K.MAX_MEASURABLE_SPEED:.0f} deg/s reads this way",
-            F.col("length"),
+        note=fill(
+            K.NOTE_ALIASED,
+            step=f"{lines.alias_min_step_deg:.0f}",
+            n=F.col("length"),
+            limit=f"{K.MAX_MEASURABLE_SPEED:.0f}",
         ),
         **_span(found),
     )
@@ -257,13 +256,10 @@ def kill_tick_snap(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> DataF
         threshold=lines.snap_speed_dps,
         baseline=lines.clean_snap_p9999,
         severity="strong",
-        note=F.concat(
-            F.lit("crosshair moved "),
-            fixed(F.col("yaw_speed"), 0),
-            F.lit(
-                " deg/s on the tick the kill landed, against "
-                f"{lines.clean_snap_p9999:.0f} deg/s for the most extreme clean kills"
-            ),
+        note=fill(
+            K.NOTE_SNAP,
+            speed=fixed(F.col("yaw_speed"), 0),
+            clean=f"{lines.clean_snap_p9999:.0f}",
         ),
         tick_start=F.col("tick") - K.TICK_RATE,
         tick_end=F.col("tick") + K.TICK_RATE // 2,
@@ -282,13 +278,10 @@ def impossible_pitch(deltas: DataFrame, anchors: DataFrame, lines: Lines) -> Dat
         threshold=lines.max_pitch_deg,
         baseline=None,
         severity="impossible",
-        note=F.concat(
-            F.lit("pitch reached "),
-            fixed(F.col("peak"), 1),
-            F.lit(
-                " deg; the game clamps a player's view at "
-                f"{lines.max_pitch_deg:.0f} deg"
-            ),
+        note=fill(
+            K.NOTE_PITCH,
+            peak=fixed(F.col("peak"), 1),
+            limit=f"{lines.max_pitch_deg:.0f}",
         ),
         **_span(found),
     )

@@ -14,7 +14,7 @@ from sightline.operators.features import Segments
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import CHUNK_SECONDS, number_rows, time_chunk
-from sightline.session import staged
+from sightline.session import as_utc, staged
 
 PRE, POST = 8, 4
 SEGMENTS = Segments(idle=(-8, -5), engage=(-4, 0), after=(1, 4))
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
-            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+            df = df.withColumn(field.name, as_utc(F.col(field.name)))
     return df
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def builder(app: str = "sightline") -> SparkSession.Builder:
@@ -44,3 +45,8 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def as_utc(wall_clock: Column) -> Column:
+    """A timestamp without zone, read as UTC whatever the session's zone is."""
+    return F.from_utc_timestamp(wall_clock.cast("timestamp"), F.current_timezone())

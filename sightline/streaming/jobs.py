@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.session import as_utc
+
 
 def file_stream(
     spark: SparkSession,
@@ -30,7 +32,7 @@ def file_stream(
     )
     for field in schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
-            raw = raw.withColumn(field.name, F.col(field.name).cast("timestamp"))
+            raw = raw.withColumn(field.name, as_utc(F.col(field.name)))
     return raw
 
 
