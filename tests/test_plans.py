@@ -22,7 +22,8 @@ def samples(spark):
     """One entity owns two thirds of the rows."""
     ids = spark.range(1, 30_001)
     hot = ids.select(F.lit(1).cast("long").alias("entity_id"), F.col("id").alias("tick"))
-    rest = ids.filter("id <= 100").crossJoin(spark.range(2, 152).toDF("entity_id"))
+    others = F.explode(F.sequence(F.lit(2).cast("long"), F.lit(151).cast("long")))
+    rest = ids.filter("id <= 100").withColumn("entity_id", others)
     both = hot.unionByName(rest.select("entity_id", F.col("id").alias("tick")))
     return both.select(
         F.lit(0).cast("long").alias("session_id"),
