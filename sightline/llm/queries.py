@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import bpe, decontaminate, quality, simhash
-from sightline.llm.common import table
+from sightline.llm import bpe, chat, decontaminate, quality, secrets, simhash, urls
+from sightline.llm.common import shared_folder, table
 
 
 
@@ -51,7 +52,31 @@ def tokenization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are labels of the page's number: good is quality without toxicity."""
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"),
+    )
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = shared_folder(spark, "ledger")
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), ledger))
+
+
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_added(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.formatted(turns))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_url_reputation": url_filter,
+    "op4_secret_scan": secret_scan,
+    "op9_chat_format": chat_format,
     "op2_simhash_near_dedup": near_dedup,
     "op8_bpe_coding": tokenization,
     "op7_quality_rules": quality_rules,
@@ -59,5 +84,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": secrets.ORACLE,
+    "op9_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
