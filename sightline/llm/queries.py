@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontaminate, quality, secrets, simhash, urls
+from sightline.llm import bpe, chat, decontaminate, extract, quality, secrets, simhash, urls
 from sightline.llm.common import shared_folder, table
 
 
@@ -52,6 +52,10 @@ def tokenization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are labels of the page's number: good is quality without toxicity."""
     outcomes = table(spark, sf_dir, "labels").select(
@@ -74,6 +78,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": main_text,
     "op3_url_reputation": url_filter,
     "op4_secret_scan": secret_scan,
     "op9_chat_format": chat_format,
