@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontaminate, extract, quality, secrets, simhash, urls
+from sightline.llm import bpe, chat, decontaminate, extract, language, quality, secrets, simhash, urls
 from sightline.llm.common import shared_folder, table
 
 
@@ -22,6 +22,10 @@ def vocabulary(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality.learn(documents, table(spark, sf_dir, "labels"))
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op9_chat_format": chat_format,
     "op2_simhash_near_dedup": near_dedup,
     "op8_bpe_coding": tokenization,
+    "op5_language_id": language_id,
     "op7_quality_rules": quality_rules,
     "op10_decontamination": decontamination,
 }
