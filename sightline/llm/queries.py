@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontaminate, extract, language, quality, secrets, simhash, urls
+from sightline.llm import bpe, chat, decontaminate, extract, language, ngrams, quality, secrets, simhash, urls
 from sightline.llm.common import shared_folder, table
 
 
@@ -26,6 +26,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scored(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality.learn(documents, table(spark, sf_dir, "labels"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": near_dedup,
     "op8_bpe_coding": tokenization,
     "op5_language_id": language_id,
+    "op6_kneser_ney": lm_scores,
     "op7_quality_rules": quality_rules,
     "op10_decontamination": decontamination,
 }
