@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Words kept with their tokens by each worker.
 WORDS_KEPT = 600_000
@@ -217,7 +218,30 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _batches(path: str, whole: bool):
+#: What can be given of a text's tokens, and its type.
+RESULTS = {
+    "token_ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.StringType(),
+    "n_tokens": T.LongType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
+
+
+def _column(name: str, ids: list[bytes], texts: list[str]) -> pa.Array:
+    if name == "token_ids":
+        ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    if name == "decoded":
+        return pa.array(texts, pa.string())
+    if name == "n_tokens":
+        return pa.array([len(i) // 4 for i in ids], pa.int64())
+    data = ids if name == "ids_sha256" else [t.encode() for t in texts]
+    return pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string())
+
+
+def _coder(path: str, results: tuple[str, ...], kept: list[str]):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
@@ -226,37 +250,22 @@ def _batches(path: str, whole: bool):
                 part = batch.slice(at, 64)
                 ids = [own.encode(t.as_py()) for t in part.column("text")]
                 texts = [own.decode(i) for i in ids]
-                columns = [part.column(i) for i in range(part.num_columns) if whole or part.schema.names[i] != "text"]
-                names = [n for n in part.schema.names if whole or n != "text"]
-                if whole:
-                    offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])])
-                    flat = np.frombuffer(b"".join(ids), "<u4").astype("int32")
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), pa.array(texts, pa.string())]
-                    names += ["token_ids", "decoded"]
-                else:
-                    columns += [
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                    ]
-                    names += ["n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in kept), *(_column(r, ids, texts) for r in results)],
+                    names=[*kept, *results],
+                )
 
     return code
 
 
-def coded(documents: DataFrame, path: str) -> DataFrame:
-    """``documents`` with token_ids and decoded; columns of those names are replaced."""
-    kept = documents.drop("token_ids", "decoded")
-    fields = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in kept.dtypes)
-    return kept.mapInArrow(_batches(path, True), f"{fields}, token_ids array<int>, decoded string")
+def coded(documents: DataFrame, path: str, results: tuple[str, ...] = ("token_ids", "decoded")) -> DataFrame:
+    """``documents`` with ``results`` of every text; columns of those names are replaced."""
+    kept = documents.drop(*results)
+    fields = [*kept.schema.fields, *(T.StructField(r, RESULTS[r]) for r in results)]
+    return kept.mapInArrow(_coder(path, results, kept.columns), T.StructType(fields))
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, both ways coded."""
-    kept = documents.select("doc_id", "text")
-    kind = dict(kept.dtypes)["doc_id"]
-    return kept.mapInArrow(
-        _batches(path, False),
-        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, coded both ways."""
+    found = coded(documents.select("doc_id", "text"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return found.drop("text")

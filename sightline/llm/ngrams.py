@@ -37,7 +37,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -181,6 +180,12 @@ def summed(order_by: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[np.nd
     return (*(k[heads] for k in keys), *(np.add.reduceat(v[order].astype(np.uint64), heads) for v in values))
 
 
+def summed_by_first(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """``summed`` over all parts' rows, by their first array."""
+    first, *values = (np.concatenate(column) for column in zip(*parts, strict=True))
+    return summed((first,), *values)
+
+
 def split_rows(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each shard, in the order they have."""
     order = np.argsort(shard, kind="stable")
@@ -282,9 +287,9 @@ def _words(layout: Layout):
         parts = [unpacked(d) for d in rows["data"]]
         if key[0] == -1:
             seen = np.sum([p[0] for p in parts], axis=0).tolist()
-            hot = summed(*[(x,) if i == 0 else x for i, x in enumerate(np.concatenate(c) for c in zip(*(p[1:] for p in parts), strict=True))])
+            hot = summed_by_first([p[1:] for p in parts])
             return pd.DataFrame([(0, 0, 0, [0] * 4, seen, packed(*hot))], columns=["tokens", "words", "kinds", "n", "pair_n", "hot"])
-        own, total, kinds = summed(*[(x,) if i == 0 else x for i, x in enumerate(np.concatenate(c) for c in zip(*parts, strict=True))])
+        own, total, kinds = summed_by_first(parts)
         put_file(f"{layout.folder}/words-{key[0]}", packed(own, total, kinds))
         row = (int(total.sum()), len(own), int(kinds.sum()), _counts_of_counts(kinds), [0] * 4, b"")
         return pd.DataFrame([row], columns=["tokens", "words", "kinds", "n", "pair_n", "hot"])
@@ -378,7 +383,7 @@ class Scorer:
         self.model = model
         self.files: dict[str, list[np.ndarray]] = {}
         self.d_pair, self.d_word = discounts(list(model.pair_n)), discounts(list(model.n))
-        self.hot = unpacked(model.hot)[0:] if model.hot else [np.zeros(0, np.uint64)] * 5
+        self.hot = unpacked(model.hot) if model.hot else [np.zeros(0, np.uint64)] * 5
         n1, n2 = model.n[:2]
         rest = max(0, model.words - n1 - n2)
         left = float(self.d_word[1:] @ np.array([n1, n2, rest]))
@@ -438,17 +443,16 @@ class Scorer:
         return raw[of] > 0, base[of], np.log10(upper + gamma[place] * lower[of])
 
 
-@lru_cache(maxsize=1)
-def _scorer(model_folder: str, model: _Held) -> Scorer:
-    return Scorer(model.model)
+#: The scorer of the model that a worker used last, by the model's folder.
+_KEPT: dict[str, Scorer] = {}
 
 
-@dataclass(frozen=True)
-class _Held:
-    """A model that is told apart by its folder."""
-
-    model: Model = field(compare=False, hash=False)
-    folder: str = ""
+def _scorer(model: Model) -> Scorer:
+    folder = model.layout.folder
+    if folder not in _KEPT:
+        _KEPT.clear()
+        _KEPT[folder] = Scorer(model)
+    return _KEPT[folder]
 
 
 def _score(model: Model):
@@ -471,8 +475,7 @@ def _score(model: Model):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = model.layout.folder
-        scorer = _scorer(folder, _Held(model, folder))
+        scorer = _scorer(model)
         ids, held, parts, size = [], [], [], 0
         for batch in batches:
             done = 0

@@ -7,7 +7,8 @@ labelled rows. ``verdict`` emits the ordered list as one Spark conditional expre
 Edge cases: null or empty text has no words and zero statistics; it fails the base rule.
 Repeated rows are judged one by one. Without labels of both classes the list is empty and
 only the base rule rejects. Labels of unknown documents are ignored; a document with several
-labels counts as good if any says so. Columns besides those named are passed through.
+labels counts as good if any says so. All columns of documents travel in one struct, so their
+names cannot clash.
 Five-word windows are compared by a 64-bit hash of their words.
 """
 
@@ -72,18 +73,21 @@ def repeated_words(words: Column, n: Column) -> tuple[Column, Column, Column]:
 
 
 def text_stats(documents: DataFrame) -> DataFrame:
-    """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and rates."""
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and rates).
+
+    ``row`` is a struct of all columns of ``documents``, whatever their names.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda kinds: F.length(F.regexp_replace(text, kinds, "")).cast("long")
     size = F.length(text).cast("long")
     hashes, by_hash, covered = repeated_words(F.col("words"), F.col("n"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    keep = [F.col(c) for c in documents.columns]
     return (
-        documents.select(*keep, space_words(F.col("text")).alias("words"), lines.alias("lines"))
+        documents.select(F.struct("*").alias("row"), "text")
+        .select("row", "text", space_words(F.col("text")).alias("words"), lines.alias("lines"))
         .select(
-            *keep,
+            "row",
             "words",
             F.size("words").alias("n"),
             F.size("lines").cast("long").alias("n_lines"),
@@ -205,7 +209,7 @@ def learn(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> lis
         .limit(bound)
     )
     known = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = text_stats(known).select("label_quality", *FEATURES).collect()
+    found = text_stats(known).select("row.label_quality", *FEATURES).collect()
     rows = sorted(
         ({f: r[f] for f in FEATURES} | {"bad": r.label_quality == 0} for r in found),
         key=lambda r: tuple(r[f] for f in FEATURES),
@@ -232,7 +236,7 @@ def base_failed() -> Column:
 
 
 def judged(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``documents`` with their statistics, base_failed and kept."""
+    """(row, statistics, base_failed, kept) per row of ``documents``."""
     return (
         text_stats(documents)
         .withColumn("base_failed", base_failed())

@@ -7,17 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sightline.llm import bpe, chat, decontaminate, extract, language, ngrams, quality, secrets, simhash, urls
-from sightline.llm.common import shared_folder, table
-
-
-
-def vocabulary(name: str) -> str:
-    """Where a public tokenizer's file lies."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
+from sightline.llm.common import shared_folder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +26,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality.learn(documents, table(spark, sf_dir, "labels"))
     return quality.judged(documents.select("doc_id", "text"), rules).select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -85,6 +77,10 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(turns))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": main_text,
     "op3_url_reputation": url_filter,
@@ -98,6 +94,8 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": decontamination,
 }
 
+QUERIES["pipeline"] = pipeline
+
 ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.ORACLE,
     "op9_chat_format": chat.ORACLE,

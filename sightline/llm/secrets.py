@@ -63,14 +63,19 @@ RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
 )
 
-LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,stop:int>>"
+SPANS = "array<struct<kind:string,start:int,stop:int>>"
+LEDGER = f"blob string, rules array<string>, spans {SPANS}"
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPANS)
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
     """All matches of a rule in ``text`` as structs of kind, start and stop."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+    empty = no_spans()
     begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
     def step(a: Column, pair: Column) -> Column:
@@ -109,6 +114,16 @@ def scan(
     versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id"
 ) -> DataFrame:
     """(path, blob, spans) for every row of ``versions``; the ledger in ``folder`` is extended."""
+    paths, found = findings(versions, folder, rules, path)
+    return paths.join(found, "blob", "left").select(
+        F.col("path").alias(path), "blob", F.coalesce("spans", no_spans()).alias("spans")
+    )
+
+
+def findings(
+    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(path, blob) of every row, and (blob, spans) of the blobs in the ledger with spans."""
     spark = versions.sparkSession
     open_ledger(spark, folder)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -145,7 +160,7 @@ def scan(
     )
     found = [
         F.when(F.array_contains("todo", r.version), spans_of(F.col("text"), r)).otherwise(
-            F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+            no_spans()
         )
         for r in rules
     ]
@@ -179,10 +194,7 @@ def scan(
         ),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")),
     )
-    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    return paths.join(valid.select("blob", ordered.alias("spans")), "blob", "left").select(
-        F.col("path").alias(path), "blob", F.coalesce("spans", none).alias("spans")
-    )
+    return paths, valid.select("blob", ordered.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
