@@ -132,7 +132,7 @@ def formatted(conversations: DataFrame, template: Template = PLAIN) -> DataFrame
 
 def read_back(text: Column, template: Template = PLAIN) -> Column:
     """The (role, text) turns of formatted text."""
-    parts = F.split(text, template.close, -1)
+    parts = F.split(text, f"\\Q{template.close}\\E", -1)
 
     def turn(part: Column) -> Column:
         head = F.instr(part, template.named)

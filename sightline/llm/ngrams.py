@@ -418,9 +418,7 @@ class Scorer:
         raw, kinds = self.look("words", word_shard(own, layout.word_shards), own, 0, 1, 2)
         base = np.log10((raw + 1.0) / (model.tokens + model.words + 1.0))
         a = kinds.astype(float)
-        lower = self.floor + (
-            np.maximum(a - self.d_word[np.minimum(kinds, 3).astype(int)], 0) / model.kinds if model.kinds else 0.0
-        )
+        lower = self.floor + np.maximum(a - self.d_word[np.minimum(kinds, 3).astype(int)], 0) / max(model.kinds, 1)
         # contexts: every word, and the start mark behind them
         contexts = np.r_[own, np.uint64(START)]
         shard = pair_shard(mixed(contexts) & ~np.uint64((1 << (64 - PLACE)) - 1), layout.pair_shards)
