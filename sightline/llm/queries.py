@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
 QUERIES["pipeline"] = pipeline
 
 ORACLES: dict[str, str] = {
+    "op3_url_reputation": urls.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,

@@ -152,3 +152,49 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str],
         "rate",
         "upper",
     )
+
+
+def _oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = ", ".join(
+        f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES
+    )
+    second = ", ".join(f"'{s}'" for s in SECOND)
+    low, high = STRENGTH
+
+    def prior(name: str, table: str) -> str:
+        """One row: a level's mean and strength."""
+        return f"""
+{name}_sum AS (SELECT count(*) AS g, coalesce(sum(n), 0) AS n, coalesce(sum(k), 0) AS k, sum(n * n) AS nn,
+  sum(k * k / n) AS kk FROM {table} WHERE n > 0),
+{name}_mid AS (SELECT *, k / n AS p, (k / n) * (1 - k / n) AS w, n - nn / n - (g - 1) AS free FROM {name}_sum),
+{name} AS (SELECT CASE WHEN n = 0 THEN 0.5 ELSE p END AS mean, CASE WHEN n = 0 THEN {low}
+    WHEN w <= 0 OR free <= 0 OR kk - n * p * p - w * (g - 1) <= 0 THEN {high}
+    ELSE least(greatest((1 - (kk - n * p * p - w * (g - 1)) / (w * free)) / ((kk - n * p * p - w * (g - 1)) / (w * free)), {low}), {high})
+    END AS size FROM {name}_mid),"""
+
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+part AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, rule, name, start) AS (VALUES {rules}),
+good AS (SELECT doc_id AS page_id, CAST(quality = 1 AND toxic = 0 AS INTEGER) AS good FROM labels),
+cut AS (SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k, string_split(host, '.') AS l
+  FROM part LEFT JOIN good USING (page_id) GROUP BY host),
+deep AS (SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 1 ELSE 0 END AS more FROM cut),
+hosts AS (SELECT host, n, k, array_to_string(l[-least(len(l), 2 + more):], '.') AS domain,
+  array_to_string(l[-least(len(l), 1 + more):], '.') AS suffix FROM deep),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),{prior("top", "suffixes")}{prior("mid", "domains")}{prior("low", "hosts")}
+s_rate AS (SELECT suffix, (k + size * mean) / (n + size) AS rate FROM suffixes, top),
+d_rate AS (SELECT domain, suffix, (k + size * s.rate) / (n + size) AS rate FROM domains JOIN s_rate s USING (suffix), mid),
+h_rate AS (SELECT host, (k + size * d.rate) / (n + size) AS rate, n + size AS total FROM hosts JOIN d_rate d USING (domain, suffix), low),
+named AS (SELECT p.*, rate + {WIDTH} * sqrt(rate * (1 - rate) / (total + 1)) AS upper,
+  (SELECT max_by(rule, length(rule)) FROM rules WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS rule
+  FROM part p JOIN h_rate USING (host))
+SELECT page_id, host, path, n.rule, coalesce(r.verdict, CASE WHEN upper < {CUT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n LEFT JOIN rules r ON n.rule = r.rule
+"""
+
+
+ORACLE = _oracle()
