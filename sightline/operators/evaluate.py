@@ -117,7 +117,7 @@ def bootstrap_auc(
     )
     digest = F.md5(F.concat_ws("/", "_key", "replicate", F.lit(seed)))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = tall.withColumn("w", poisson_weight(u))
+    drawn = tall.withColumn("_u", u).withColumn("w", poisson_weight(F.col("_u")))
     hist = score_histogram(
         drawn.filter(F.col("w") > 0),
         F.col("_score"),

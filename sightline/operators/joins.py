@@ -9,7 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.angles import ticks_to_ms
-from sightline.operators.ordered import last_known, number_rows, tick_chunk
+from sightline.operators.ordered import (
+    attach_row,
+    last_known,
+    number_rows,
+    tick_chunk,
+)
 
 
 def asof_join(
@@ -302,23 +307,16 @@ def step_lookup(
     ``cuts`` is a quantile grid: a fixed number of rows per reference group. It is
     folded into one array per group, so the lookup is a plain equi-join.
     """
-    keys = list(by) or ["_everything"]
-    left, grid = rows, cuts
-    if not by:
-        left = rows.withColumn("_everything", F.lit(0))
-        grid = cuts.withColumn("_everything", F.lit(0))
-    steps = grid.groupBy(*keys).agg(
+    steps = cuts.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(F.col(cut), F.col(level)))).alias("_steps")
     )
     under = F.filter("_steps", lambda s: s[cut] <= F.col(value))
     found = F.array_max(F.transform(under, lambda s: s[level]))
-    return (
-        left.join(steps, keys, "left")
-        .withColumn(
-            name, F.when(F.col(value).isNotNull(), F.coalesce(found, F.lit(0.0)))
-        )
-        .drop("_steps", "_everything")
-    )
+    # without groups the grid is one row, and only that row is broadcast
+    placed = rows.join(steps, list(by), "left") if by else attach_row(rows, steps)
+    return placed.withColumn(
+        name, F.when(F.col(value).isNotNull(), F.coalesce(found, F.lit(0.0)))
+    ).drop("_steps")
 
 
 def compare_tables(

@@ -179,6 +179,6 @@ def cumulative_counts(
         {f"{c}_upto": F.col(c) for c in counts},
         grand={f"{c}_total": f"{c}_upto" for c in counts},
     )
-    for c in counts:
-        out = out.withColumn(f"{c}_below", F.col(f"{c}_upto") - F.col(c))
-    return out
+    return out.withColumns(
+        {f"{c}_below": F.col(f"{c}_upto") - F.col(c) for c in counts}
+    )

@@ -17,6 +17,7 @@ from sightline.functions.angles import (
     wrap_degrees,
 )
 from sightline.operators.ordered import (
+    attach_row,
     last_known,
     neighbours,
     tick_chunk,
@@ -150,7 +151,8 @@ def line_of_sight(
     """Add ``visible``: no triangle of the same map lies between the two points.
 
     ``keys`` identify a segment. Points closer than the near clip see each other;
-    an unknown position gives NULL. Triangles and segments meet in the voxel cells
+    an unknown position gives NULL, and so does a map without triangles: nothing is
+    known of it. Triangles and segments meet in the voxel cells
     both touch; the test is the condition of a semi join, so pairs are tried and
     never produced. A cell with more than ``cell_triangles`` triangles is split
     over salts, the segments visiting it are sent to each. Segments are read twice
@@ -216,12 +218,16 @@ def line_of_sight(
         .withColumn("_blocked", F.lit(True))
     )
     out = segments.withColumn("_dist", length).join(blocked, list(keys), "left")
+    # one row: the maps there are triangles of
+    out = attach_row(out, triangles.agg(F.collect_set(by).alias("_meshes")))
+    unknown = F.col("_dist").isNull() | F.isnan("_dist")
+    no_mesh = ~F.coalesce(F.array_contains("_meshes", F.col(by)), F.lit(False))
     return out.withColumn(
         name,
-        F.when(F.col("_dist").isNull() | F.isnan("_dist"), F.lit(None))
+        F.when(unknown | no_mesh, F.lit(None))
         .when(F.col("_dist") <= near_clip, True)
         .otherwise(F.col("_blocked").isNull()),
-    ).drop("_dist", "_blocked")
+    ).drop("_dist", "_blocked", "_meshes")
 
 
 def live_samples(
@@ -236,7 +242,7 @@ def live_samples(
 def sightings(
     live: DataFrame, triangles: DataFrame, *, voxel: float = 64.0, **sight: float
 ) -> DataFrame:
-    """Every (entity, enemy) pair of a sample with ``sees``.
+    """Every (entity, enemy) pair of a sample with ``sees``; NULL where sight is unknown.
 
     Line of sight is symmetric at equal heights, so each unordered pair is tested
     once and then read in both directions.
@@ -272,18 +278,25 @@ def sightings(
     both = seen.select(*keep, "clear", F.inline(F.array(view("a", "b"), view("b", "a"))))
     return both.withColumns(target_angles()).withColumn(
         "sees",
-        F.coalesce("clear", F.lit(False))
-        & F.coalesce(in_field_of_view(), F.lit(False)),
+        F.when(
+            F.col("clear").isNotNull(),
+            F.col("clear") & F.coalesce(in_field_of_view(), F.lit(False)),
+        ),
     )
 
 
 def visibility_mask(seen: DataFrame, roster: DataFrame) -> DataFrame:
     """``sees`` as bits: bit i is set when the entity with roster index i is seen.
 
-    ``roster``: session_id, entity_id, i. A mask holds up to 63 entities a session.
+    ``roster``: session_id, entity_id, i. A mask holds 63 entities a session; a larger
+    index fails the job, since its bit would stand for another entity.
     """
+    index = F.col("i").cast("int")
+    fits = F.when(index.between(0, 62), index).otherwise(
+        F.raise_error(F.concat(F.lit("no bit for roster index "), index.cast("string")))
+    )
     bits = roster.select(
-        "session_id", F.col("entity_id").alias("enemy_id"), F.col("i").alias("_i")
+        "session_id", F.col("entity_id").alias("enemy_id"), fits.alias("_i")
     )
     return (
         seen.filter("sees")

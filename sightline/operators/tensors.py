@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,28 +106,15 @@ def score_windows(
     def wrapped(batches):
         yield from run(batches)
 
+    # pandas is imported only here, so the types that tell the kind of UDF are set here
     wrapped.__annotations__ = {
-        "batches": "Iterator[Tuple[pd.Series, ...]]",
-        "return": "Iterator[pd.Series]",
+        "batches": Iterator[tuple[pd.Series, ...]],
+        "return": Iterator[pd.Series],
     }
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    udf = F.pandas_udf(wrapped, T.DoubleType(), PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(wrapped, T.DoubleType())
     return tensors.withColumn(name, udf(*[F.col(c) for c in channels]))
 
 
-def onnx_scorer(path: str, input_name: str = "windows") -> Callable[[], Scorer]:
-    """A scorer that runs an ONNX file every worker can read."""
-
-    def make() -> Scorer:
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(path)
-        return lambda x: session.run(None, {input_name: x})[0]
-
-    return make
-
-
 def out_of_fold_scores(
     rows: DataFrame,
     features: Sequence[str],

@@ -80,9 +80,24 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (application, table folder, files as they were) to the stored sample table.
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample table as ingest leaves it: written once, read by several branches."""
-    return staged(samples(spark, sf_dir))
+    """The sample table as ingest leaves it: written once per version of its files.
+
+    Readers share it and read only their columns and rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        f"{sf_dir}/events.parquet"
+    )
+    seen = files.select("path", "modificationTime", "length").orderBy("path").collect()
+    version = tuple((r.path, r.modificationTime, r.length) for r in seen)
+    key = (spark.sparkContext.applicationId, sf_dir, version)
+    if key not in _STORED:
+        _STORED[key] = staged(samples(spark, sf_dir))
+    return _STORED[key]
 
 
 def deltas(s: DataFrame) -> DataFrame:

@@ -12,27 +12,24 @@ from sightline.streaming import jobs
 
 
 def _events(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return jobs.file_stream(spark, d, schema, pattern="events.parquet")
+    # one file or a folder of parts
+    table = f"{d}/events.parquet"
+    return jobs.file_stream(spark, table, spark.read.parquet(table).schema)
 
 
-def _drain(spark, stream):
+def _places(spark):
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    jobs.run_once(stream, f"{root}/out", f"{root}/state")
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
-_CLOSED = "(SELECT max(epoch(ts)) - 3600 FROM events)"
+    return f"{root}/out", f"{root}/state"
 
 
 @query(
     "user_id:l started:d events:l total:d",
-    f"""WITH e AS (SELECT *, epoch(ts) AS s FROM events),
+    """WITH e AS (SELECT *, epoch(ts) AS s FROM events),
 b AS (SELECT *, CASE WHEN s - lag(s) OVER w < 21600 THEN 0 ELSE 1 END AS st FROM e
   WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
 g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY s, event_id) AS burst FROM b)
 SELECT user_id, min(s) AS started, count(*) AS events, sum(value) AS total
-FROM g GROUP BY user_id, burst HAVING max(s) + 21600 <= {_CLOSED}""",
+FROM g GROUP BY user_id, burst""",
 )
 def stream_bursts(spark, d):
     found = jobs.burst_stream(
@@ -40,18 +37,17 @@ def stream_bursts(spark, d):
         ["user_id"],
         "ts",
         gap="6 hours",
-        delay="1 hour",
         aggs=[F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")],
     )
-    return _drain(spark, found).withColumn(
+    return jobs.run_complete(found, *_places(spark)).withColumn(
         "started", F.col("burst.start").cast("double")
     )
 
 
 @query(
     "event_type:s slot:l events:l mean:d",
-    f"""SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, count(*) AS events, avg(value) AS mean
-FROM events GROUP BY 1, 2 HAVING (slot + 1) * 86400 <= {_CLOSED}""",
+    """SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, count(*) AS events, avg(value) AS mean
+FROM events GROUP BY 1, 2""",
 )
 def stream_rates(spark, d):
     found = jobs.rate_stream(
@@ -59,14 +55,13 @@ def stream_rates(spark, d):
         ["event_type"],
         "ts",
         size="1 day",
-        delay="1 hour",
         aggs=[F.count(F.lit(1)).alias("events"), F.avg("value").alias("mean")],
     )
-    return _drain(spark, found).withColumn(
+    return jobs.run_complete(found, *_places(spark)).withColumn(
         "slot", (F.col("slot.start").cast("long") / 86400).cast("long")
     )
 
 
 @query("path:s bytes:l sha256:s", None)
 def stream_ingest(spark, d):
-    return _drain(spark, jobs.new_files(spark, d, pattern="*.parquet"))
+    return jobs.ingest(jobs.file_rows(spark, d, pattern="*.parquet"), *_places(spark))

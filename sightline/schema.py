@@ -49,9 +49,14 @@ DEATHS = T.StructType(
         T.StructField("victim_id", T.StringType()),
         T.StructField("weapon", T.StringType()),
         T.StructField("headshot", T.BooleanType()),
+        T.StructField("distance", T.DoubleType()),
+        T.StructField("penetrated", T.IntegerType()),
+        T.StructField("noscope", T.BooleanType()),
+        T.StructField("thrusmoke", T.BooleanType()),
     ]
 )
 DEATH_ALIASES = {
+    "penetrated": ("penetrated", "num_penetrations"),
     "attacker_id": ("attacker_id", "attacker_steamid", "attacker"),
     "victim_id": ("victim_id", "user_steamid", "user"),
 }

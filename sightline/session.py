@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,17 @@ def builder(app: str = "sightline") -> SparkSession.Builder:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder lineage is cut into: the cluster's own, a local one only if none is set."""
+    """The folder lineage is cut into: the cluster's own.
+
+    Where none is set, a temporary one if driver and executors are one process; on a
+    cluster they would not see each other's files, so that raises.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = shared or tempfile.mkdtemp(prefix="sightline-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target

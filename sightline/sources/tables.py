@@ -107,8 +107,12 @@ def event_rows(files: DataFrame, kinds: Sequence[str] | None = None) -> DataFram
 
 
 def _spread(events: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named values as columns; ``extras`` keeps every value, by its source's name."""
     return events.select(
-        "session_id", "kind", *[F.col("row")[n].alias(n) for n in names]
+        "session_id",
+        "kind",
+        *[F.col("row")[n].alias(n) for n in names],
+        F.col("row").alias("extras"),
     )
 
 
@@ -118,7 +122,7 @@ def normalise_deaths(events: DataFrame) -> DataFrame:
         | {a for group in DEATH_ALIASES.values() for a in group}
     )
     wide = _spread(events.filter(F.col("kind") == "player_death"), names)
-    return conform(wide, DEATHS, DEATH_ALIASES, keep=["session_id"])
+    return conform(wide, DEATHS, DEATH_ALIASES, keep=["session_id", "extras"])
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
@@ -127,7 +131,27 @@ def normalise_events(events: DataFrame) -> DataFrame:
         | {a for group in EVENT_ALIASES.values() for a in group}
     )
     wide = _spread(events.filter(F.col("kind") != "player_death"), names)
-    return conform(wide, EVENTS, EVENT_ALIASES, keep=["session_id", "kind"])
+    return conform(wide, EVENTS, EVENT_ALIASES, keep=["session_id", "kind", "extras"])
+
+
+def with_death_details(windows: DataFrame, deaths: DataFrame) -> DataFrame:
+    """Windows with what the death at their anchor says: distance, walls, smoke.
+
+    ``windows``: session_id, entity_id, target_id, anchor_tick. Several deaths of one
+    pair on one tick give the farthest-reaching of each value, so rows stay single.
+    """
+    details = deaths.groupBy(
+        "session_id",
+        F.col("attacker_id").alias("entity_id"),
+        F.col("victim_id").alias("target_id"),
+        F.col("tick").alias("anchor_tick"),
+    ).agg(
+        F.max("distance").alias("distance"),
+        F.max("penetrated").alias("walls_penetrated"),
+        F.max("thrusmoke").alias("through_smoke"),
+    )
+    keys = ["session_id", "entity_id", "target_id", "anchor_tick"]
+    return windows.join(details, keys, "left")
 
 
 def read_labels(files: DataFrame) -> DataFrame:

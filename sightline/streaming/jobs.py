@@ -1,7 +1,8 @@
 """Incremental forms of batch operators: ingest, bursts, rates.
 
-Each takes and returns a streaming DataFrame; ``run_once`` drains what is there and
-stops, so a restart goes on from its checkpoint.
+What a drain puts out does not depend on how files fall into batches. ``run_complete`` keeps
+every group in the state and loses no row, however late; ``run_once`` bounds the state by a
+watermark and fails if that would drop a row. A restart goes on from its checkpoint.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sightline.session import as_utc
 
@@ -23,10 +25,11 @@ def file_stream(
     pattern: str = "*.parquet",
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """New Parquet files of a folder; timestamps without zone are read as UTC."""
+    """New Parquet files at any depth of a folder; timestamps without zone are read as UTC."""
     raw = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
@@ -36,10 +39,10 @@ def file_stream(
     return raw
 
 
-def new_files(
-    spark: SparkSession, folder: str, *, pattern: str = "*", delay: str = "7 days"
+def file_rows(
+    spark: SparkSession, folder: str, *, pattern: str = "*", files_per_batch: int = 1000
 ) -> DataFrame:
-    """Manifest rows of files not seen before, by content hash."""
+    """Manifest rows (path, modified, bytes, sha256) of files at any depth of a folder."""
     schema = T.StructType(
         [
             T.StructField("path", T.StringType()),
@@ -52,39 +55,65 @@ def new_files(
         spark.readStream.format("binaryFile")
         .schema(schema)
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        # a file's age says nothing about whether it was taken in
+        .option("maxFileAge", "36500d")
         .load(folder)
     )
-    return (
-        files.select(
-            "path",
-            F.col("modificationTime").alias("modified"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-        .withWatermark("modified", delay)
-        .dropDuplicatesWithinWatermark(["sha256"])
+    return files.select(
+        "path",
+        F.col("modificationTime").alias("modified"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
     )
 
 
+def ingest(files: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Drain ``file_rows`` into a manifest at ``out``: one row per content, the first path.
+
+    What was seen is the manifest itself, without a time limit. A batch writes its own
+    folder over, so one that is repeated after a failure leaves the same rows.
+    """
+    spark = files.sparkSession
+    schema = files.schema
+
+    def take(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("sha256").agg(
+            F.min(F.struct("path", "modified", "bytes")).alias("f")
+        ).select("f.path", "f.modified", "f.bytes", "sha256")
+        spark_ = batch.sparkSession
+        if number > 0:
+            known = spark_.read.schema(schema).parquet(
+                *[f"{out}/batch={i}" for i in range(number)]
+            )
+            first = first.join(known.select("sha256"), "sha256", "left_anti").select(
+                first.columns
+            )
+        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _drain(files.writeStream.foreachBatch(take), checkpoint)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+
+
 def burst_stream(
     events: DataFrame,
     keys: Sequence[str],
     ts: str,
     *,
     gap: str,
-    delay: str,
     aggs: Sequence[Column],
+    delay: str | None = None,
 ) -> DataFrame:
-    """Bursts per key that end after ``gap`` without an event; emitted when closed.
+    """Bursts per key that end after ``gap`` without an event.
 
-    Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` when
-    single keys are busy: rows of a batch are then merged before they are shuffled.
+    With ``delay`` closed bursts leave the state (``run_once``); without, all stay and
+    open ones are put out too (``run_complete``). Set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` when single
+    keys are busy: rows of a batch are then merged before they are shuffled.
     """
-    return (
-        events.withWatermark(ts, delay)
-        .groupBy(*keys, F.session_window(ts, gap).alias("burst"))
-        .agg(*aggs)
-    )
+    late = events.withWatermark(ts, delay) if delay else events
+    return late.groupBy(*keys, F.session_window(ts, gap).alias("burst")).agg(*aggs)
 
 
 def rate_stream(
@@ -93,25 +122,58 @@ def rate_stream(
     ts: str,
     *,
     size: str,
-    delay: str,
     aggs: Sequence[Column],
     slide: str | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Aggregates per key and time window; late rows within ``delay`` still count."""
+    """Aggregates per key and time window; ``delay`` as in ``burst_stream``."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return (
-        events.withWatermark(ts, delay).groupBy(*keys, window.alias("slot")).agg(*aggs)
-    )
+    late = events.withWatermark(ts, delay) if delay else events
+    return late.groupBy(*keys, window.alias("slot")).agg(*aggs)
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Append everything available to a Parquet table and stop."""
+def _drain(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
+        writer.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return query
+
+
+def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Append everything available to a Parquet table and stop.
+
+    Fails if the watermark dropped rows: the table then lacks them, and is to be made
+    anew with a longer delay, or by ``run_complete``.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", out)
+    query = _drain(writer, checkpoint)
+    dropped = sum(
+        int(state.numRowsDroppedByWatermark)
+        for progress in query.recentProgress
+        for state in progress.stateOperators
+    )
+    if dropped:
+        raise ValueError(f"{dropped} rows came later than the watermark allows")
+
+
+def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Everything available, aggregated whole; the table after the last batch.
+
+    Each batch writes the whole result to a folder of its own, so a reader never sees
+    half of one.
+    """
+    last: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        path = f"{out}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    _drain(stream.writeStream.outputMode("complete").foreachBatch(put), checkpoint)
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*last)

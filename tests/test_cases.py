@@ -49,8 +49,8 @@ def test_one_line_is_only_a_doubt(spark):
     assert verdict(df) == ("unclear", 60, "none")
     got = Z.targets(df).first()
     assert got.reasons[1] == (
-        "the strongest signal: 90% of their flicks never corrected direction, "
-        "against 10% for clean players"
+        "the strongest signal: 90% of their quick turns ran straight to the end; "
+        "clean players: 10%"
     )
 
 
@@ -70,7 +70,7 @@ def test_a_sniper_is_not_accused_of_walls(spark):
     assert verdict(case(spark, seen))[0] == "cheating"
     sniper = case(spark, {**seen, "sniper_share": 0.7})
     assert verdict(sniper)[0] == "unclear"
-    assert "snipes heavily" in Z.targets(sniper).first().caveats[0]
+    assert "sniper rifles" in Z.targets(sniper).first().caveats[0]
 
 
 def rule(severity):
@@ -87,17 +87,17 @@ def test_unexplained_awareness(spark):
     hidden = moment(sight_checked=True, aim_through_wall_share=0.8)
     heard = moment(sight_checked=True, aim_through_wall_share=0.8, victim_was_running=True)
     both = Z.targets(case(spark, {}, moments=[hidden, hidden, heard])).first()
-    assert both.points[0].reason.endswith("on 2 of their 3 most suspicious kills")
+    assert both.points[0].reason.startswith("in 2 of the 3 kills that stand out most")
     assert Z.targets(case(spark, {}, moments=[hidden, heard])).first().points == []
     explained = Z.targets(case(spark, {}, moments=[heard])).first()
-    assert explained.caveats[0].startswith("their aim through cover came after")
+    assert explained.caveats[0].startswith("before they aimed at a hidden enemy")
 
 
 def test_guard_holds_a_lone_line(spark):
     df = case(spark, {"straight_share": 0.9}).selectExpr("*", "'cheating' verdict", "90 probability", "'aimbot' cheat_type")
     got = Z.guard(df).first()
     assert (got.shown_verdict, got.shown_probability, got.shown_type) == ("unclear", 60, "none")
-    assert "(90%, aimbot) on one measurement past its 99% line alone" in got.held_note
+    assert "(90%, aimbot), and the ground for it is a single value beyond a 99% line" in got.held_note
     fine = case(spark, {"straight_share": 0.9, "wall_aim_share": 0.25}).selectExpr("*", "'cheating' verdict", "90 probability", "'aimbot' cheat_type")
     assert Z.guard(fine).first().held_note is None
 

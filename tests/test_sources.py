@@ -24,7 +24,8 @@ def folder(spark, tmp_path_factory):
     for where, name, listed in (("with_cheater_present", "1", ["Player_1"]), ("no_cheater_present", "2", [])):
         (root / where).mkdir()
         body = {
-            "player_death": [{"tick": 5, "attacker_steamid": "Player_1", "user_steamid": "Player_2", "weapon": "ak47", "headshot": True}],
+            "player_death": [{"tick": 5, "attacker_steamid": "Player_1", "user_steamid": "Player_2", "weapon": "ak47", "headshot": True,
+                              "distance": 12.5, "num_penetrations": 2, "thrusmoke": True, "assister": "Player_9"}],
             "weapon_fire": [{"tick": 4, "user_steamid": "Player_1", "weapon": "ak47"}],
             "cheaters": [{"steamid": s} for s in listed],
             "CSstats_info": [{"map": "de_nuke", "avg_rank": "Gold"}],
@@ -44,6 +45,13 @@ def test_event_files(spark, folder):
     events = tables.event_rows(files)
     deaths = tables.normalise_deaths(events)
     assert rows(deaths, "attacker_id", "victim_id", "tick", "headshot") == [("Player_1", "Player_2", 5, True)] * 2
+    kept = deaths.select("distance", "penetrated", "thrusmoke", "noscope", F.col("extras")["assister"].alias("a"))
+    assert [tuple(r) for r in kept.collect()] == [(12.5, 2, True, None, "Player_9")] * 2
+    windows = deaths.filter("session_id = 'no_cheater_present/2'").select(
+        "session_id", F.col("attacker_id").alias("entity_id"), F.col("victim_id").alias("target_id"), F.col("tick").alias("anchor_tick")
+    )
+    detailed = tables.with_death_details(windows.unionByName(windows.withColumn("anchor_tick", F.lit(9))), deaths)
+    assert rows(detailed, "anchor_tick", "walls_penetrated", "through_smoke") == [(5, 2, True), (9, None, None)]
     fired = tables.normalise_events(events)
     assert rows(fired, "kind", "player_id", "tick") == [("weapon_fire", "Player_1", 4)] * 2
     sessions = tables.read_sessions(files).filter("map is not null")
