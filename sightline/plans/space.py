@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sightline.operators import context as C
 from sightline.operators import evaluate as E
+from sightline.operators import sessions as W
 from sightline.operators import spatial as S
 from sightline.operators.joins import state_of
 from sightline.plans import adapters as A
 from sightline.plans.registry import query
-from sightline.session import staged
+from sightline.session import ensure_checkpoint_dir, staged
 
 _SHOTS_SQL = f"""
 seg AS (SELECT w.window_uid, w.session_id % 2 AS map, a.x AS ox, a.y AS oy, a.z + 64 AS oz,
@@ -157,6 +160,96 @@ def last_seen(spark, d):
     return C.last_seen(windows, seen, F.col("visible"))
 
 
+_SESSION_SQL = f"""
+offs AS (SELECT unnest(range(-40, -7, 4)) AS tick_offset),
+spots AS (SELECT window_uid, session_id, entity_id, target_id, tick + tick_offset AS at, tick_offset, 'back' AS kind FROM win CROSS JOIN offs
+  UNION ALL SELECT window_uid, session_id, entity_id, target_id, tick, tick_offset, 'tick' FROM wt),
+seg AS (SELECT w.window_uid, w.kind, w.tick_offset, w.session_id % 2 AS map, a.x AS ox, a.y AS oy, a.z + 64 AS oz,
+    t.x - a.x AS dx, t.y - a.y AS dy, t.z - a.z AS dz,
+    sqrt(power(t.x - a.x, 2) + power(t.y - a.y, 2) + power(t.z - a.z, 2)) AS dist
+  FROM spots w
+  JOIN samples a ON a.session_id = w.session_id AND a.entity_id = w.entity_id AND a.tick = w.at
+  JOIN samples t ON t.session_id = w.session_id AND t.entity_id = w.target_id AND t.tick = w.at
+  WHERE w.session_id % 2 = 0),
+{A.MESH_SQL}, {A.blocked_sql("seg", "window_uid, kind, tick_offset")},
+clear AS (SELECT s.window_uid, s.kind, s.tick_offset FROM seg s
+  ANTI JOIN (SELECT b.* FROM blocked b JOIN seg USING (window_uid, kind, tick_offset) WHERE dist > 8) USING (window_uid, kind, tick_offset)),
+rays AS (SELECT window_uid, -max(tick_offset) FILTER (kind = 'back') / 64.0 * 1000 AS last_seen_ms,
+  count(*) FILTER (kind = 'tick') AS seen FROM clear GROUP BY 1),
+flags AS (SELECT w.window_uid, count(*) FILTER (t.spotted_by_target) AS seen
+  FROM wt w JOIN samples t ON t.session_id = w.session_id AND t.entity_id = w.target_id AND t.tick = w.tick GROUP BY 1),
+shots AS (SELECT window_uid, count(*) FILTER (shot AND weapon <> 'knife') AS shots FROM wt GROUP BY 1),
+al AS (SELECT session_id, tick, team, count(*) AS alive FROM samples WHERE is_alive GROUP BY 1, 2, 3),
+ac AS (SELECT w.window_uid, a.alive AS allies_alive, e.alive AS enemies_alive
+  FROM win w JOIN samples s USING (session_id, entity_id, tick)
+  LEFT JOIN al a ON a.session_id = w.session_id AND a.tick = w.tick AND a.team = s.team
+  JOIN al e ON e.session_id = w.session_id AND e.tick = w.tick AND e.team <> s.team),
+fr AS (SELECT w.window_uid, (max(w.tick) - max(s.tick)) / 64.0 * 1000 AS victim_fired_ms_ago FROM win w JOIN samples s
+   ON s.session_id = w.session_id AND s.entity_id = w.target_id AND s.shot AND s.tick BETWEEN w.tick - 12 AND w.tick GROUP BY 1),
+mv AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) * 64 AS speed
+  FROM samples WINDOW w AS (PARTITION BY session_id, entity_id ORDER BY tick)),
+rn AS (SELECT DISTINCT w.window_uid FROM win w
+  JOIN mv v ON v.session_id = w.session_id AND v.entity_id = w.target_id AND v.tick BETWEEN w.tick - 12 AND w.tick
+  JOIN samples a ON a.session_id = w.session_id AND a.entity_id = w.entity_id AND a.tick = v.tick
+  WHERE v.speed > 20000 AND sqrt(power(v.x - a.x, 2) + power(v.y - a.y, 2) + power(v.z - a.z, 2)) < 150)"""
+
+
+def _session_windows(spark, d):
+    """Windows and ticks with sight by rays on even sessions and by the flag on odd ones."""
+    s = A.stored_samples(spark, d)
+    sessions = A.with_map(s.select("session_id").distinct())
+    return W.session_windows(
+        s,
+        A.anchors(s),
+        sessions,
+        A.mesh(spark, d).filter("map = 0"),
+        pre=A.PRE,
+        post=A.POST,
+        look_back={"first": -40, "last": -8, "stride": 4},
+        span=A.SPAN,
+        audible_speed=20000.0,
+        earshot=150.0,
+        voxel=A.VOXEL,
+    )
+
+
+@query(
+    "window_uid:s map:l sight_checked:b last_seen_ms:d victim_fired_ms_ago:d "
+    "victim_was_running:b allies_alive:l enemies_alive:l",
+    f"""WITH {A.WINDOWS_SQL}, {_SESSION_SQL}
+SELECT w.window_uid, w.session_id % 2 AS map, w.session_id % 2 = 0 AS sight_checked, r.last_seen_ms,
+  fr.victim_fired_ms_ago, rn.window_uid IS NOT NULL AS victim_was_running, ac.allies_alive, ac.enemies_alive
+FROM win w LEFT JOIN rays r USING (window_uid) LEFT JOIN fr USING (window_uid) LEFT JOIN rn USING (window_uid)
+LEFT JOIN ac USING (window_uid)""",
+)
+def session_windows(spark, d):
+    return _session_windows(spark, d)[0]
+
+
+@query(
+    "window_uid:s label:s visibility_source:s seen:l shots:l",
+    f"""WITH {A.WINDOWS_SQL}, {_SESSION_SQL},
+lab AS (SELECT DISTINCT window_uid, label FROM wt)
+SELECT window_uid, label, CASE WHEN w.session_id % 2 = 0 THEN 'raycast' ELSE 'spotting_flag' END AS visibility_source,
+  coalesce(CASE WHEN w.session_id % 2 = 0 THEN r.seen ELSE f.seen END, 0) AS seen, shots
+FROM win w LEFT JOIN rays r USING (window_uid) LEFT JOIN flags f USING (window_uid)
+JOIN shots USING (window_uid) JOIN lab USING (window_uid)""",
+)
+def window_dataset(spark, d):
+    """The labelled set, stored and read back, summed per window."""
+    windows, ticks = _session_windows(spark, d)
+    roster = windows.select("session_id", "entity_id").distinct()
+    listed = roster.filter("entity_id % 7 = 0")
+    sessions = roster.select(
+        "session_id", (F.col("session_id") % 2 == 1).alias("has_listed")
+    ).distinct()
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+    _, stored = W.window_dataset(windows, ticks, listed, sessions, root)
+    return stored.groupBy("window_uid", "label", "visibility_source").agg(
+        F.count_if("target_visible").alias("seen"), F.count_if("shot").alias("shots")
+    )
+
+
 _BOX_SQL = """
 pl AS (SELECT session_id % 2 AS map, x, y, z FROM samples WHERE is_alive),
 bx0 AS (SELECT map, quantile_cont(x, 0.001) AS x0, quantile_cont(x, 0.999) AS x1,
