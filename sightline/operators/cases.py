@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sightline import constants as K
 from sightline.functions import text as T
 from sightline.functions.labels import (
+    alias_ids,
     corroborated,
     fingerprint,
     level,
@@ -125,6 +126,23 @@ def reference_row(baselines: DataFrame, lines: DataFrame) -> DataFrame:
     return attach_row(base, edges)
 
 
+def report_places(entities: DataFrame) -> DataFrame:
+    """``place`` of each entity in its session's report, and its ``alias``.
+
+    Flagged entities come first, then higher scores, unscored ones last; aliases number
+    a session's entities by the text of their ids. A session's roster is small.
+    """
+    session = W.partitionBy("session_id")
+    identity = F.col("entity_id").cast("string")
+    order = session.orderBy(F.desc("flagged"), F.desc_nulls_last("score"), identity)
+    return entities.withColumns(
+        {
+            "place": F.row_number().over(order),
+            "alias": alias_ids(F.row_number().over(session.orderBy(identity))),
+        }
+    )
+
+
 def case_documents(
     entities: DataFrame,
     moments: DataFrame,

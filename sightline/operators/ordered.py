@@ -82,6 +82,29 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn(key, F.lit(0)).join(single, key).drop(key)
 
 
+#: Rows that ``attach_small`` takes from a table at most.
+SMALL_ROWS = 1000
+
+
+def attach_small(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of one row per key and few keys, without a shuffle by key.
+
+    The table travels as one row, so a handful of keys never gathers ``df`` in as many
+    tasks. More than SMALL_ROWS keys fail the job rather than be broadcast.
+    """
+    others = [c for c in table.columns if c != key]
+    entries = F.collect_list(F.struct(F.col(key), F.struct(*others)))
+    count = F.count(F.lit(1))
+    few = F.when(count <= SMALL_ROWS, entries).otherwise(
+        F.raise_error(F.lit(f"more than {SMALL_ROWS} keys of {key}"))
+    )
+    row = table.filter(F.col(key).isNotNull()).agg(F.map_from_entries(few).alias("_table"))
+    found = attach_row(df, row).withColumn("_found", F.col("_table")[F.col(key)])
+    return found.filter(F.col("_found").isNotNull()).select(
+        *df.columns, *[F.col("_found")[c].alias(c) for c in others]
+    )
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

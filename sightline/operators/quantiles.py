@@ -167,6 +167,43 @@ def feature_quantiles(
     )
 
 
+def distribution(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    percentiles: Mapping[str, float],
+    *,
+    method: str = "nearest",
+) -> DataFrame:
+    """Per key and column: n, nulls, mean, std, min, max and the chosen percentiles.
+
+    Columns become rows first, so all of them take one pass; a column without a value
+    has NULLs and n = 0.
+    """
+    by = [*keys, "column"]
+    tall = df.select(
+        *keys,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                    for c in columns
+                ]
+            )
+        ).alias("_c"),
+    ).select(*keys, "_c.*")
+    moments = tall.groupBy(*by).agg(
+        F.count("value").alias("n"),
+        F.count_if(F.col("value").isNull()).alias("nulls"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    cuts = quantiles(tall.filter("value is not null"), by, "value", percentiles, method=method)
+    return moments.join(cuts, by, "left")
+
+
 def cumulative_counts(
     df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]
 ) -> DataFrame:

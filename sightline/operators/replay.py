@@ -163,12 +163,18 @@ def replay_objectives(
 
 
 def replay_documents(
-    grid: DataFrame, intervals: DataFrame, events: DataFrame
+    grid: DataFrame,
+    intervals: DataFrame,
+    events: DataFrame,
+    spans: DataFrame | None = None,
+    objectives: DataFrame | None = None,
 ) -> DataFrame:
     """One nested document per (session, round).
 
     ``events``: session_id, number, kind, tick, entity_id, x, y (the tables above in
-    one shape). A round holds one roster and one round's events.
+    one shape). ``spans`` (smokes and fires): session_id, number, kind, tick, until, x,
+    y. ``objectives`` are shaped like events. A round holds one roster and one round's
+    events; each list is in order of tick.
     """
     players = grid.groupBy("session_id", "number").agg(
         F.min("t0").alias("t0"),
@@ -181,8 +187,18 @@ def replay_documents(
             F.collect_list(F.struct("tick", "kind", "entity_id", "x", "y"))
         ).alias("events")
     )
-    return (
-        intervals.join(players, ["session_id", "number"])
-        .join(happened, ["session_id", "number"], "left")
-        .select("session_id", "number", "start", "end", "t0", "players", "events")
+    out = intervals.join(players, ["session_id", "number"]).join(
+        happened, ["session_id", "number"], "left"
     )
+    parts = ["players", "events"]
+    more = {
+        "spans": (spans, ("tick", "until", "kind", "x", "y")),
+        "objectives": (objectives, ("tick", "kind", "entity_id", "x", "y")),
+    }
+    for name, (table, columns) in more.items():
+        if table is not None:
+            listed = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
+            nested = table.groupBy("session_id", "number").agg(listed)
+            out = out.join(nested, ["session_id", "number"], "left")
+            parts.append(name)
+    return out.select("session_id", "number", "start", "end", "t0", *parts)

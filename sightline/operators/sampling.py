@@ -57,6 +57,15 @@ def group_split(
     return df.join(placed.select(group, split.alias("split")), group)
 
 
+def stopping_split(df: DataFrame, group: str, *, parts: int = 6, seed: int = 0) -> DataFrame:
+    """Add ``split``: of the groups, one in ``parts`` is ``val``, to tell when to stop."""
+    groups = df.select(group).distinct().withColumn("_d", digest(F.col(group), seed=seed))
+    placed = number_rows(groups, [], hash_chunk("_d"), ["_d", group], "_rn", count="_n")
+    held = F.col("_rn") <= F.floor(F.col("_n") / parts)
+    split = F.when(held, "val").otherwise("train")
+    return df.join(placed.select(group, split.alias("split")), group)
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5, *, seed: int = 0) -> DataFrame:
     """Add ``fold`` 0..k-1, a function of the group alone: no join, no shuffle."""
     return df.withColumn("fold", hash_number(digest(F.col(group), seed=seed)) % k)

@@ -18,6 +18,7 @@ from sightline.functions.angles import (
 )
 from sightline.operators.ordered import (
     attach_row,
+    attach_small,
     last_known,
     neighbours,
     tick_chunk,
@@ -415,7 +416,7 @@ def occupancy_grid(
     min_samples: int = 1,
 ) -> DataFrame:
     """Samples and mean height per grid cell; row 0 is the top."""
-    at = places.join(box, by)
+    at = attach_small(places, box, by)
     return (
         at.groupBy(
             by,
@@ -488,7 +489,7 @@ def storey_split(
     width = (F.col("z1") - F.col("z0")) / bins
     at = F.when(width > 0, F.floor((F.col("z") - F.col("z0")) / width)).otherwise(0)
     hist = (
-        heights.join(ends, by)
+        attach_small(heights, ends, by)
         .groupBy(by, "z0", "z1", F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -727,12 +728,19 @@ def mesh_acceptance(
     ``candidates`` are triangles with ``candidate``; ``sighted`` and ``pairs`` are
     segments with ``segment`` ids. Ranked per map by the sum of both shares.
     """
-    names = candidates.select("candidate", "map").distinct()
+    names = candidates.groupBy("map").agg(
+        F.collect_set("candidate").alias("_candidates")
+    )
     keyed = candidates.withColumn("map", F.struct("candidate", "map"))
     both = sighted.withColumn("kind", F.lit("sighted")).unionByName(
         pairs.withColumn("kind", F.lit("pair"))
     )
-    tried = both.join(names, "map").withColumn("map", F.struct("candidate", "map"))
+    tried = (
+        attach_small(both, names, "map")
+        .withColumn("candidate", F.explode("_candidates"))
+        .withColumn("map", F.struct("candidate", "map"))
+        .drop("_candidates")
+    )
     seen = line_of_sight(
         tried, keyed, ["kind", "segment", "candidate"], voxel=voxel
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions.text import unseen_numbers as unseen
+from sightline.operators import cases as Z
 from sightline.operators import evaluate as E
+from sightline.operators import quantiles as QT
 from sightline.operators import sampling as U
 from sightline.operators.ordered import neighbours, tick_chunk
 from sightline.plans import adapters as A
@@ -187,6 +189,62 @@ def group_split(spark, d):
     return U.group_split(events, "user_id")
 
 
+@query(
+    "event_id:l split:s",
+    """WITH u AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '/0'), user_id) AS rn,
+    count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))
+SELECT event_id, CASE WHEN rn <= n // 6 THEN 'val' ELSE 'train' END AS split
+FROM events JOIN u USING (user_id)""",
+)
+def stopping_split(spark, d):
+    events = A.table(spark, d, "events").select("event_id", "user_id")
+    return U.stopping_split(events, "user_id").drop("user_id")
+
+
+@query(
+    "lang:s column:s n:l nulls:l mean:d std:d min:d max:d p50:d p99:d p999:d",
+    """WITH t AS (SELECT lang, 'n_chars' AS "column", CAST(n_chars AS DOUBLE) AS v FROM documents
+  UNION ALL SELECT lang, 'even_half', CASE WHEN doc_id % 2 = 0 THEN doc_id / 2.0 END FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, "column" ORDER BY v) - 1 AS i,
+    count(v) OVER (PARTITION BY lang, "column") AS k FROM t WHERE v IS NOT NULL)
+SELECT lang, "column", n, nulls, mean, std, min, max, p50, p99, p999 FROM
+  (SELECT lang, "column", count(v) AS n, count(*) - count(v) AS nulls, avg(v) AS mean, stddev_samp(v) AS std,
+     min(v) AS min, max(v) AS max FROM t GROUP BY 1, 2)
+  JOIN (SELECT lang, "column", max(v) FILTER (i = round(0.5 * (k - 1))) AS p50,
+     max(v) FILTER (i = round(0.99 * (k - 1))) AS p99,
+     max(v) FILTER (i = round(0.999 * (k - 1))) AS p999 FROM r GROUP BY 1, 2) USING (lang, "column")""",
+)
+def distribution(spark, d):
+    docs = A.table(spark, d, "documents").select(
+        "lang",
+        "n_chars",
+        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") / 2.0).alias("even_half"),
+    )
+    wanted = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
+    return QT.distribution(docs, ["lang"], ["n_chars", "even_half"], wanted)
+
+
+@query(
+    "session_id:l entity_id:l place:l alias:s",
+    """WITH e AS (SELECT user_id // 10 AS session_id, user_id AS entity_id, count(*) FILTER (event_type = 'error') > 11 AS flagged,
+    CASE WHEN user_id % 3 > 0 THEN CAST(count(*) AS DOUBLE) END AS score FROM events GROUP BY user_id)
+SELECT session_id, entity_id, row_number() OVER (PARTITION BY session_id ORDER BY flagged DESC, score DESC NULLS LAST, CAST(entity_id AS VARCHAR)) AS place,
+  'Player_' || (row_number() OVER (PARTITION BY session_id ORDER BY CAST(entity_id AS VARCHAR)) - 1) AS alias FROM e""",
+)
+def report_places(spark, d):
+    events = A.table(spark, d, "events").groupBy("user_id").agg(
+        (F.count_if(F.col("event_type") == "error") > 11).alias("flagged"),
+        F.count(F.lit(1)).cast("double").alias("n"),
+    )
+    entities = events.select(
+        F.floor(F.col("user_id") / 10).cast("long").alias("session_id"),
+        F.col("user_id").alias("entity_id"),
+        "flagged",
+        F.when(F.col("user_id") % 3 > 0, F.col("n")).alias("score"),
+    )
+    return Z.report_places(entities)
+
+
 @query(
     "event_id:l fold:l",
     """SELECT event_id, ('0x' || substr(md5(user_id || '/0'), 1, 8))::UBIGINT % 5 AS fold FROM events""",
