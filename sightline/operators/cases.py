@@ -26,7 +26,7 @@ from sightline.functions.labels import (
     target_probability,
     verdict_for,
 )
-from sightline.operators.ordered import attach_row, number_rows, value_chunk
+from sightline.operators.ordered import attach_row, number_by_range
 
 ENTITY = ("session_id", "entity_id")
 
@@ -720,8 +720,8 @@ def kill_reports(features: DataFrame, scores: DataFrame) -> DataFrame:
             "_angle": F.coalesce("angle_at_first_visible", F.lit(1e6)),
         }
     )
-    placed = number_rows(
-        ranked, ENTITY, value_chunk("_wall"), ["_wall", "_angle", "window_uid"], "place"
+    placed = number_by_range(
+        ranked, ENTITY, ["_wall", "_angle", "window_uid"], "place"
     ).drop("_wall", "_angle")
     return placed.join(
         scores.select("window_uid", "score"), "window_uid", "left"

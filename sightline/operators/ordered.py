@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.session import staged
+
 #: Ticks per chunk. A series has one row per tick, so this bounds rows per task key.
 CHUNK_TICKS = 1 << 16
 #: Seconds per chunk for event time.
@@ -173,6 +175,27 @@ def number_rows(
     return out.drop("_chunk", "_pre", _ALL)
 
 
+def number_by_range(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    name: str = "rn",
+    *,
+    count: str | None = None,
+) -> DataFrame:
+    """``number_rows`` with chunks cut by the whole order instead of by a value.
+
+    ``order`` ends in columns that tell tied values apart, so rows of one value spread
+    over tasks like any others: Spark samples the order and cuts it into even ranges.
+    The ranges are written down, since numbering reads them twice.
+    """
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *_order(order))
+    ranged = staged(cut.withColumn("_range", F.spark_partition_id()))
+    return number_rows(ranged, keys, F.col("_range"), order, name, count=count).drop(
+        "_range"
+    )
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,9 +16,8 @@ from sightline.operators.motion import ENTITY
 from sightline.operators.ordered import (
     CHUNK_TICKS,
     attach_row,
-    number_rows,
+    number_by_range,
     runs,
-    value_chunk,
     with_halo,
 )
 from sightline.operators.quantiles import quantiles
@@ -373,10 +372,8 @@ def ranked_findings(evidence: DataFrame) -> DataFrame:
     keyed = evidence.withColumns(
         {"_rank": severity_rank(F.col("severity")), "_neg": -F.col("value")}
     )
-    # severity first, then the value's own chunk: an order-preserving composite
-    chunk = F.struct("_rank", value_chunk("_neg").alias("c"))
-    return number_rows(
-        keyed, ENTITY, chunk, ["_rank", "_neg", "name", "tick"], "place"
+    return number_by_range(
+        keyed, ENTITY, ["_rank", "_neg", "name", "tick"], "place"
     ).drop("_rank", "_neg")
 
 

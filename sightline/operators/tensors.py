@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sightline.functions.angles import signed_log
 from sightline.operators.joins import complete_groups
-from sightline.operators.ordered import number_rows, value_chunk
+from sightline.operators.ordered import number_by_range
 from sightline.operators.sampling import group_folds
 
 BASE_CHANNELS = ("d_yaw", "d_pitch", "valid")
@@ -163,7 +163,7 @@ def out_of_fold_scores(
 
 def rank_normal(scores: DataFrame, score: str, key: str, name: str) -> DataFrame:
     """Scores replaced by their place in 0..1; ties are told apart by key."""
-    placed = number_rows(scores, [], value_chunk(score), [score, key], "_rn", count="_n")
+    placed = number_by_range(scores, [], [score, key], "_rn", count="_n")
     return placed.withColumn(
         name, F.try_divide(F.col("_rn") - 1, (F.col("_n") - 1).cast("double"))
     ).drop("_rn", "_n")

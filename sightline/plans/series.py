@@ -9,11 +9,10 @@ from sightline.operators import motion as M
 from sightline.operators import rules as R
 from sightline.operators.ordered import (
     neighbours,
-    number_rows,
+    number_by_range,
     runs,
     segments,
     time_chunk,
-    value_chunk,
 )
 from sightline.operators.quantiles import METHODS, cumulative_counts, quantiles
 from sightline.plans import adapters as A
@@ -441,9 +440,7 @@ def tie_ranks(spark, d):
 )
 def rank_normalise(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "n_chars")
-    placed = number_rows(
-        docs, [], value_chunk("n_chars"), ["n_chars", "doc_id"], "rn", count="n"
-    )
+    placed = number_by_range(docs, [], ["n_chars", "doc_id"], "rn", count="n")
     return placed.withColumn(
         "rank_normal", (F.col("rn") - 1) / (F.col("n") - 1)
     )

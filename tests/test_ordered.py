@@ -203,3 +203,18 @@ def test_deltas_are_the_same_for_every_width(spark):
     columns = ("entity_id", "tick", "d_tick", "d_yaw", "yaw_speed")
     wide = rows(entity_deltas(df), *columns)
     assert rows(entity_deltas(df.repartition(5), width=3), *columns) == wide
+
+
+def test_one_tied_value_spreads_over_tasks(spark):
+    """A value that holds all rows is numbered right, and no range holds them all."""
+    from sightline.operators import ordered
+
+    df = spark.range(0, 40_000, numPartitions=8).select(
+        F.lit("k").alias("key"), F.lit(1.0).alias("v"), F.xxhash64("id").alias("tie")
+    )
+    found = ordered.number_by_range(df, ["key"], ["v", "tie"], "rn", count="n")
+    assert found.agg(F.min("rn"), F.max("rn"), F.count_distinct("rn"), F.max("n")).first()[:] == (1, 40_000, 40_000, 40_000)
+    out_of_order = found.alias("a").join(found.alias("b"), F.col("a.rn") == F.col("b.rn") - 1).filter("a.tie >= b.tie")
+    assert out_of_order.count() == 0
+    cut = df.repartitionByRange("key", "v", "tie").groupBy(F.spark_partition_id()).count()
+    assert cut.agg(F.max("count")).first()[0] < 40_000 or cut.count() == 1
