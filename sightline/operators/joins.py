@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions.angles import ticks_to_ms
 from sightline.operators.ordered import (
     attach_row,
+    in_ranges,
     last_known,
     number_rows,
     tick_chunk,
@@ -29,7 +30,7 @@ def asof_join(
     direction: str = "backward",
     allow_exact: bool = True,
     within: float | None = None,
-    width: float = 1 << 16,
+    width: float | None = 1 << 16,
     how: str = "left",
 ) -> DataFrame:
     """Each left row with the nearest right row before (``backward``) or after it.
@@ -37,7 +38,7 @@ def asof_join(
     Both sides are unioned and the newest right row is carried along the series, so
     a key's rows may spread over many tasks. ``tie`` orders right rows at equal
     time, ``within`` limits the distance, ``width`` is the chunk size in units of
-    ``on``. Adds ``take`` (and, for ``inner``, drops rows without a match).
+    ``on``; without it chunks are cut by rows, for times of any density. Adds ``take`` (and, for ``inner``, drops rows without a match).
     """
     right_on = right_on or on
     forward = direction == "forward"
@@ -72,7 +73,14 @@ def asof_join(
     r = r.withColumn("_left", F.lit(None).cast(l.schema["_left"].dataType))
     both = r.unionByName(l)
     tie_names = [f"_tie{i}" for i in range(len(tie))]
-    chunk = F.floor(F.col("_t").cast("double") / F.lit(float(width))).cast("long")
+    if width is None:
+        # left rows of one time are apart by their content; their order does not matter
+        plain = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+        apart = F.xxhash64(*[F.col("_left")[c] for c in plain])
+        both = in_ranges(both, by, ["_t", "_side", *tie_names, apart])
+        chunk = F.col("_range")
+    else:
+        chunk = F.floor(F.col("_t").cast("double") / F.lit(float(width))).cast("long")
     filled = last_known(
         both,
         by,
@@ -269,6 +277,7 @@ def pair_start_end(
     on: str = "tick",
     limit: Column | None = None,
     bound: Column | None = None,
+    width: float | None = 1 << 16,
 ) -> DataFrame:
     """Each start with the earliest end at or after it that reuses its id.
 
@@ -284,6 +293,7 @@ def pair_start_end(
         by=by,
         take=("until",),
         direction="forward",
+        width=width,
     )
     if limit is not None:
         paired = paired.withColumn("until", F.coalesce(F.col("until"), limit))

@@ -189,13 +189,21 @@ def number_by_range(
     over tasks like any others: Spark samples the order and cuts it into even ranges.
     The ranges are written down, since numbering reads them twice.
     """
-    cut = df.repartitionByRange(*[F.col(k) for k in keys], *_order(order))
-    ranged = staged(cut.withColumn("_range", F.spark_partition_id()))
+    ranged = in_ranges(df, keys, order)
     return number_rows(ranged, keys, F.col("_range"), order, name, count=count).drop(
         "_range"
     )
 
 
+def in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+) -> DataFrame:
+    """``df`` with ``_range``, a chunk that grows along keys and order and holds an even
+    share of the rows, whatever their density. Written down, for chunks to stay as cut."""
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *_order(order))
+    return staged(cut.withColumn("_range", F.spark_partition_id()))
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],

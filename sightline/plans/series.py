@@ -8,11 +8,11 @@ from sightline.operators import joins as J
 from sightline.operators import motion as M
 from sightline.operators import rules as R
 from sightline.operators.ordered import (
+    in_ranges,
     neighbours,
     number_by_range,
     runs,
     segments,
-    time_chunk,
 )
 from sightline.operators.quantiles import METHODS, cumulative_counts, quantiles
 from sightline.plans import adapters as A
@@ -129,9 +129,11 @@ FROM g GROUP BY user_id, burst""",
 )
 def bursts(spark, d):
     events = A.table(spark, d, "events").withColumn("s", F.col("ts").cast("double"))
-    chunk = time_chunk("ts", 86400)
+    # any number of events may crowd into a moment: cut by rows, not by time
+    chunk = F.col("_range")
+    events = events.select("user_id", "event_id", "s", "value", "event_type")
     linked = neighbours(
-        events.select("user_id", "event_id", "ts", "s", "value", "event_type"),
+        in_ranges(events, ["user_id"], ["s", "event_id"]),
         ["user_id"],
         chunk,
         ["s", "event_id"],
@@ -210,7 +212,7 @@ def asof_backward(spark, d):
         by=("o_custkey",),
         take=("event_id",),
         tie=("event_id",),
-        width=90 * _DAY,
+        width=None,
     )
 
 
@@ -232,7 +234,7 @@ def asof_forward_strict(spark, d):
         tie=("next_key",),
         direction="forward",
         allow_exact=False,
-        width=90 * _DAY,
+        width=None,
     )
 
 
@@ -340,6 +342,7 @@ def pair_start_end(spark, d):
         on="t",
         limit=F.col("t") + _DAY,
         bound=F.col("t") + 2 * _DAY,
+        width=None,
     )
 
 

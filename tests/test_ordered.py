@@ -218,3 +218,17 @@ def test_one_tied_value_spreads_over_tasks(spark):
     assert out_of_order.count() == 0
     cut = df.repartitionByRange("key", "v", "tie").groupBy(F.spark_partition_id()).count()
     assert cut.agg(F.max("count")).first()[0] < 40_000 or cut.count() == 1
+
+
+def test_one_moment_may_hold_all_rows(spark):
+    """As-of joins and runs cut by rows: all rows at one time, and crowded ones."""
+    from sightline.operators import joins
+
+    rng = random.Random(3)
+    left = [(k, rng.choice([5.0, 5.0, 5.0, 1.0, 9.0]), i) for i in range(600) for k in "ab"]
+    right = [(k, t, f"{k}{t}") for k in "ab" for t in (0.0, 5.0, 8.0)]
+    lf = spark.createDataFrame(left, "k string, t double, i long")
+    rf = spark.createDataFrame(right, "k string, u double, name string")
+    found = joins.asof_join(lf, rf, on="t", right_on="u", by=("k",), take=("name",), width=None)
+    near = lambda t: max(u for u in (0.0, 5.0, 8.0) if u <= t)
+    assert sorted((r.k, r.i, r.t, r.name) for r in found.collect()) == sorted((k, i, t, f"{k}{near(t)}") for k, t, i in left)
