@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.operators.sampling import stratified_sample
+from sightline.session import staged
 
 
 def file_manifest(
@@ -70,6 +73,53 @@ def stale_sources(sources: DataFrame, cached: DataFrame) -> DataFrame:
     )
 
 
+def read_through_cache(
+    sources: DataFrame,
+    root: str,
+    columns: Sequence[str],
+    make: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """What ``make`` gives for the files of ``sources``, made anew only for stale ones.
+
+    ``make`` takes manifest rows and returns rows with ``path``, ``modified`` and
+    ``columns``. A cache belongs to one list of columns. Rows are written before the
+    list of files they are of, and only listed files count, so a stopped run leaves
+    nothing half-read; a file without rows is remembered as well.
+    """
+    spark = sources.sparkSession
+    home = cache_root(root, columns)
+    keys = sources.select("path", "modified").distinct()
+    listing = keys.withColumn("_batch", F.lit(""))
+    listing.limit(0).write.mode("append").parquet(f"{home}/files")
+    files = spark.read.schema(listing.schema).parquet(f"{home}/files")
+    stale = staged(stale_sources(sources, files))
+    batch = F.lit(uuid.uuid4().hex)
+    made = make(stale).select("path", "modified", *columns).withColumn("_batch", batch)
+    made.write.mode("append").parquet(f"{home}/rows")
+    stale.select("path", "modified").distinct().withColumn("_batch", batch).write.mode(
+        "append"
+    ).parquet(f"{home}/files")
+    rows = spark.read.schema(made.schema).parquet(f"{home}/rows")
+    listed = spark.read.schema(listing.schema).parquet(f"{home}/files")
+    return (
+        rows.join(listed, ["path", "modified", "_batch"])
+        .join(keys, ["path", "modified"], "left_semi")
+        .select("path", "modified", *columns)
+    )
+
+
+def write_pending(rows: DataFrame, root: str, key: str = "session_id") -> None:
+    """One output folder per ``key`` under ``root``; keys that have one are left alone.
+
+    A folder appears when its rows are committed, so a stopped batch goes on where it was.
+    """
+    schema = T.StructType([*(f for f in rows.schema if f.name != key), rows.schema[key]])
+    empty = rows.select(*[F.col(f.name) for f in schema if f.name != key]).limit(0)
+    empty.write.mode("append").parquet(f"{root}/{key}=__none__")
+    done = rows.sparkSession.read.schema(schema).parquet(root).select(key).distinct()
+    pending(rows, staged(done), key).write.mode("append").partitionBy(key).parquet(root)
+
+
 def pending(sources: DataFrame, done: DataFrame, key: str = "name") -> DataFrame:
     """Sources that have no output yet: a batch that was stopped goes on here."""
     return sources.join(done.select(key), key, "left_anti")

@@ -80,6 +80,32 @@ ANNOTATION = T.StructType(
 )
 
 
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Stored chat rows as cases: what the target says, and the score that was shown.
+
+    Each line holds session_id, entity_id, label and messages of a system, a user and an
+    assistant turn, the last a JSON answer. Lines without such an answer have NULLs.
+    """
+    message = "struct<role:string,content:string>"
+    rows = spark.read.schema(
+        f"session_id string, entity_id string, label string, messages array<{message}>"
+    ).json(path)
+    answer = F.from_json(
+        F.get("messages", F.lit(2))["content"], "verdict string, probability int"
+    )
+    shown = F.regexp_extract(
+        F.get("messages", F.lit(1))["content"], r"Behaviour model score: ([0-9.]+)", 1
+    )
+    return rows.select(
+        "session_id",
+        "entity_id",
+        "label",
+        answer["verdict"].alias("target_verdict"),
+        answer["probability"].alias("target_probability"),
+        F.when(shown != "", shown.cast("double")).alias("score"),
+    )
+
+
 def append_annotations(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

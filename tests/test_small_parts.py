@@ -80,3 +80,49 @@ def test_documents_hold_spans_and_objectives_in_order(spark):
     assert [e.kind for e in found[1].events] == ["death", "shot"] and found[2].events is None
     assert [(p.kind, p.tick, p.until) for p in found[1].spans] == [("fire", 20, 25), ("smoke", 30, 60)]
     assert [g.kind for g in found[2].objectives] == ["planted"] and found[1].objectives is None
+
+
+def test_cache_makes_only_stale_files(spark, tmp_path):
+    asked = []
+
+    def make(stale):
+        asked.append(sorted(r.path for r in stale.collect()))
+        return stale.filter("path <> 'empty'").select("path", "modified", F.length("path").alias("n"))
+
+    def found(*files):
+        sources = spark.createDataFrame(files, "path string, modified long")
+        return rows(manifest.read_through_cache(sources, str(tmp_path), ["n"], make), "path", "modified", "n")
+
+    assert found(("a", 1), ("bb", 1), ("empty", 1)) == [("a", 1, 1), ("bb", 1, 2)]
+    assert found(("a", 1), ("bb", 2), ("empty", 1)) == [("a", 1, 1), ("bb", 2, 2)]
+    assert found(("a", 1)) == [("a", 1, 1)]
+    assert asked == [["a", "bb", "empty"], ["bb"], []]
+    # another list of columns is another cache
+    assert manifest.cache_root(str(tmp_path), ["n"]) != manifest.cache_root(str(tmp_path), ["n", "m"])
+
+
+def test_finished_outputs_are_left_alone(spark, tmp_path):
+    first = spark.createDataFrame([("s1", 1), ("s2", 2)], "session_id string, v int")
+    more = spark.createDataFrame([("s1", 9), ("s3", 3)], "session_id string, v int")
+    manifest.write_pending(first, str(tmp_path / "out"))
+    manifest.write_pending(more, str(tmp_path / "out"))
+    got = spark.read.schema("v int, session_id string").parquet(str(tmp_path / "out"))
+    assert rows(got, "session_id", "v") == [("s1", 1), ("s2", 2), ("s3", 3)]
+
+
+def test_stored_chat_rows_are_read_as_cases(spark, tmp_path):
+    import json
+
+    turn = lambda role, content: {"role": role, "content": content}
+    lines = [
+        {"session_id": "s", "entity_id": "e", "label": "clean", "messages": [
+            turn("system", "x"), turn("user", "a\nBehaviour model score: 0.25\nb"),
+            turn("assistant", json.dumps({"verdict": "clean", "probability": 10})),
+        ]},
+        {"session_id": "s", "entity_id": "f", "label": None, "messages": [turn("system", "x")]},
+    ]
+    (tmp_path / "rows.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = sinks.read_cases(spark, str(tmp_path / "rows.jsonl"))
+    assert rows(got, "entity_id", "target_verdict", "target_probability", "score") == [
+        ("e", "clean", 10, 0.25), ("f", None, None, None),
+    ]
