@@ -143,6 +143,52 @@ def report_places(entities: DataFrame) -> DataFrame:
     )
 
 
+def session_text(entities: DataFrame, *, min_windows: int = K.MIN_WINDOWS) -> DataFrame:
+    """One text per session: a line for each entity in report order, then flagged ones' reasons.
+
+    ``entities``: session_id, entity_id, name, kills, n_windows, score, percentile, flagged
+    and flag_reasons. A score of too few windows has a star. A roster is small, so a
+    session's lines are gathered; names are cut to their column.
+    """
+    few = F.col("score").isNotNull() & (F.col("n_windows") < min_windows)
+    label = F.coalesce("name", F.col("entity_id").cast("string"))
+    shown = F.coalesce(T.fixed(F.col("score"), 2), F.lit("-"))
+    line = F.concat(
+        F.when(F.col("flagged"), "! ").otherwise("  "),
+        F.rpad(label, 22, " "),
+        F.lpad(F.col("kills").cast("string"), 6, " "),
+        F.lpad(F.concat(shown, F.when(few, "*").otherwise("")), 8, " "),
+        F.lit("  "),
+        T.percentile_text(F.col("percentile")),
+    )
+    why = F.when(
+        F.col("flagged"),
+        F.concat(F.lit("! "), label, F.lit(": "), F.array_join("flag_reasons", "; ")),
+    )
+    gathered = (
+        report_places(entities)
+        .select("session_id", "place", line.alias("line"), why.alias("why"), few.alias("few"))
+        .groupBy("session_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("place", "line", "why"))).alias("rows"),
+            F.max("few").alias("few"),
+        )
+    )
+    head = F.concat(
+        F.lit("  "), F.rpad(F.lit("entity"), 22, " "), F.lit(" kills   score  of clean")
+    )
+    note = F.when(F.col("few"), F.array(F.lit("* few windows"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    parts = F.concat(
+        F.array(head),
+        F.transform("rows", lambda r: r["line"]),
+        note,
+        F.array_compact(F.transform("rows", lambda r: r["why"])),
+    )
+    return gathered.select("session_id", F.array_join(parts, "\n").alias("text"))
+
+
 def case_documents(
     entities: DataFrame,
     moments: DataFrame,

@@ -245,6 +245,41 @@ def report_places(spark, d):
     return Z.report_places(entities)
 
 
+@query(
+    "session_id:l text:s",
+    """WITH e AS (SELECT user_id // 10 AS session_id, user_id AS entity_id, 'u' || user_id AS name, count(*) AS n,
+    count(*) FILTER (event_type = 'error') > 11 AS flagged, CASE WHEN user_id % 3 > 0 THEN (count(*) % 8) / 4.0 END AS score
+  FROM events GROUP BY user_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY flagged DESC, score DESC NULLS LAST, CAST(entity_id AS VARCHAR)) AS place,
+    score IS NOT NULL AND n % 7 < 3 AS few, CASE WHEN score IS NOT NULL THEN score / 2 END AS pc FROM e),
+l AS (SELECT *, CASE WHEN flagged THEN '! ' ELSE '  ' END || rpad(name, 22, ' ') || lpad(CAST(n AS VARCHAR), 6, ' ')
+    || lpad(coalesce(format('{:.2f}', score), '-') || CASE WHEN few THEN '*' ELSE '' END, 8, ' ') || '  '
+    || CASE WHEN pc IS NULL THEN '-' WHEN pc >= 0.99 THEN 'top 1%' ELSE 'top ' || CAST(greatest(1, CAST(round_even((1 - pc) * 100, 0) AS INTEGER)) AS VARCHAR) || '%' END AS line,
+    CASE WHEN flagged THEN '! ' || name || ': errors; many' END AS why FROM p)
+SELECT session_id, '  ' || rpad('entity', 22, ' ') || ' kills   score  of clean' || chr(10) || string_agg(line, chr(10) ORDER BY place)
+  || CASE WHEN bool_or(few) THEN chr(10) || '* few windows' ELSE '' END
+  || coalesce(chr(10) || string_agg(why, chr(10) ORDER BY place), '') AS text FROM l GROUP BY session_id""",
+)
+def session_text(spark, d):
+    n = F.count(F.lit(1))
+    users = A.table(spark, d, "events").groupBy("user_id").agg(
+        n.alias("kills"), (F.count_if(F.col("event_type") == "error") > 11).alias("flagged")
+    )
+    score = F.when(F.col("user_id") % 3 > 0, (F.col("kills") % 8) / 4.0)
+    entities = users.select(
+        F.floor(F.col("user_id") / 10).cast("long").alias("session_id"),
+        F.col("user_id").alias("entity_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"),
+        "kills",
+        (F.col("kills") % 7).alias("n_windows"),
+        score.alias("score"),
+        (score / 2).alias("percentile"),
+        "flagged",
+        F.array(F.lit("errors"), F.lit("many")).alias("flag_reasons"),
+    )
+    return Z.session_text(entities, min_windows=3)
+
+
 @query(
     "event_id:l fold:l",
     """SELECT event_id, ('0x' || substr(md5(user_id || '/0'), 1, 8))::UBIGINT % 5 AS fold FROM events""",
