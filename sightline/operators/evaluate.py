@@ -8,14 +8,14 @@ chunks, never over all rows in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.labels import is_sniper, sniper_band
-from sightline.operators.ordered import attach_row
+from sightline.operators.ordered import attach_row, number_by_range
 from sightline.operators.quantiles import cumulative_counts, quantiles, unpivot
 
 
@@ -469,6 +469,42 @@ def marks_gate(
     ).drop("_clean")
 
 
+def population_summary(
+    reports: DataFrame, *, line: float = 0.9, percentiles: Mapping[str, float] | None = None
+) -> DataFrame:
+    """An outside population per map, and over all maps where ``map`` is NULL.
+
+    ``reports``: map, entity (a total order), flagged, percentile (NULL counts as 0),
+    ruled (a strong finding), verdict (NULL: no answer) and held. A chosen percentile is
+    the value at place floor(n * share) of the ordered percentiles, from 0. The whole is
+    counted beside the maps by a second row per entity, before anything is gathered.
+    """
+    wanted = percentiles or {"median": 0.5, "p90": 0.9}
+    place = F.coalesce("percentile", F.lit(0.0))
+    both = reports.select(
+        F.explode(F.array(F.col("map").cast("string"), F.lit(None))).alias("map"),
+        "entity",
+        "flagged",
+        "ruled",
+        "held",
+        place.alias("at"),
+        F.coalesce("verdict", F.lit("none")).alias("verdict"),
+    ).withColumn("_all", F.col("map").isNull())
+    keyed = both.withColumn("_map", F.coalesce("map", F.lit("")))
+    ranked = number_by_range(keyed, ["_all", "_map"], ["at", "entity"], "_rn", count="_n")
+    at_share = lambda q: F.max(F.when(F.col("_rn") - 1 == F.floor(F.col("_n") * q), F.col("at")))
+    said = lambda v: F.count_if(F.col("verdict") == v)
+    return ranked.groupBy("_all", "map").agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if("flagged").alias("flagged"),
+        F.count_if(F.col("at") >= line).alias("by_score"),
+        F.count_if("ruled").alias("ruled"),
+        *[said(v).alias(v) for v in ("cheating", "unclear", "clean", "none")],
+        F.count_if("held").alias("held"),
+        *[at_share(q).alias(n) for n, q in wanted.items()],
+    ).drop("_all")
+
+
 def measurement_check(rows: DataFrame) -> DataFrame:
     """Per parsed measurement: how many were shown and how many are past each line."""
     below = F.col("side") == "below"

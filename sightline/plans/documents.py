@@ -245,6 +245,33 @@ def report_places(spark, d):
     return Z.report_places(entities)
 
 
+@query(
+    "map:s entities:l flagged:l by_score:l ruled:l cheating:l unclear:l clean:l none:l held:l median:d p90:d",
+    """WITH r AS (SELECT 'm' || (orders.o_orderkey % 5) AS map, o_orderkey AS entity, o_orderkey % 7 = 0 AS flagged, o_orderkey % 11 = 0 AS ruled,
+    o_orderkey % 13 = 0 AS held, CASE WHEN o_custkey % 9 > 0 THEN (o_custkey % 100) / 100.0 ELSE 0 END AS pct,
+    CASE o_orderkey % 4 WHEN 0 THEN 'cheating' WHEN 1 THEN 'unclear' WHEN 2 THEN 'clean' ELSE 'none' END AS verdict FROM orders),
+b AS (SELECT * FROM r UNION ALL SELECT NULL, * EXCLUDE map FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY map ORDER BY pct, entity) - 1 AS i, count(*) OVER (PARTITION BY map) AS n FROM b)
+SELECT map, count(*) AS entities, count(*) FILTER (flagged) AS flagged, count(*) FILTER (pct >= 0.9) AS by_score, count(*) FILTER (ruled) AS ruled,
+  count(*) FILTER (verdict = 'cheating') AS cheating, count(*) FILTER (verdict = 'unclear') AS unclear, count(*) FILTER (verdict = 'clean') AS clean,
+  count(*) FILTER (verdict = 'none') AS none, count(*) FILTER (held) AS held, CAST(max(pct) FILTER (i = floor(n * 0.5)) AS DOUBLE) AS median,
+  CAST(max(pct) FILTER (i = floor(n * 0.9)) AS DOUBLE) AS p90 FROM k GROUP BY map""",
+)
+def population_summary(spark, d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    turn = key % 4
+    reports = A.table(spark, d, "orders").select(
+        F.concat(F.lit("m"), (key % 5).cast("string")).alias("map"),
+        key.alias("entity"),
+        (key % 7 == 0).alias("flagged"),
+        (key % 11 == 0).alias("ruled"),
+        (key % 13 == 0).alias("held"),
+        F.when(cust % 9 > 0, (cust % 100) / 100.0).alias("percentile"),
+        F.when(turn == 0, "cheating").when(turn == 1, "unclear").when(turn == 2, "clean").alias("verdict"),
+    )
+    return E.population_summary(reports)
+
+
 @query(
     "session_id:l text:s",
     """WITH e AS (SELECT user_id // 10 AS session_id, user_id AS entity_id, 'u' || user_id AS name, count(*) AS n,
