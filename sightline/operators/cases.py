@@ -189,6 +189,46 @@ def session_text(entities: DataFrame, *, min_windows: int = K.MIN_WINDOWS) -> Da
     return gathered.select("session_id", F.array_join(parts, "\n").alias("text"))
 
 
+def report_documents(
+    entities: DataFrame,
+    kills: DataFrame,
+    findings: DataFrame,
+    rounds: DataFrame,
+    *,
+    per_entity: int = K.MOMENTS_PER_CASE,
+) -> DataFrame:
+    """One nested report per session: its rounds and its entities in report order.
+
+    ``kills`` and ``findings`` carry ``place``, from 1, per entity; at most ``per_entity``
+    of each go in, so what a session gathers is bounded by its roster and its rounds.
+    ``rounds``: session_id, number, start, end.
+    """
+
+    def nested(table: DataFrame, name: str) -> DataFrame:
+        columns = [c for c in table.columns if c not in (*ENTITY, "place")]
+        listed = F.array_sort(F.collect_list(F.struct("place", *columns)))
+        return (
+            table.filter(F.col("place") <= per_entity)
+            .groupBy(*ENTITY)
+            .agg(listed.alias(name))
+        )
+
+    keys = list(ENTITY)
+    whole = (
+        report_places(entities)
+        .join(nested(kills, "kills"), keys, "left")
+        .join(nested(findings, "findings"), keys, "left")
+    )
+    order = ["place", *[c for c in whole.columns if c not in ("session_id", "place")]]
+    people = whole.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct(*order))).alias("entities")
+    )
+    played = rounds.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("number", "start", "end"))).alias("rounds")
+    )
+    return people.join(played, "session_id", "left")
+
+
 def case_documents(
     entities: DataFrame,
     moments: DataFrame,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.text import measurement_rows
@@ -222,6 +223,62 @@ def case_documents(spark, d):
     )
 
 
+@query(
+    "session_id:l document:s",
+    f"""WITH {Q.EVIDENCE_SQL},
+w AS (SELECT *, CASE severity WHEN 'impossible' THEN 0 ELSE 1 END AS rank,
+    row_number() OVER (PARTITION BY session_id, entity_id, name ORDER BY CASE severity WHEN 'impossible' THEN 0 ELSE 1 END, value DESC) AS rn FROM evidence),
+f AS (SELECT session_id, entity_id, name, row_number() OVER (PARTITION BY session_id, entity_id ORDER BY rank, value DESC, name) AS place FROM w WHERE rn = 1),
+fl AS (SELECT session_id, entity_id, string_agg(place || ' ' || name, ',' ORDER BY place) AS findings FROM f WHERE place <= 3 GROUP BY 1, 2),
+k AS (SELECT session_id, entity_id, tick, weapon, row_number() OVER (PARTITION BY session_id, entity_id ORDER BY tick) AS place FROM samples WHERE anchor),
+kl AS (SELECT session_id, entity_id, string_agg(place || ' ' || tick || ' ' || weapon, ',' ORDER BY place) AS kills FROM k WHERE place <= 3 GROUP BY 1, 2),
+rd AS (SELECT session_id, round AS number, min(tick) AS s, max(tick) AS e FROM samples GROUP BY 1, 2),
+rl AS (SELECT session_id, string_agg(number || ' ' || s || ' ' || e, ',' ORDER BY number) AS rounds FROM rd GROUP BY 1),
+e AS (SELECT session_id, entity_id, count(*) FILTER (anchor) > 11 AS flagged, CASE WHEN entity_id % 3 > 0 THEN count(*) END AS score FROM samples GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY flagged DESC, score DESC NULLS LAST, CAST(entity_id AS VARCHAR)) AS place FROM e),
+l AS (SELECT session_id, string_agg(place || ' ' || entity_id || ' [' || coalesce(kills, '') || '] [' || coalesce(findings, '') || ']', ';' ORDER BY place) AS people
+  FROM p LEFT JOIN kl USING (session_id, entity_id) LEFT JOIN fl USING (session_id, entity_id) GROUP BY 1)
+SELECT session_id, people || ' | ' || rounds AS document FROM l JOIN rl USING (session_id)""",
+)
+def report_documents(spark, d):
+    """Nested reports, read out in the order of their lists."""
+    s = A.stored_samples(spark, d)
+    by_tick = W.partitionBy("session_id", "entity_id").orderBy("tick")
+    kills = s.filter("anchor").select(
+        "session_id", "entity_id", "tick", "weapon", F.row_number().over(by_tick).alias("place")
+    )
+    findings = R.worst_hits(Q.evidence(s)).select("session_id", "entity_id", "name", "place")
+    rounds = s.groupBy("session_id", F.col("round").alias("number")).agg(
+        F.min("tick").alias("start"), F.max("tick").alias("end")
+    )
+    entities = s.groupBy("session_id", "entity_id").agg(
+        (F.count_if("anchor") > 11).alias("flagged"),
+        F.when(F.col("entity_id") % 3 > 0, F.count(F.lit(1))).alias("score"),
+    )
+    found = Z.report_documents(entities, kills, findings, rounds)
+
+    def text(rows, *columns):
+        line = lambda r: F.concat_ws(" ", *[r[c].cast("string") for c in columns])
+        empty = F.array().cast("array<string>")
+        return F.array_join(F.coalesce(F.transform(rows, line), empty), ",")
+
+    def person(e):
+        return F.concat(
+            F.concat_ws(" ", e["place"].cast("string"), e["entity_id"].cast("string")),
+            F.lit(" ["),
+            text(e["kills"], "place", "tick", "weapon"),
+            F.lit("] ["),
+            text(e["findings"], "place", "name"),
+            F.lit("]"),
+        )
+
+    people = F.array_join(F.transform("entities", person), ";")
+    rounds_text = text(F.col("rounds"), "number", "start", "end")
+    return found.select(
+        "session_id", F.concat(people, F.lit(" | "), rounds_text).alias("document")
+    )
+
+
 @query(
     "name:s shown:l past95:l past99:l of_shown:d of_all:d",
     f"""{TARGET_SQL},
