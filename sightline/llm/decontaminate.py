@@ -6,8 +6,8 @@ Three passes, DataFrame operations only:
 2. ``anchors`` picks the rarest word of every benchmark window. Every occurrence of a
    picked word inside an item becomes an anchor, with the item's words on both sides.
    Each window therefore holds at least one anchor.
-3. ``postings`` stores, for the picked words, where they stand in the corpus and the words
-   around them. A posting and an anchor of one word fix an offset between document and
+3. ``postings`` are stored in the shared folder: for the picked words, where they stand in the
+   corpus and the words around them. A posting and an anchor of one word fix an offset between document and
    item; the lists of the other words are intersected at that offset by comparing the two
    surroundings outwards. A run of equal words as long as a window is an exact phrase.
 
@@ -154,7 +154,7 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, near:
     found = None
     for block in _blocks(picked, "term", size):
         names = [r.term for r in block.select("term").distinct().collect()]
-        posted = postings(documents, names or [""], window)
+        posted = written(postings(documents, names or [""], window), "postings")
         theirs = block.select(
             F.col("term").alias("their_term"),
             "item_id",
