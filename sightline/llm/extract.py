@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 #: Elements whose whole content is no text of the page.
 SILENT = "script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|xmp"
 TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<({SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
+    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<svg(?=[\s/])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
+    rf"|<({SILENT})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[/a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One name with its value; a quote left open ends with the tag.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 BLOCK = frozenset(
@@ -88,20 +90,41 @@ class _Open:
 def _says(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     """Whether an element's attributes make it chrome, hint at it, or hide it."""
     chrome = hint = hidden = False
+    seen: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden":
             hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.strip().lower() == "true"
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "role":
             chrome |= value.strip().lower() in CHROME_ROLES
-        elif tag not in ("html", "body"):
-            words = [w.lower() for w in WORD.findall(value)]
-            hint |= any(w in HINTS or w.startswith(HINT_STARTS) for w in words)
+        elif name in ("class", "id") and tag in ARTICLE_TAGS:
+            hint |= tag == "article" and _names_no_article(value)
+        elif name in ("class", "id") and tag not in ("html", "body"):
+            hint |= any(map(_hints, WORD.findall(value)))
     return chrome, hint, hidden
 
 
+def _hints(word: str) -> bool:
+    return word.lower() in HINTS or word.lower().startswith(HINT_STARTS)
+
+
+def _names_no_article(value: str) -> bool:
+    """Whether an article's own class or id calls it something else, such as a comment.
+
+    Only the first words of names say what it is: ``has-sidebar`` and ``tag-search`` tell of
+    its layout or subject. A name that begins with a word for articles outweighs the others.
+    """
+    first = [words[0] for name in value.split() if (words := WORD.findall(name))]
+    return any(map(_hints, first)) and not any(w.lower() in BODY_WORDS for w in first)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
@@ -255,6 +278,9 @@ LABELLED = (
     "<div id=comments><div><p>[-80]</p></div></div><form><p>[-70]</p></form><footer>[-100]</footer>",
     "<main><nav><a>[-2]</a></nav><p>[+4]</p><p>[+300]</p><aside>[-20]</aside><p>[+15]</p><div class=share><a>[-1]</a> [-3]</div>"
     "<form>[-9]</form><div class='sponsor'><p>[-28]</p></div></main>",
+    "<main class='has-sidebar no-header'><h1>[+6]</h1><p>[+70]</p><p>[+45]</p><p>[+3]</p></main><footer>[-12]</footer>",
+    "<article class='post tag-search category-privacy share-open'><h1>[+7]</h1><p>[+55]</p><p>[+20]</p><p>[+80]</p></article>"
+    "<article class='comment byuser'><p>[-35]</p><p>[-60]</p></article><article class=teaser><p>[-14]</p></article>",
 )
 
 

@@ -56,3 +56,22 @@ def test_rows(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert rows(found, "page_id", "text", "n_chars") == [(1, TEXT, len(TEXT))] * 2 + [(None, "", 0)]
     assert extract.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<article aria-hidden="false"><p>kept</p><p aria-hidden="true">not</p></article>', "kept"),
+        ('<article><div data-hidden="false">kept</div><p HIDDEN=hidden>not</p></article>', "kept"),
+        ('<article><p title="a hidden valley">kept</p></article>', "kept"),
+        ('<article><p title="class=comments id=ad">kept</p><p data-class="comments">too</p></article>', "kept\ntoo"),
+        ('<article><p title="a>b" class = \'comments\'>not</p><p>kept</p></article>', "kept"),
+        ('<article><p>one</p><svg width="1" /><p>two</p><svg><text>not</text></svg><p>three</p>', "one\ntwo\nthree"),
+        ("<article><p>one</p><svg-icon></svg-icon><p>two</p></article>", "one\ntwo"),
+        ('<main class="has-sidebar"><p>some words of the text</p></main>', "some words of the text"),
+        ("<article class='post tag-search'><p>some words of the text</p></article>", "some words of the text"),
+        ("<article><p>kept</p></article><article class=comment><p>I like this very much</p></article>", "kept"),
+    ],
+)
+def test_attributes_are_read_by_name(html, text):
+    assert extract.main_texts([html]) == [text]
