@@ -33,6 +33,18 @@ ASSIGN = (
     "|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+# A private key with its body: to the END line where no other such line lies between, else over
+# the header and base64 lines that follow. Java and RE2 read it alike; groups are bounded, since
+# Java's matcher recurses on them.
+_B64 = "[A-Za-z0-9+/=]"
+_GAP = "[ \\t\\r\\n\\\\>#*|\"',]"
+_END_OF_LINE = "(?:\\r?\\n|[\\\\\"'])"
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    "(?:[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(?:(?:{_GAP}+[A-Za-z-]+:\\x20[^\r\n\\\\]*){{0,8}}(?:{_GAP}+{_B64 * 16}{_B64}*){{1,500}}(?:{_GAP}+[A-Za-z0-9+/]+=+)?)?"
+    f"(?:{_END_OF_LINE}[ \\t>#*|]*[A-Za-z0-9+/]{{1,15}}(?:{_END_OF_LINE}|\\z))?)"
+)
 
 
 @dataclass(frozen=True)
@@ -58,7 +70,7 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    Rule("pem", PEM, 0, 1, "PRIVATE KEY-----"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
 )

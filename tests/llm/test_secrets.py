@@ -85,3 +85,27 @@ def test_empty_table_and_no_rules(spark, documents, tmp_path_factory):
     assert secrets.scan(documents([]), folder(spark, tmp_path_factory, "d")).count() == 0
     none = secrets.scan(documents([(1, "token=abcdefgh")]), folder(spark, tmp_path_factory, "e"), ())
     assert [r.spans for r in none.collect()] == [[]]
+
+
+def test_no_character_of_a_private_key_is_left(spark, documents, tmp_path_factory):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    line = lambda n=64: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n\n"
+    body = "\n".join([*[line() for _ in range(100)], "QX7W=="])
+    texts = {
+        f"a {begin}\n{body}\n{end} b": "a [SECRET] b",
+        f"a {begin}\n{head}{body}\n{end}\nb".replace("\n", "\r\n"): "a [SECRET]\r\nb",
+        f"a {begin}\n{head}{body}\n\nmore prose.": "a [SECRET]\n\nmore prose.",
+        f"a {begin}\n{body}\n{end} b".replace("\n", "\\n"): "a [SECRET] b",
+        f"a {begin} {body} b, c".replace("\n", " "): "a [SECRET] b, c",
+        f"a {begin}\n{line()}\n{line(7)}": "a [SECRET]",
+        f"a {begin} is a line. - Then -- prose. {begin}\n{body}\n{end} b": "a [SECRET] is a line. - Then -- prose. [SECRET] b",
+        f"a {begin}\n{line()}\n\n{'b -- c. ' * 20_000}": f"a [SECRET]\n\n{'b -- c. ' * 20_000}",
+    }
+    docs = documents(list(enumerate(texts)))
+    found = secrets.scan(docs, folder(spark, tmp_path_factory, "f"))
+    clean = docs.join(found, "doc_id").select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t"))
+    assert {r.doc_id: r.t for r in clean.collect()} == dict(enumerate(texts.values()))
