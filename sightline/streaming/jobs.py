@@ -16,6 +16,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sightline.session import as_utc
 
+#: A file's age says nothing about whether it was taken in.
+MAX_FILE_AGE = "36500d"
+#: Progress of every batch of a drain is kept; by default that of the last 100.
+RETENTION = ("spark.sql.streaming.numRecentProgressUpdates", str(2**31 - 1))
+
 
 def file_stream(
     spark: SparkSession,
@@ -31,6 +36,7 @@ def file_stream(
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", MAX_FILE_AGE)
         .parquet(folder)
     )
     for field in schema.fields:
@@ -57,8 +63,7 @@ def file_rows(
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
-        # a file's age says nothing about whether it was taken in
-        .option("maxFileAge", "36500d")
+        .option("maxFileAge", MAX_FILE_AGE)
         .load(folder)
     )
     return files.select(
@@ -149,7 +154,14 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     anew with a longer delay, or by ``run_complete``.
     """
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", out)
-    query = _drain(writer, checkpoint)
+    conf = stream.sparkSession.conf
+    name, every = RETENTION
+    before = conf.get(name)
+    conf.set(name, every)
+    try:
+        query = _drain(writer, checkpoint)
+    finally:
+        conf.set(name, before)
     dropped = sum(
         int(state.numRowsDroppedByWatermark)
         for progress in query.recentProgress

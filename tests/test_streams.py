@@ -94,3 +94,35 @@ def test_a_table_may_be_a_folder_or_a_file(spark, tmp_path):
         many, "event_type", "slot", "events"
     )
     assert one.count() > 0
+
+
+def test_a_resumed_drain_reads_old_files(spark, tmp_path):
+    source = tmp_path / "in"
+
+    def drain():
+        stream = jobs.file_stream(spark, str(source), schema(spark))
+        found = jobs.burst_stream(stream, ["user"], "ts", gap="1 hour", aggs=[F.count("v").alias("n")])
+        return rows(jobs.run_complete(found, str(tmp_path / "a"), str(tmp_path / "b")), "n")
+
+    events(spark, source / "new", [1])
+    assert drain() == [(2,)]
+    events(spark, source / "old", [5])
+    for file in (source / "old").rglob("*.parquet"):
+        then = file.stat().st_mtime - 30 * DAY
+        os.utime(file, (then, then))
+    assert drain() == [(2,)] * 2
+
+
+def test_early_drops_are_seen_whatever_the_retention(spark, tmp_path):
+    events(spark, tmp_path / "in", [10, 20, 0, 30, 31, 32, 33])
+    name = jobs.RETENTION[0]
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), schema(spark), files_per_batch=1)
+        found = jobs.burst_stream(stream, ["user"], "ts", gap="1 hour", delay="1 hour", aggs=[F.count("v").alias("n")])
+        with pytest.raises(ValueError, match="later than the watermark"):
+            jobs.run_once(found, str(tmp_path / "a"), str(tmp_path / "b"))
+        assert spark.conf.get(name) == "1"
+    finally:
+        spark.conf.set(name, before)
