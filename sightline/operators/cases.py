@@ -199,24 +199,21 @@ def report_documents(
 ) -> DataFrame:
     """One nested report per session: its rounds and its entities in report order.
 
-    ``kills`` and ``findings`` carry ``place``, from 1, per entity; at most ``per_entity``
-    of each go in, so what a session gathers is bounded by its roster and its rounds.
+    ``kills`` and ``findings`` carry ``place``, from 1, per entity. At most ``per_entity``
+    kills go in, and every finding (``rules.ranked_findings``, which stays the table to read
+    where one entity's findings may not fit a row).
     ``rounds``: session_id, number, start, end.
     """
 
     def nested(table: DataFrame, name: str) -> DataFrame:
         columns = [c for c in table.columns if c not in (*ENTITY, "place")]
         listed = F.array_sort(F.collect_list(F.struct("place", *columns)))
-        return (
-            table.filter(F.col("place") <= per_entity)
-            .groupBy(*ENTITY)
-            .agg(listed.alias(name))
-        )
+        return table.groupBy(*ENTITY).agg(listed.alias(name))
 
     keys = list(ENTITY)
     whole = (
         report_places(entities)
-        .join(nested(kills, "kills"), keys, "left")
+        .join(nested(kills.filter(F.col("place") <= per_entity), "kills"), keys, "left")
         .join(nested(findings, "findings"), keys, "left")
     )
     order = ["place", *[c for c in whole.columns if c not in ("session_id", "place")]]

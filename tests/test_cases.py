@@ -200,3 +200,17 @@ def test_training_rows_prefer_fresh_annotations(spark):
         assert (got.target_source, got.stale) == (source, stale)
         assert [m.role for m in got.messages] == ["system", "user", "assistant"]
     assert K.LATEST_FORMAT == 6
+
+
+def test_reports_nest_every_finding_and_three_kills(spark):
+    from sightline.operators import cases, rules
+
+    entities = spark.createDataFrame([(1, 7, True, 0.5)], "session_id long, entity_id long, flagged boolean, score double")
+    kills = spark.createDataFrame([(1, 7, n, n) for n in range(1, 6)], "session_id long, entity_id long, tick long, place int")
+    hits = [(1, 7, f"rule{n % 2}", "strong", float(n), n, "deg", 1.0, "x") for n in range(9)]
+    names = "session_id long, entity_id long, name string, severity string, value double, tick long, unit string, threshold double, note string"
+    findings = rules.ranked_findings(spark.createDataFrame(hits, names))
+    rounds = spark.createDataFrame([(1, 1, 0, 9)], "session_id long, number int, start long, end long")
+    person = cases.report_documents(entities, kills, findings, rounds).first().entities[0]
+    assert [k.tick for k in person.kills] == [1, 2, 3]
+    assert [(f.place, f.value) for f in person.findings] == [(n + 1, 8.0 - n) for n in range(9)]
