@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import bpe, chat, decontaminate, extract, language, ngrams, quality, secrets, simhash, urls
+from sightline.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    extract,
+    language,
+    ngrams,
+    phrases,
+    quality,
+    secrets,
+    simhash,
+    urls,
+)
 from sightline.llm.common import shared_folder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +89,10 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(turns))
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -92,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op6_kneser_ney": lm_scores,
     "op7_quality_rules": quality_rules,
     "op10_decontamination": decontamination,
+    "op13_phrase_mining": phrase_mining,
 }
 
 QUERIES["pipeline"] = pipeline
@@ -101,4 +118,5 @@ ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op13_phrase_mining": phrases.ORACLE,
 }
