@@ -14,9 +14,11 @@ from sightline.llm import (
     decontaminate,
     extract,
     language,
+    lines,
     ngrams,
     phrases,
     quality,
+    repair,
     secrets,
     simhash,
     urls,
@@ -108,6 +110,8 @@ QUERIES: dict[str, Query] = {
     "op6_kneser_ney": lm_scores,
     "op7_quality_rules": quality_rules,
     "op10_decontamination": decontamination,
+    "op11_structure_repair": repair.structure_repair,
+    "op12_line_dedup": lines.line_dedup,
     "op13_phrase_mining": phrase_mining,
 }
 
@@ -118,5 +122,6 @@ ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op12_line_dedup": lines.ORACLE,
     "op13_phrase_mining": phrases.ORACLE,
 }

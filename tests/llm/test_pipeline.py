@@ -79,7 +79,7 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} <= set(range(1, 14))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
