@@ -252,15 +252,15 @@ _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE = f"""
 WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (SELECT doc, doc_id, string_split(text, chr(10)) AS lines FROM texts),
-lined AS (SELECT doc, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM split),
+lined AS (SELECT doc, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
 keyed AS (
-    SELECT doc, line, at, translate(trim(line, {_WHITE}),
+    SELECT doc, line, place, translate(trim(line, {_WHITE}),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lined),
 frequent AS (SELECT key FROM keyed WHERE length(key) >= {CHARS} GROUP BY key HAVING count(DISTINCT doc) >= {LEAST}),
 judged AS (SELECT k.*, f.key IS NOT NULL AS drops FROM keyed k LEFT JOIN frequent f ON k.key = f.key),
 kept AS (
     SELECT doc, count(*) AS n_lines, count(*) FILTER (drops) AS n_dropped,
-           coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT drops), '') AS kept
+           coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT drops), '') AS kept
     FROM judged GROUP BY doc)
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept JOIN texts USING (doc)
 """
