@@ -7,10 +7,16 @@ mean over all of its windows, weighted by their bytes. The network is trained wi
 driver, from windows of at most ``FIT_TEXTS`` labelled texts per language, and travels to the
 workers inside the task; texts are scored in Arrow batches of windows, without a shuffle.
 
+The learned weights are rounded to binary fractions so coarse that every product and every sum of
+a score is exact, and windows are added up as integers: a text has the same score in whatever
+row, batch or partition it stands.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. So is every text if
 nothing was learned. With one language learned, that language is given with score 1. Rows
 without lang are not learned from; a null doc_id is neither learned from nor held out. Repeated
-rows are judged one by one. Columns besides those named are ignored.
+rows are judged one by one and alike; equal texts under one doc_id are learned from once, and
+different ones each count as a text. A text of any length is read in all its windows. Languages of equal score: the first in
+the order of names. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ FIT_TEXTS = 250
 FIT_WINDOWS = 8
 #: Windows scored at once.
 BATCH = 512
+#: A window's scores are counted in so many parts of one.
+PARTS = 1 << 24
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -78,15 +86,32 @@ class Network:
         return np.hstack(best), np.hstack(place)
 
     def scores(self, batch: np.ndarray) -> np.ndarray:
-        """Softmax over languages per window."""
+        """Softmax over languages per window; of a ``settled`` network, exact up to the exponentials."""
         n, length = batch.shape
         x = self.bytes_in[batch].reshape(n, length * EMBEDDED)
         best = []
         for width, kernel, shift in zip(WIDTHS, self.kernels, self.shifts, strict=True):
             view = np.lib.stride_tricks.sliding_window_view(x, width * EMBEDDED, axis=1)[:, ::EMBEDDED]
             answers = (view.reshape(-1, width * EMBEDDED) @ kernel).reshape(n, -1, FILTERS)
-            best.append(answers.max(axis=1) + shift)
-        return _softmax(np.maximum(np.hstack(best), 0) @ self.out + self.base)
+            best.append(answers.max(axis=1).astype(np.float64) + shift)
+        return _softmax(np.maximum(np.hstack(best), 0) @ self.out.astype(np.float64) + self.base)
+
+    def settled(self) -> Network:
+        """The weights rounded so that products and sums have no rounding of their own.
+
+        A float32 holds 24 bits: an answer sums at most 32 products of 9 and 9 bits. The layer above
+        is summed in float64, of which it fills 45 of 53.
+        """
+        near = lambda w, bits, most: np.clip(np.rint(w * 2.0**bits) / 2.0**bits, -most, most)
+        small = lambda w, bits, most: near(w, bits, most).astype(np.float32)
+        return Network(
+            self.languages,
+            small(self.bytes_in, 7, 4 - 2**-7),
+            [small(k, 8, 2 - 2**-8) for k in self.kernels],
+            [near(s, 15, 64) for s in self.shifts],
+            near(self.out, 12, 16),
+            near(self.base, 20, 64),
+        )
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -178,20 +203,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(documents: DataFrame, allowed: Column, bound: int = FIT_TEXTS) -> Network | None:
     """The network learned from at most ``bound`` texts per language among ``allowed`` rows."""
     usable = documents.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # only the ids are ranked; the rank filter limits each task before the shuffle
+    named = usable.where(F.length("text") > 0).select("lang", "doc_id", F.xxhash64("text").alias("mark"), "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    # only ids and marks are ranked, each once; the rank filter limits each task before the shuffle
     picked = (
-        usable.where(F.length("text") > 0)
-        .select(
-            F.col("doc_id").alias("picked_id"),
-            F.col("lang").alias("picked_lang"),
-            F.row_number().over(order).alias("rank"),
-        )
+        named.select("lang", "doc_id", "mark")
+        .distinct()
+        .select("*", F.row_number().over(order).cast("int").alias("rank"))
         .where(F.col("rank") <= bound)
     )
     rows = (
-        usable.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")))
-        .select("lang", F.col("rank").cast("int").alias("rank"), "text")
+        named.join(F.broadcast(picked), ["lang", "doc_id", "mark"])
+        .groupBy("lang", "rank")
+        .agg(F.first("text").alias("text"))
         .mapInArrow(_sampled, "lang string, rank int, number int, data binary")
         .collect()
     )
@@ -201,7 +225,7 @@ def learn(documents: DataFrame, allowed: Column, bound: int = FIT_TEXTS) -> Netw
     languages = sorted({r[0] for r in rows})
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, LENGTH)
     wanted = np.array([languages.index(r[0]) for r in rows])
-    return trained(data, wanted, languages)
+    return trained(data, wanted, languages).settled()
 
 
 def predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -210,7 +234,7 @@ def predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str],
     if net is None:
         return names, sure
     judged = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-    totals = np.zeros((len(texts), len(net.languages)))
+    totals = np.zeros((len(texts), len(net.languages)), np.int64)
     held: list[np.ndarray] = []
     owners: list[np.ndarray] = []
 
@@ -220,7 +244,7 @@ def predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str],
         rows, of = np.concatenate(held), np.concatenate(owners)
         weight = (rows != 0).sum(axis=1)
         for a in range(0, len(rows), BATCH):
-            scores = net.scores(rows[a : a + BATCH])
+            scores = np.rint(net.scores(rows[a : a + BATCH]) * PARTS).astype(np.int64)
             np.add.at(totals, of[a : a + BATCH], scores * weight[a : a + BATCH, None])
         held.clear()
         owners.clear()
@@ -238,7 +262,7 @@ def predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str],
                 size = 0
     flush()
     for i in judged:
-        share = totals[i] / max(totals[i].sum(), 1e-30)
+        share = totals[i] / max(int(totals[i].sum()), 1)
         best = int(share.argmax())
         names[i], sure[i] = net.languages[best], float(min(1.0, share[best]))
     return names, sure

@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import language
 from tests.llm.conftest import CLASHING
@@ -90,3 +92,22 @@ def test_windows_cover_every_filter_place():
         covered = {i * step + j for i in range(len(cut)) for j in range(language.LENGTH - max(language.WIDTHS) + 1)}
         assert set(range(max(0, len(data) - max(language.WIDTHS) + 1))) <= covered
         assert len(cut) == 1 or (cut[-1] != 0).any()
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_scores_do_not_depend_on_partitions(spark, documents, parts):
+    rng = random.Random(12)
+    data = [(i, text(rng, lang, rng.randrange(1, 60)), lang) for i, lang in enumerate(sorted(SYLLABLES) * 40)]
+    whole = {r.doc_id: r.score for r in language.identified(documents(data)).collect()}
+    dealt = documents(data).repartition(parts)
+    assert {r.doc_id: r.score for r in language.identified(dealt).collect()} == whole
+
+
+def test_copies_of_an_id_do_not_lift_the_bound(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "trained", lambda rows, wanted, languages: seen.append(len(rows)) or language.fresh(languages))
+    rng = random.Random(13)
+    own = text(rng, "aa", 10)
+    data = [(1, own, "aa")] * 10_000 + [(i, text(rng, "bb", 10), "bb") for i in range(2, 40)]
+    language.learn(documents(data), F.lit(True), 20)
+    assert seen[0] <= (1 + 20) * language.FIT_WINDOWS
