@@ -6,6 +6,8 @@ five to a side, and an entity's n-th event is its tick n.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from sightline.operators.features import Segments
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import CHUNK_SECONDS, number_rows, time_chunk
-from sightline.session import as_utc, staged
+from sightline.session import as_utc, ensure_checkpoint_dir
+from sightline.sources.stored import read_bucketed, write_bucketed
 
 PRE, POST = 8, 4
 SEGMENTS = Segments(idle=(-8, -5), engage=(-4, 0), after=(1, 4))
@@ -80,14 +83,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: (application, table folder, files as they were) to the stored sample table.
-_STORED: dict[tuple, DataFrame] = {}
+#: (application, table folder, files as they were) to the folder of the stored sample table.
+_STORED: dict[tuple, str] = {}
 
 
 def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample table as ingest leaves it: written once per version of its files.
+    """The sample table as ingest leaves it: with angle changes and speeds, bucketed by its keys.
 
-    Readers share it and read only their columns and rows.
+    Written once per version of its files. Readers share it and read only their columns
+    and rows; joins on exact ticks read it bucket by bucket.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
         f"{sf_dir}/events.parquet"
@@ -96,12 +100,15 @@ def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = tuple((r.path, r.modificationTime, r.length) for r in seen)
     key = (spark.sparkContext.applicationId, sf_dir, version)
     if key not in _STORED:
-        _STORED[key] = staged(samples(spark, sf_dir))
-    return _STORED[key]
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/samples-{uuid.uuid4().hex}"
+        write_bucketed(entity_deltas(samples(spark, sf_dir)), path)
+        _STORED[key] = path
+    return read_bucketed(spark, _STORED[key])
 
 
 def deltas(s: DataFrame) -> DataFrame:
-    return entity_deltas(s)
+    """Samples with their angle changes: stored ones have them."""
+    return s if "yaw_speed" in s.columns else entity_deltas(s)
 
 
 def anchors(s: DataFrame) -> DataFrame:

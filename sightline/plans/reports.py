@@ -226,10 +226,10 @@ def case_documents(spark, d):
 @query(
     "session_id:l document:s",
     f"""WITH {Q.EVIDENCE_SQL},
-w AS (SELECT *, CASE severity WHEN 'impossible' THEN 0 ELSE 1 END AS rank,
-    row_number() OVER (PARTITION BY session_id, entity_id, name ORDER BY CASE severity WHEN 'impossible' THEN 0 ELSE 1 END, value DESC) AS rn FROM evidence),
-f AS (SELECT session_id, entity_id, name, row_number() OVER (PARTITION BY session_id, entity_id ORDER BY rank, value DESC, name) AS place FROM w WHERE rn = 1),
-fl AS (SELECT session_id, entity_id, string_agg(place || ' ' || name, ',' ORDER BY place) AS findings FROM f WHERE place <= 3 GROUP BY 1, 2),
+f AS (SELECT session_id, entity_id, name, value, row_number() OVER (PARTITION BY session_id, entity_id
+  ORDER BY CASE severity WHEN 'impossible' THEN 0 ELSE 1 END, value DESC, name,
+  CASE WHEN name = 'kill_tick_snap' THEN tick_start + 64 ELSE tick_start END) AS place FROM evidence),
+fl AS (SELECT session_id, entity_id, string_agg(place || ' ' || name || ' ' || CAST(floor(value) AS BIGINT), ',' ORDER BY place) AS findings FROM f GROUP BY 1, 2),
 k AS (SELECT session_id, entity_id, tick, weapon, row_number() OVER (PARTITION BY session_id, entity_id ORDER BY tick) AS place FROM samples WHERE anchor),
 kl AS (SELECT session_id, entity_id, string_agg(place || ' ' || tick || ' ' || weapon, ',' ORDER BY place) AS kills FROM k WHERE place <= 3 GROUP BY 1, 2),
 rd AS (SELECT session_id, round AS number, min(tick) AS s, max(tick) AS e FROM samples GROUP BY 1, 2),
@@ -241,13 +241,13 @@ l AS (SELECT session_id, string_agg(place || ' ' || entity_id || ' [' || coalesc
 SELECT session_id, people || ' | ' || rounds AS document FROM l JOIN rl USING (session_id)""",
 )
 def report_documents(spark, d):
-    """Nested reports, read out in the order of their lists."""
+    """Nested reports with every finding, read out in the order of their lists."""
     s = A.stored_samples(spark, d)
     by_tick = W.partitionBy("session_id", "entity_id").orderBy("tick")
     kills = s.filter("anchor").select(
         "session_id", "entity_id", "tick", "weapon", F.row_number().over(by_tick).alias("place")
     )
-    findings = R.worst_hits(Q.evidence(s)).select("session_id", "entity_id", "name", "place")
+    findings = R.ranked_findings(Q.evidence(s)).select("session_id", "entity_id", "name", "value", "place")
     rounds = s.groupBy("session_id", F.col("round").alias("number")).agg(
         F.min("tick").alias("start"), F.max("tick").alias("end")
     )
@@ -258,7 +258,8 @@ def report_documents(spark, d):
     found = Z.report_documents(entities, kills, findings, rounds)
 
     def text(rows, *columns):
-        line = lambda r: F.concat_ws(" ", *[r[c].cast("string") for c in columns])
+        shown = lambda r, c: F.floor(r[c]) if c == "value" else r[c]
+        line = lambda r: F.concat_ws(" ", *[shown(r, c).cast("string") for c in columns])
         empty = F.array().cast("array<string>")
         return F.array_join(F.coalesce(F.transform(rows, line), empty), ",")
 
@@ -268,7 +269,7 @@ def report_documents(spark, d):
             F.lit(" ["),
             text(e["kills"], "place", "tick", "weapon"),
             F.lit("] ["),
-            text(e["findings"], "place", "name"),
+            text(e["findings"], "place", "name", "value"),
             F.lit("]"),
         )
 

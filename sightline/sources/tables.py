@@ -20,6 +20,7 @@ from sightline.schema import (
     SAMPLES,
     conform,
 )
+from sightline.sources.stored import read_bucketed, write_bucketed
 
 LISTED_FOLDER = "with_cheater_present"
 
@@ -198,14 +199,15 @@ def missing_kinds(events: DataFrame, sessions: DataFrame) -> DataFrame:
 def write_sessions(
     samples: DataFrame, events: DataFrame, sessions: DataFrame, root: str
 ) -> None:
-    """Store a table set: samples, events by kind, sessions."""
-    samples.write.mode("overwrite").parquet(f"{root}/samples")
+    """Store a table set: samples in buckets of their keys, events by kind, sessions."""
+    write_bucketed(samples, f"{root}/samples")
     events.write.mode("overwrite").partitionBy("kind").parquet(f"{root}/events")
     sessions.write.mode("overwrite").parquet(f"{root}/sessions")
 
 
 def read_stored(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{root}/{n}") for n in ("samples", "events", "sessions")}
+    found = {n: spark.read.parquet(f"{root}/{n}") for n in ("events", "sessions")}
+    return {"samples": read_bucketed(spark, f"{root}/samples")} | found
 
 
 def without_listed(files: DataFrame, listings: DataFrame) -> DataFrame:

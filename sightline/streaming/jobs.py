@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sightline.session import as_utc
+from sightline.session import as_utc, staged
 
 #: A file's age says nothing about whether it was taken in.
 MAX_FILE_AGE = "36500d"
@@ -74,31 +75,49 @@ def file_rows(
     )
 
 
+#: Hex digits of a hash that name a manifest's partition.
+MANIFEST_DIGITS = 2
+
+
 def ingest(files: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Drain ``file_rows`` into a manifest at ``out``: one row per content, the first path.
 
-    What was seen is the manifest itself, without a time limit. A batch writes its own
-    folder over, so one that is repeated after a failure leaves the same rows.
+    What was seen is the manifest itself, without a time limit. It is partitioned by the first
+    hex digits of the hash and then by batch, and a batch reads the partitions of its own
+    hashes only. A batch that is repeated after a failure writes its partitions over,
+    and reads none of its own rows, so the manifest is the same.
     """
     spark = files.sparkSession
     schema = files.schema
+    stored = T.StructType([*schema.fields, T.StructField("part", T.StringType()), T.StructField("batch", T.LongType())])
 
     def take(batch: DataFrame, number: int) -> None:
         first = batch.groupBy("sha256").agg(
             F.min(F.struct("path", "modified", "bytes")).alias("f")
-        ).select("f.path", "f.modified", "f.bytes", "sha256")
+        ).select(
+            "f.path",
+            "f.modified",
+            "f.bytes",
+            "sha256",
+            F.substring("sha256", 1, MANIFEST_DIGITS).alias("part"),
+            F.lit(number).cast("long").alias("batch"),
+        )
         spark_ = batch.sparkSession
         if number > 0:
-            known = spark_.read.schema(schema).parquet(
-                *[f"{out}/batch={i}" for i in range(number)]
-            )
-            first = first.join(known.select("sha256"), "sha256", "left_anti").select(
-                first.columns
-            )
-        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            first = staged(first)  # read for its partitions, and again to be joined
+            parts = [r.part for r in first.select("part").distinct().collect()]
+            known = manifest_rows(spark_, out, stored).where(F.col("part").isin(parts) & (F.col("batch") < number))
+            first = first.join(known.select("sha256"), "sha256", "left_anti").select(stored.names)
+        writer = first.repartition("part").write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(out)
 
     _drain(files.writeStream.foreachBatch(take), checkpoint)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    return manifest_rows(spark, out, stored).select(schema.names)
+
+
+def manifest_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """A manifest with its partition columns, ``part`` and ``batch``."""
+    return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
 def burst_stream(
@@ -171,21 +190,29 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
         raise ValueError(f"{dropped} rows came later than the watermark allows")
 
 
+def last_committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """The number of the last batch that a checkpoint knows to be whole."""
+    try:
+        commits = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select("path").collect()
+    except AnalysisException:  # nothing was ever drained
+        return None
+    return max((int(r.path.rsplit("/", 1)[1]) for r in commits if r.path.rsplit("/", 1)[1].isdigit()), default=None)
+
+
 def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Everything available, aggregated whole; the table after the last batch.
 
-    Each batch writes the whole result to a folder of its own, so a reader never sees
-    half of one.
+    Batches write the whole result in turn to one of two folders, so a drain holds two
+    tables at most and a reader of the last one never sees half of the next. A drain that
+    finds nothing new gives the table of the last batch before it.
     """
-    last: list[str] = []
+    spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        path = f"{out}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        last[:] = [path]
+        batch.write.mode("overwrite").parquet(f"{out}/turn={number % 2}")
 
     _drain(stream.writeStream.outputMode("complete").foreachBatch(put), checkpoint)
-    spark = stream.sparkSession
-    if not last:
+    last = last_committed(spark, checkpoint)
+    if last is None:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*last)
+    return spark.read.schema(stream.schema).parquet(f"{out}/turn={last % 2}")

@@ -74,3 +74,59 @@ def test_joins_are_equi_joins(spark, samples):
         text = plan(df)
         assert "NestedLoop" not in text and "Cartesian" not in text
         assert "SinglePartition" not in text
+
+
+def exchanges_above(plan, scan="Bucketed: true"):
+    """For every bucketed scan in a plan's text, what shuffles its rows before the first join."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    found = []
+    for at, line in enumerate(lines):
+        if scan not in line:
+            continue
+        here, path = depth(line), []
+        for above in reversed(lines[:at]):
+            if depth(above) < here:
+                here = depth(above)
+                path.append(above)
+                if "Join" in above:
+                    break
+        found.append([p for p in path if "Exchange" in p])
+    return found
+
+
+@pytest.mark.parametrize("name", ["anchor_windows", "target_geometry"])
+def test_stored_samples_are_joined_where_they_lie(spark, name):
+    from sightline.operators.joins import anchor_windows, state_of
+    from sightline.plans import adapters as A
+
+    s = A.stored_samples(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = spark.createDataFrame(
+            A.anchors(s).collect(), A.anchors(s).schema
+        )
+        if name == "anchor_windows":
+            found = anchor_windows(s, wanted, pre=2, post=1)[1]
+        else:
+            found = state_of(wanted, s, "target_id", {"x": "target_x"})
+        text = found._jdf.queryExecution().executedPlan().toString()
+        n = found.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = exchanges_above(text)
+    assert above and not any(above), text
+    assert n > 0
+
+
+def test_a_stored_table_is_registered_again_and_unions_of_it_group_whole(spark, tmp_path):
+    from sightline.sources import stored
+
+    rows_ = spark.range(1000).selectExpr("id % 3 as session_id", "id % 7 as entity_id", "id as tick", "id * 1.5 as x")
+    path = str(tmp_path / "t")
+    first = stored.write_bucketed(rows_, path, buckets=3)
+    spark.sql(f"DROP TABLE {stored._name(path)}")
+    again = stored.read_bucketed(spark, path)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows_.collect())) and first.columns == again.columns
+    twice = again.unionByName(again).groupBy(*stored.SAMPLE_KEYS).count()
+    assert twice.count() == 1000 and twice.where("count <> 2").isEmpty()

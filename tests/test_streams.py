@@ -1,5 +1,6 @@
 """Streams lose nothing, however files fall into batches."""
 
+import hashlib
 import os
 import shutil
 
@@ -126,3 +127,47 @@ def test_early_drops_are_seen_whatever_the_retention(spark, tmp_path):
         assert spark.conf.get(name) == "1"
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_drain_without_new_files_gives_the_last_table(spark, tmp_path):
+    source = tmp_path / "in"
+
+    def drain():
+        stream = jobs.file_stream(spark, str(source), schema(spark), files_per_batch=1)
+        found = jobs.burst_stream(stream, ["user"], "ts", gap="1 hour", aggs=[F.count("v").alias("n")])
+        return rows(jobs.run_complete(found, str(tmp_path / "a"), str(tmp_path / "b")), "n")
+
+    (source).mkdir()
+    assert drain() == []
+    events(spark, source / "first", [1, 5, 9, 13, 17])
+    first = drain()
+    assert first and drain() == first == drain()
+    # however many batches, two tables lie there at most
+    assert {p.name for p in (tmp_path / "a").iterdir() if p.is_dir()} <= {"turn=0", "turn=1"}
+
+
+def test_a_batch_reads_the_manifest_partitions_of_its_own_hashes(spark, tmp_path, monkeypatch):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    read = []
+
+    def recorded(*a, own=jobs.manifest_rows):
+        found = own(*a)
+        read.append(found)
+        return found
+
+    for i in range(40):
+        (source / f"f{i}").write_bytes(b"%d" % i)
+    jobs.ingest(jobs.file_rows(spark, str(source)), out, state)
+    monkeypatch.setattr(jobs, "manifest_rows", recorded)
+    (source / "again").write_bytes(b"7")
+    (source / "new").write_bytes(b"new")
+    whole = jobs.ingest(jobs.file_rows(spark, str(source)), out, state)
+    assert whole.count() == 41
+    parts = {hashlib.sha256(x).hexdigest()[:2] for x in (b"7", b"new")}
+    known = read[0].where(F.col("part").isin(*parts) & (F.col("batch") < 1))
+    files = spark.read.schema(read[0].schema).option("basePath", out).parquet(out).inputFiles()
+    touched = [f for f in files if any(f"part={p}/" in f for p in parts)]
+    assert known.count() >= 1 and len(touched) < len(files) / 3
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan
