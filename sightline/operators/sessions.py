@@ -19,13 +19,13 @@ from sightline.operators.features import mark_shots
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import attach_row
-from sightline.operators.spatial import line_of_sight
+from sightline.operators.spatial import Cells, line_of_sight, meshed_maps, packed_cells, stored_cells
 from sightline.sources.sinks import write_windows
 
 RAYS, FLAG = "raycast", "spotting_flag"
 
 
-def with_sight(ticks: DataFrame, triangles: DataFrame | None, **sight: float) -> DataFrame:
+def with_sight(ticks: DataFrame, triangles: DataFrame | Cells | None, **sight: float) -> DataFrame:
     """``target_visible`` by rays where the tick's map has a mesh, else by the flag.
 
     ``ticks``: window_uid, tick_offset, map, both positions and ``flag_visible``. The two
@@ -40,7 +40,7 @@ def with_sight(ticks: DataFrame, triangles: DataFrame | None, **sight: float) ->
         ticks, triangles, ["window_uid", "tick_offset"], name="_clear", **sight
     )
     # maps are told by one row, as in the ray test
-    meshes = triangles.agg(F.collect_set("map").alias("_meshes"))
+    meshes = meshed_maps(triangles)
     by_rays = F.coalesce(F.array_contains("_meshes", F.col("map")), F.lit(False))
     return (
         attach_row(tested, meshes)
@@ -60,7 +60,7 @@ def session_windows(
     samples: DataFrame,
     anchors: DataFrame,
     sessions: DataFrame,
-    triangles: DataFrame | None = None,
+    triangles: DataFrame | Cells | None = None,
     *,
     pre: int = 128,
     post: int = 32,
@@ -72,14 +72,17 @@ def session_windows(
 ) -> tuple[DataFrame, DataFrame]:
     """(windows, ticks) of every anchor: aim, geometry, sight and shots per tick, context per window.
 
-    ``samples`` carry spotted_by and shot; ``sessions``: session_id, map and whatever else
+    ``samples`` carry spotted_by and shot, and may carry their deltas; ``sessions``: session_id, map and whatever else
     windows shall carry. Context is what the entity could know: ``last_seen_ms`` (NULL if
     never, or where ``sight_checked`` is false), ``victim_fired_ms_ago``,
     ``victim_was_running``, ``allies_alive``, ``enemies_alive``. ``look_back`` are first,
     last and stride of the ticks before an anchor that are tested for sight.
     """
+    if triangles is not None and not isinstance(triangles, Cells):
+        # two ray tests read it
+        triangles = stored_cells(packed_cells(triangles, voxel=sight.get("voxel", 64.0)))
     windows, ticks = anchor_windows(
-        entity_deltas(samples), anchors, pre=pre, post=post, carry=("weapon",)
+        samples if "yaw_speed" in samples.columns else entity_deltas(samples), anchors, pre=pre, post=post, carry=("weapon",)
     )
     windows = windows.join(sessions, "session_id", "left")
     ticks = C.add_target_geometry(ticks, samples).join(

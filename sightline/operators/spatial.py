@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -134,9 +135,68 @@ def _hit(near: float) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A mesh by grid cells: ``_map``, ``ix``, ``iy``, ``iz`` and the cell's triangles, ready to be tested.
+
+    A row holds at most as many triangles as it was packed with; a fuller cell has several rows.
+    """
+
+    rows: DataFrame
+    voxel: float
+
+
+def packed_cells(
+    triangles: DataFrame, *, by: str = "map", voxel: float = 64.0, per_row: int = CELL_TRIANGLES
+) -> Cells:
+    """Triangles with their planes, gathered by the cells they touch.
+
+    Made once per mesh and stored, it spares every test its own grid. Crowded cells are dealt
+    out by a hash of ``tri_id`` before they are gathered, so no task gathers a cell without a bound.
+    """
+    corner = {a: [F.col(f"{p}{a}") for p in "abc"] for a in "xyz"}
+    cell = ["_map", "ix", "iy", "iz"]
+    named = [*[f"t_{p}{a}" for p in "auvn" for a in "xyz"], "t_c"]
+    parts = _planes(triangles).select(
+        F.col(by).alias("_map"),
+        "tri_id",
+        F.struct(*named).alias("t"),
+        F.inline(
+            _cells(
+                [F.least(*corner[a]) for a in "xyz"],
+                [F.greatest(*corner[a]) for a in "xyz"],
+                voxel,
+            )
+        ),
+    )
+    crowded = (
+        parts.groupBy(*cell)
+        .agg(F.ceil(F.count(F.lit(1)) / per_row).cast("long").alias("_salts"))
+        .filter(F.col("_salts") > 1)
+    )
+    dealt = parts.join(crowded, cell, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("tri_id"), F.coalesce("_salts", F.lit(1)))
+    )
+    gathered = dealt.groupBy(*cell, "_salt").agg(F.collect_list("t").alias("_all"))
+    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(per_row))
+    cut = F.transform(starts, lambda i: F.slice("_all", i, F.lit(per_row)))
+    return Cells(gathered.select(*cell, F.explode(cut).alias("triangles")), voxel)
+
+
+def stored_cells(cells: Cells) -> Cells:
+    """The cells written to the shared folder: a mesh is packed once, whatever reads it."""
+    return Cells(staged(cells.rows), cells.voxel)
+
+
+def meshed_maps(triangles: DataFrame | Cells, by: str = "map") -> DataFrame:
+    """One row, ``_meshes``: the maps there are triangles of."""
+    rows, of = (triangles.rows, "_map") if isinstance(triangles, Cells) else (triangles, by)
+    return rows.agg(F.collect_set(of).alias("_meshes"))
+
+
 def line_of_sight(
     segments: DataFrame,
-    triangles: DataFrame,
+    triangles: DataFrame | Cells,
     keys: Sequence[str],
     *,
     origin: Sequence[str] = ("x", "y", "z"),
@@ -153,12 +213,13 @@ def line_of_sight(
 
     ``keys`` identify a segment. Points closer than the near clip see each other;
     an unknown position gives NULL, and so does a map without triangles: nothing is
-    known of it. Triangles and segments meet in the voxel cells
-    both touch; the test is the condition of a semi join, so pairs are tried and
-    never produced. A cell with more than ``cell_triangles`` triangles is split
-    over salts, the segments visiting it are sent to each. Segments are read twice
-    (for the test and for the answer), so they are staged first.
+    known of it. ``triangles`` are a mesh or its ``packed_cells`` (whose voxel then holds).
+    A segment visits the cells it passes and joins a row per cell; the cell's triangles are
+    tested as they are read out of that row, so pairs are tried and never written.
+    Segments are read twice (for the test and for the answer), so they are staged first.
     """
+    if not isinstance(triangles, Cells):
+        triangles = packed_cells(triangles, by=by, voxel=voxel, per_row=cell_triangles)
     segments = staged(segments)
     rise = dict(zip(("x", "y", "z"), (0.0, 0.0, 1.0), strict=True))
     start = {
@@ -179,48 +240,17 @@ def line_of_sight(
         length.alias("dist"),
     ).filter(F.col("dist") > near_clip)
 
-    corner = {a: [F.col(f"{p}{a}") for p in "abc"] for a in "xyz"}
-    parts = _planes(triangles).select(
-        F.col(by).alias("_map"),
-        "tri_id",
-        *[f"t_{p}{a}" for p in "auvn" for a in "xyz"],
-        "t_c",
-        F.inline(
-            _cells(
-                [F.least(*corner[a]) for a in "xyz"],
-                [F.greatest(*corner[a]) for a in "xyz"],
-                voxel,
-            )
-        ),
-    )
-    cell = ["_map", "ix", "iy", "iz"]
-    salts = (
-        parts.groupBy(*cell)
-        .agg(F.ceil(F.count(F.lit(1)) / cell_triangles).cast("long").alias("salts"))
-    )
-    crowded = salts.filter(F.col("salts") > 1)
-    salted = parts.join(crowded, cell, "left").withColumn(
-        "salt", F.pmod(F.xxhash64("tri_id"), F.coalesce("salts", F.lit(1)))
-    )
-    visits = _visited_cells(rays, voxel)
-    # cells without triangles are dropped here, crowded ones are sent to every salt
-    visits = visits.join(salts, cell).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-    )
-    s, t = visits.alias("s"), salted.drop("salts").alias("t")
-    meet = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in [*cell, "salt"]]
-    condition = meet[0]
-    for m in meet[1:]:
-        condition = condition & m
+    visits = _visited_cells(rays, triangles.voxel).join(triangles.rows, ["_map", "ix", "iy", "iz"])
     blocked = (
-        s.join(t, condition & _hit(near_clip), "left_semi")
-        .select(*[F.col(f"s.{k}").alias(k) for k in keys])
+        visits.select(*keys, *[f"{p}{a}" for p in "od" for a in "xyz"], "dist", F.inline("triangles"))
+        .filter(_hit(near_clip))
+        .select(*keys)
         .distinct()
         .withColumn("_blocked", F.lit(True))
     )
     out = segments.withColumn("_dist", length).join(blocked, list(keys), "left")
     # one row: the maps there are triangles of
-    out = attach_row(out, triangles.agg(F.collect_set(by).alias("_meshes")))
+    out = attach_row(out, meshed_maps(triangles))
     unknown = F.col("_dist").isNull() | F.isnan("_dist")
     no_mesh = ~F.coalesce(F.array_contains("_meshes", F.col(by)), F.lit(False))
     return out.withColumn(
@@ -241,7 +271,7 @@ def live_samples(
 
 
 def sightings(
-    live: DataFrame, triangles: DataFrame, *, voxel: float = 64.0, **sight: float
+    live: DataFrame, triangles: DataFrame | Cells, *, voxel: float = 64.0, **sight: float
 ) -> DataFrame:
     """Every (entity, enemy) pair of a sample with ``sees``; NULL where sight is unknown.
 

@@ -7,6 +7,7 @@ five to a side, and an entity's n-th event is its tick n.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from sightline.operators.features import Segments
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import CHUNK_SECONDS, number_rows, time_chunk
+from sightline.operators.spatial import Cells, packed_cells, stored_cells
 from sightline.session import as_utc, ensure_checkpoint_dir
 from sightline.sources.stored import read_bucketed, write_bucketed
 
@@ -83,27 +85,36 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: (application, table folder, files as they were) to the folder of the stored sample table.
-_STORED: dict[tuple, str] = {}
+#: (application, table folder, table, files as they were) to what was made of that table.
+_MADE: dict[tuple, object] = {}
 
 
-def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample table as ingest leaves it: with angle changes and speeds, bucketed by its keys.
-
-    Written once per version of its files. Readers share it and read only their columns
-    and rows; joins on exact ticks read it bucket by bucket.
-    """
+def _made_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives for a table: once per application and version of the table's files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        f"{sf_dir}/events.parquet"
+        f"{sf_dir}/{name}.parquet"
     )
     seen = files.select("path", "modificationTime", "length").orderBy("path").collect()
     version = tuple((r.path, r.modificationTime, r.length) for r in seen)
-    key = (spark.sparkContext.applicationId, sf_dir, version)
-    if key not in _STORED:
+    key = (spark.sparkContext.applicationId, sf_dir, name, version)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table as ingest leaves it: with angle changes and speeds, bucketed by its keys.
+
+    Readers share it and read only their columns and rows; joins on exact ticks read it
+    bucket by bucket.
+    """
+
+    def make() -> str:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/samples-{uuid.uuid4().hex}"
         write_bucketed(entity_deltas(samples(spark, sf_dir)), path)
-        _STORED[key] = path
-    return read_bucketed(spark, _STORED[key])
+        return path
+
+    return read_bucketed(spark, _made_once(spark, sf_dir, "events", make))
 
 
 def deltas(s: DataFrame) -> DataFrame:
@@ -224,6 +235,12 @@ def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mesh_cells(spark: SparkSession, sf_dir: str) -> Cells:
+    """The mesh packed by its cells, as it is stored once per version of its table."""
+    make = lambda: stored_cells(packed_cells(mesh(spark, sf_dir), voxel=VOXEL))
+    return _made_once(spark, sf_dir, "embeddings", make)
+
+
 def with_map(df: DataFrame) -> DataFrame:
     return df.withColumn("map", F.col("session_id") % 2)
 

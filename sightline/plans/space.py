@@ -38,7 +38,7 @@ SELECT window_uid, dist <= 8 OR window_uid NOT IN (SELECT window_uid FROM blocke
 )
 def line_of_sight(spark, d):
     return S.line_of_sight(
-        anchor_segments(A.stored_samples(spark, d)), A.mesh(spark, d), ["window_uid"], voxel=A.VOXEL
+        anchor_segments(A.stored_samples(spark, d)), A.mesh_cells(spark, d), ["window_uid"], voxel=A.VOXEL
     )
 
 
@@ -61,7 +61,7 @@ sees AS (SELECT *, clear AND coalesce(target_angle <= 53, false) AS sees FROM si
 
 def sightings(spark, d, s):
     live = S.live_samples(A.with_map(s))
-    return S.sightings(live, A.mesh(spark, d), voxel=A.VOXEL)
+    return S.sightings(live, A.mesh_cells(spark, d), voxel=A.VOXEL)
 
 
 @query(
@@ -153,7 +153,7 @@ def last_seen(spark, d):
     pairs = C.lookback_pairs(windows, s, first=-40, last=-8, stride=4)
     seen = S.line_of_sight(
         A.with_map(pairs),
-        A.mesh(spark, d),
+        A.mesh_cells(spark, d),
         ["window_uid", "tick_offset"],
         voxel=A.VOXEL,
     )
@@ -202,7 +202,7 @@ def _session_windows(spark, d):
         s,
         A.anchors(s),
         sessions,
-        A.mesh(spark, d).filter("map = 0"),
+        S.Cells(A.mesh_cells(spark, d).rows.filter("_map = 0"), A.VOXEL),
         pre=A.PRE,
         post=A.POST,
         look_back={"first": -40, "last": -8, "stride": 4},
