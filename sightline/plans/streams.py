@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sightline.operators.motion import ENTITY
+from sightline.plans import adapters as A
 from sightline.plans.registry import query
 from sightline.session import ensure_checkpoint_dir
 from sightline.streaming import jobs
+from sightline.streaming.carried import CarriedLookback, CarriedRuns
 
 
 def _events(spark, d):
@@ -65,3 +68,58 @@ def stream_rates(spark, d):
 @query("path:s bytes:l sha256:s", None)
 def stream_ingest(spark, d):
     return jobs.ingest(jobs.file_rows(spark, d, pattern="*.parquet"), *_places(spark))
+
+
+def _sample_stream(spark, d):
+    """The stored samples file by file; a file holds rows of all entities and ticks."""
+    s = A.stored_samples(spark, d)
+    folder = s.inputFiles()[0].rsplit("/", 1)[0]
+    files = len(s.inputFiles())
+    return jobs.file_stream(spark, folder, s.schema, files_per_batch=-(-files // 3))
+
+
+@query(
+    "session_id:l entity_id:l run_start:l run_end:l length:l peak:d",
+    f"""WITH {A.DELTAS_SQL},
+f AS (SELECT *, coalesce(yaw_speed > 4000, false) AS hit FROM deltas),
+c AS (SELECT *, CASE WHEN hit IS DISTINCT FROM lag(hit) OVER w THEN 1 ELSE 0 END AS ch
+      FROM f WINDOW w AS (PARTITION BY session_id, entity_id ORDER BY tick)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY session_id, entity_id ORDER BY tick) AS run FROM c)
+SELECT session_id, entity_id, min(tick) AS run_start, max(tick) AS run_end,
+  count(*) AS length, max(yaw_speed) AS peak
+FROM r WHERE hit GROUP BY session_id, entity_id, run HAVING count(*) >= 2""",
+)
+def stream_runs(spark, d):
+    """The runs of ``runs_above`` from a stream of three batches."""
+    speed = F.col("yaw_speed")
+    carried = CarriedRuns(ENTITY, "seq", speed > 4000, {"peak": ("max", speed)})
+    found, _ = carried.drain(_sample_stream(spark, d), *_places(spark))
+    length = F.col("end") - F.col("start") + 1
+    return found.where(length >= 2).select(
+        *ENTITY, F.col("start").alias("run_start"), F.col("end").alias("run_end"), length.alias("length"), "peak"
+    )
+
+
+@query(
+    "session_id:l entity_id:l target_id:l tick:l target_fired_ms_ago:d",
+    f"""WITH {A.SAMPLES_SQL},
+k AS (SELECT session_id, entity_id, target_id, tick FROM samples WHERE anchor),
+f AS (SELECT k.session_id, k.entity_id, k.tick, max(s.tick) AS t FROM k JOIN samples s
+   ON s.session_id = k.session_id AND s.entity_id = k.target_id AND s.shot
+  AND s.tick BETWEEN k.tick - 12 AND k.tick GROUP BY 1, 2, 3)
+SELECT k.session_id, k.entity_id, k.target_id, k.tick, (k.tick - f.t) / 64.0 * 1000 AS target_fired_ms_ago
+FROM k LEFT JOIN f USING (session_id, entity_id, tick)""",
+)
+def stream_lookback(spark, d):
+    """The look-back of ``lookback_last_event`` for all anchors, from a stream of three batches."""
+    carried = CarriedLookback(
+        ("session_id", "target_id"), "tick", ("session_id", "entity_id", "tick"), span=A.SPAN
+    )
+    found = carried.drain(
+        _sample_stream(spark, d),
+        A.anchors,
+        lambda s: s.filter("shot").select("session_id", F.col("entity_id").alias("target_id"), "tick"),
+        *_places(spark),
+    )
+    ago = (F.col("tick") - F.col("event_tick")) / 64.0 * 1000
+    return found.select("session_id", "entity_id", "target_id", "tick", ago.alias("target_fired_ms_ago"))
