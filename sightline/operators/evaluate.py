@@ -99,54 +99,88 @@ def bootstrap_auc(
     rows: DataFrame,
     score: Column,
     positive: Column,
-    key: Column,
     *,
     replicates: int = 200,
     seed: int = 0,
 ) -> DataFrame:
-    """90% interval of the AUC by a Poisson bootstrap.
+    """90% interval of the AUC by a Poisson bootstrap of the score histogram.
 
-    Each row's weight in a replicate is drawn from a digest of (key, replicate), so a
-    retried task draws the same weights.
+    n rows of one score and label are drawn Poisson(n) times in a replicate: rows are counted
+    first, and only distinct scores meet replicates. n is cut into powers of two, for each of
+    which a number from a digest of (place of the score, label, power, replicate) is looked up in
+    the distribution function; what lies above the largest table is drawn from the normal
+    limit. A retried task draws the same.
     """
-    tall = rows.select(
-        score.alias("_score"),
-        positive.alias("_positive"),
-        key.cast("string").alias("_key"),
-        F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"),
-    )
-    digest = F.md5(F.concat_ws("/", "_key", "replicate", F.lit(seed)))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = tall.withColumn("_u", u).withColumn("w", poisson_weight(F.col("_u")))
-    hist = score_histogram(
-        drawn.filter(F.col("w") > 0),
-        F.col("_score"),
-        F.col("_positive"),
-        ["replicate"],
-        F.col("w"),
+    hist = score_histogram(rows, score, positive)
+    placed = number_by_range(hist, [], ["score"], "place")
+    counted = placed.select(
+        "place",
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("label"), F.col("pos").alias("n")),
+                F.struct(F.lit(0).alias("label"), F.col("neg").alias("n")),
+            )
+        ),
+    ).filter("n > 0")
+    powers = len(poisson_tables())
+    # the number of rows of each power, and at last what is above all
+    parts = [F.col("n").bitwiseAND(F.lit(1 << p)) for p in range(powers)]
+    parts.append(F.shiftleft(F.shiftright("n", powers), powers))
+    drawn = (
+        counted.select("place", "label", F.posexplode(F.array(*parts)).alias("power", "of"))
+        .filter("of > 0")
+        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        .withColumn("_d", F.md5(F.concat_ws("/", "place", "label", "power", "replicate", F.lit(seed))))
+        .withColumn("w", poisson_weight(F.col("power"), F.col("of"), F.col("_d")))
+    )
+    weighted = (
+        drawn.groupBy("replicate", F.col("place").cast("double").alias("score"))
+        .agg(
+            F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("neg"),
+        )
+        .filter("pos + neg > 0")
     )
-    aucs = roc_auc(hist, ["replicate"]).filter(F.col("auc").isNotNull())
+    aucs = roc_auc(weighted, ["replicate"]).filter(F.col("auc").isNotNull())
     return quantiles(
         aucs, [], "auc", {"low": 0.05, "median": 0.5, "high": 0.95}, counts=True
     )
 
 
-def poisson_steps(terms: int = 12) -> list[float]:
-    """Poisson(1) distribution function at 0, 1, 2, ... (beyond it 1e-9 is left)."""
-    out, mass, cumulative = [], math.exp(-1.0), 0.0
-    for n in range(terms):
-        cumulative += mass
-        out.append(cumulative)
-        mass /= n + 1
-    return out
+#: Powers of two that have a table; a count of 2^POWERS and more adds a normal part.
+POWERS = 10
+
 
+def poisson_tables() -> list[list[float]]:
+    """Distribution functions of Poisson(1), Poisson(2), Poisson(4), ... at 0, 1, 2, ...
 
-def poisson_weight(u: Column) -> Column:
-    """How often a row is drawn, from a uniform number."""
-    weight = F.lit(0)
-    for step in poisson_steps():
-        weight = weight + F.when(u >= step, 1).otherwise(0)
-    return weight
+    Each goes on until it leaves less than a step of the 32-bit numbers looked up in it.
+    """
+    tables = []
+    for power in range(POWERS):
+        mean = float(1 << power)
+        n, mass, cumulative, steps = 0, math.exp(-mean), 0.0, []
+        while n <= mean or 1.0 - cumulative > 1e-11 and mass > 1e-16:
+            cumulative += mass
+            steps.append(cumulative)
+            n += 1
+            mass *= mean / n
+        tables.append(steps)
+    return tables
+
+
+def _uniform(digest_: Column, at: int) -> Column:
+    return F.conv(F.substring(digest_, at, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def poisson_weight(power: Column, of: Column, digest_: Column) -> Column:
+    """How often ``of`` rows are drawn: by the table of their power, or by the normal limit."""
+    tables = F.array(*[F.array(*[F.lit(x) for x in table]) for table in poisson_tables()])
+    u, v = _uniform(digest_, 1), _uniform(digest_, 9)
+    looked = F.size(F.filter(F.element_at(tables, power + 1), lambda x: x <= u))
+    normal = F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
+    many = F.greatest(F.round(of + F.sqrt(of.cast("double")) * normal), F.lit(0.0))
+    return F.when(power < POWERS, looked).otherwise(many).cast("long")
 
 
 def feature_separation(features: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline import constants as K
-from sightline.operators.ordered import hash_chunk, number_rows
+from sightline.operators.ordered import hash_chunk, number_by_range, number_rows
 
 
 def digest(*key: Column, seed: int = 0) -> Column:
@@ -71,6 +71,21 @@ def group_folds(df: DataFrame, group: str, k: int = 5, *, seed: int = 0) -> Data
     return df.withColumn("fold", hash_number(digest(F.col(group), seed=seed)) % k)
 
 
+def balanced_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """Add ``fold`` 0..k-1, whole groups together and folds alike in rows.
+
+    Groups are ranked by size and dealt to the folds there and back: 0..k-1, k-1..0, and so on.
+    Whatever the sizes, the largest and smallest fold differ by one largest group at most. Rows
+    without a group are a group.
+    """
+    sizes = df.groupBy(group).agg((-F.count(F.lit(1))).alias("_less")).withColumn("_none", F.col(group).isNull())
+    ranked = number_by_range(sizes, [], ["_less", "_none", group], "_rank")
+    turn = F.pmod(F.col("_rank") - 1, F.lit(2 * k))
+    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
+    dealt = ranked.select(F.col(group).alias("_group"), fold.alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def interleave(
     df: DataFrame,
     strata: Sequence[str],

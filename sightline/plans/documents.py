@@ -79,27 +79,30 @@ def brier(spark, d):
     return E.brier(scored(spark, d), p, F.col("y"))
 
 
-_WEIGHT_SQL = " + ".join(
-    f"(u >= {step!r})::INT" for step in E.poisson_steps()
-)
+_TABLES_SQL = "[" + ", ".join(str(table) for table in E.poisson_tables()) + "]"
 
 
 @query(
     "n:l low:d median:d high:d",
     f"""WITH {_SCORED},
-t AS (SELECT score, y, r, ('0x' || substr(md5(doc_id || '/' || r || '/0'), 1, 8))::UBIGINT / 4294967296.0 AS u
-  FROM scored CROSS JOIN (SELECT unnest(range(1, 101)) AS r)),
-w AS (SELECT *, {_WEIGHT_SQL} AS w FROM t),
-h AS (SELECT r, score, coalesce(sum(w) FILTER (y), 0) AS pos, coalesce(sum(w) FILTER (NOT y), 0) AS neg FROM w WHERE w > 0 GROUP BY 1, 2),
+bins AS (SELECT row_number() OVER (ORDER BY score) AS place, pos, neg FROM (
+    SELECT score, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM scored GROUP BY 1)),
+counted AS (SELECT place, 1 AS label, pos AS n FROM bins UNION ALL SELECT place, 0, neg FROM bins),
+parts AS (SELECT place, label, p AS power, CASE WHEN p < {E.POWERS} THEN n & (1::BIGINT << p) ELSE (n >> p) << p END AS rows_of
+  FROM counted CROSS JOIN (SELECT unnest(range({E.POWERS} + 1)) AS p)),
+t AS (SELECT *, md5(place || '/' || label || '/' || power || '/' || r || '/0') AS d
+  FROM parts CROSS JOIN (SELECT unnest(range(1, 101)) AS r) WHERE rows_of > 0),
+u AS (SELECT *, ('0x' || substr(d, 1, 8))::UBIGINT / 4294967296.0 AS u, ('0x' || substr(d, 9, 8))::UBIGINT / 4294967296.0 AS v FROM t),
+w AS (SELECT r, place, label = 1 AS y, CASE WHEN power < {E.POWERS} THEN len(list_filter({_TABLES_SQL}[power + 1], lambda x: x <= u))
+    ELSE greatest(round(rows_of + sqrt(rows_of) * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)), 0) END AS w FROM u),
+h AS (SELECT r, place AS score, coalesce(sum(w) FILTER (y), 0) AS pos, coalesce(sum(w) FILTER (NOT y), 0) AS neg FROM w WHERE w > 0 GROUP BY 1, 2),
 c AS (SELECT *, sum(neg) OVER (PARTITION BY r ORDER BY score) - neg AS below, sum(pos) OVER (PARTITION BY r) AS p,
     sum(neg) OVER (PARTITION BY r) AS n FROM h),
 a AS (SELECT r, sum(pos * (below + neg / 2.0)) / (max(p) * max(n)) AS auc FROM c GROUP BY 1 HAVING max(p) * max(n) > 0)
 SELECT count(*) AS n, quantile_cont(auc, 0.05) AS low, quantile_cont(auc, 0.5) AS median, quantile_cont(auc, 0.95) AS high FROM a""",
 )
 def bootstrap_auc(spark, d):
-    return E.bootstrap_auc(
-        scored(spark, d), F.col("score"), F.col("y"), F.col("doc_id"), replicates=100
-    )
+    return E.bootstrap_auc(scored(spark, d), F.col("score"), F.col("y"), replicates=100)
 
 
 @query(
@@ -307,6 +310,16 @@ def session_text(spark, d):
     return Z.session_text(entities, min_windows=3)
 
 
+@query(
+    "event_id:l fold:l",
+    """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS place FROM events GROUP BY 1)
+SELECT event_id, CASE WHEN place % 10 < 5 THEN place % 10 ELSE 9 - place % 10 END AS fold FROM events JOIN g USING (user_id)""",
+)
+def balanced_folds(spark, d):
+    events = A.table(spark, d, "events").select("event_id", "user_id")
+    return U.balanced_folds(events, "user_id")
+
+
 @query(
     "event_id:l fold:l",
     """SELECT event_id, ('0x' || substr(md5(user_id || '/0'), 1, 8))::UBIGINT % 5 AS fold FROM events""",

@@ -53,13 +53,39 @@ def test_precision_and_recall(scored):
 
 def test_bootstrap_is_repeatable_and_brackets_the_auc(scored):
     data, df = scored
-    args = (F.col("score"), F.col("y"), F.col("id"))
+    args = (F.col("score"), F.col("y"))
     a = E.bootstrap_auc(df, *args, replicates=60).first()
     b = E.bootstrap_auc(df.repartition(7), *args, replicates=60).first()
     assert a == b and a.n == 60
     assert a.low < brute_auc(data) < a.high
 
 
+def test_poisson_draws_have_the_mean_and_variance_of_their_counts(spark):
+    counts = [1, 2, 3, 7, 64, 700, 1023, 5000]
+    drawn = (
+        spark.createDataFrame([(n,) for n in counts], "n long")
+        .crossJoin(spark.range(4000))
+        .select("n", *[F.col("n").bitwiseAND(F.lit(1 << p)).alias(f"p{p}") for p in range(E.POWERS)], F.expr(f"(n >> {E.POWERS}) << {E.POWERS}").alias(f"p{E.POWERS}"), "id")
+    )
+    weight = F.lit(0)
+    for p in range(E.POWERS + 1):
+        digest = F.md5(F.concat_ws("/", "n", "id", F.lit(p)))
+        own = E.poisson_weight(F.lit(p), F.col(f"p{p}"), digest)
+        weight = weight + F.when(F.col(f"p{p}") > 0, own).otherwise(0)
+    for r in drawn.groupBy("n").agg(F.avg(weight).alias("mean"), F.var_samp(weight).alias("var")).collect():
+        assert abs(r["mean"] - r.n) < 5 * (r.n / 4000) ** 0.5, r
+        assert 0.88 < r["var"] / r.n < 1.12, r
+
+
+def test_bootstrap_meets_replicates_with_scores_and_not_with_rows(spark):
+    rows_ = spark.range(20_000).select((F.col("id") % 10).cast("double").alias("s"), (F.col("id") % 3 == 0).alias("y"))
+    plan = E.score_histogram(rows_, F.col("s"), F.col("y"))
+    assert plan.count() == 10
+    found = E.bootstrap_auc(rows_, F.col("s"), F.col("y"), replicates=50).first()
+    whole = E.roc_auc(plan).first().auc
+    assert found.low < whole < found.high and found.high - found.low < 0.05
+
+
 def test_crossing_count(spark):
     def brute(line, low, cap=60):
         return min((s for n in range(low, cap + 1) for s in range(n + 1) if s / n > line), default=cap)
@@ -119,3 +145,20 @@ def test_blend_ranks(spark):
     a = spark.createDataFrame([(1, 0.0, 0.1), (2, 1.0, 0.2), (3, 1.0, 0.9)], "id long, y double, score double")
     b = a.withColumn("score", -F.col("score"))
     assert rows(N.blend(a, b, "id"), "id", "score") == [(1, 0.5), (2, 0.5), (3, 0.5)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_balanced_folds_differ_by_one_group_at_most(spark, k):
+    from collections import Counter
+
+    from sightline.operators.sampling import balanced_folds
+
+    sizes = {None: 9, "hot": 60, **{f"g{i}": 1 + i % 7 for i in range(40)}}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, i int")
+    found = balanced_folds(df, "g", k).collect()
+    assert len(found) == sum(sizes.values()) and len({(r.g, r.fold) for r in found}) == len(sizes)
+    rows_ = Counter(r.fold for r in found)
+    assert set(rows_) == set(range(k)) and max(rows_.values()) - min(rows_.values()) <= 60
+    # without the hot group's fold the others are alike
+    rest = sorted(rows_.values())[:-1]
+    assert max(rest) - min(rest) <= 9
