@@ -7,6 +7,7 @@ chunks, never over all rows in one task.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 
@@ -17,6 +18,7 @@ from sightline import constants as K
 from sightline.functions.labels import is_sniper, sniper_band
 from sightline.operators.ordered import attach_row, number_by_range
 from sightline.operators.quantiles import cumulative_counts, quantiles, unpivot
+from sightline.session import staged
 
 
 def score_histogram(
@@ -141,7 +143,8 @@ def bootstrap_auc(
         )
         .filter("pos + neg > 0")
     )
-    aucs = roc_auc(weighted, ["replicate"]).filter(F.col("auc").isNotNull())
+    # read twice: for the totals of chunks, and below them
+    aucs = roc_auc(staged(weighted), ["replicate"]).filter(F.col("auc").isNotNull())
     return quantiles(
         aucs, [], "auc", {"low": 0.05, "median": 0.5, "high": 0.95}, counts=True
     )
@@ -175,7 +178,8 @@ def _uniform(digest_: Column, at: int) -> Column:
 
 def poisson_weight(power: Column, of: Column, digest_: Column) -> Column:
     """How often ``of`` rows are drawn: by the table of their power, or by the normal limit."""
-    tables = F.array(*[F.array(*[F.lit(x) for x in table]) for table in poisson_tables()])
+    # one literal, folded into the plan
+    tables = F.from_json(F.lit(json.dumps(poisson_tables())), "array<array<double>>")
     u, v = _uniform(digest_, 1), _uniform(digest_, 9)
     looked = F.size(F.filter(F.element_at(tables, power + 1), lambda x: x <= u))
     normal = F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
