@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,48 @@ from sightline.operators.sampling import stratified_sample
 from sightline.session import staged
 
 
+#: Bytes of a file up to which its content is one value; larger ones are read in pieces.
+WHOLE = 256 << 20
+PIECE = 1 << 20
+
+
+def _opened(path: str):
+    """A file as a binary stream: local, or in a store that Arrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    store, inner = FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as f:
+                while piece := f.read(PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "sha256"]
+        )
+
+
+def with_content_hash(files: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """binaryFile rows without their content, with its ``sha256``; files of any size.
+
+    Files of at most ``whole`` bytes are hashed as values. Larger ones (a value holds 2 GiB at most)
+    are read by their task piece by piece, so a task needs memory for one piece. Spark lists no
+    empty files, so none are here.
+    """
+    columns = [c for c in files.columns if c != "content"]
+    small = files.where(F.col("length") <= whole).select(*columns, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select(*columns)
+    schema = T.StructType([*large.schema.fields, T.StructField("sha256", T.StringType())])
+    return small.unionByName(large.mapInArrow(_hashed, schema))
+
+
 def file_manifest(
     spark: SparkSession, root: str, pattern: str = "*.parquet", *, content: bool = False
 ) -> DataFrame:
@@ -35,7 +79,8 @@ def file_manifest(
         F.col("length").alias("bytes"),
     ]
     if content:
-        columns.append(F.sha2(F.col("content"), 256).alias("sha256"))
+        files = with_content_hash(files)
+        columns.append("sha256")
     return files.select(*columns)
 
 

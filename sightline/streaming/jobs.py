@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sightline.session import as_utc, staged
+from sightline.sources.manifest import with_content_hash
 
 #: A file's age says nothing about whether it was taken in.
 MAX_FILE_AGE = "36500d"
@@ -67,11 +68,8 @@ def file_rows(
         .option("maxFileAge", MAX_FILE_AGE)
         .load(folder)
     )
-    return files.select(
-        "path",
-        F.col("modificationTime").alias("modified"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    return with_content_hash(files).select(
+        "path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "sha256"
     )
 
 

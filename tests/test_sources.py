@@ -147,3 +147,33 @@ def test_replay_arrays_line_up(spark):
     assert (got[1].t0, got[1].side, got[2].side) == (8, "T", "CT")
     assert got[1].x == [13, 19, 26, None, None] and got[1].hp == [100, 100, 100, 0, 0]
     assert got[2].x == [None, 19, 26, None, None] and got[2].hp == [None, 100, 100, 0, 0]
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    import hashlib
+
+    from sightline.sources import manifest
+
+    (tmp_path / "small.dem").write_bytes(b"small")
+    with open(tmp_path / "large one.dem", "wb") as f:  # sparse: above what one value holds
+        f.seek(3 << 30)
+        f.write(b"end")
+    files = {r.name: (r.bytes, r.sha256) for r in manifest.file_manifest(spark, str(tmp_path), "*.dem", content=True).collect()}
+    digest = hashlib.sha256()
+    for _ in range(3 << 10):
+        digest.update(bytes(1 << 20))
+    digest.update(b"end")
+    assert files == {
+        "small.dem": (5, hashlib.sha256(b"small").hexdigest()),
+        "large one.dem": ((3 << 30) + 3, digest.hexdigest()),
+    }
+
+
+def test_pieces_and_values_hash_alike(spark, tmp_path):
+    from sightline.sources import manifest
+
+    for i in range(5):
+        (tmp_path / f"{i}.dem").write_bytes(bytes([i]) * (i << 18))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    value, piece = (rows(manifest.with_content_hash(files, whole), "path", "sha256") for whole in (1 << 30, -1))
+    assert value == piece and len(value) == 5
