@@ -48,7 +48,7 @@ SCALE = 1_000_000
 #: Bits of a table of words or pairs; its size (4 MB) does not depend on the data.
 BITS = 1 << 25
 #: Bytes of text whose tokens are coded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: The first level lies where so many pairs of a language reach it; then it is cut by STEP.
 AHEAD, STEP = 2 * LIMIT, 32
 #: Pieces end at these bytes; white space within a piece parts words.
