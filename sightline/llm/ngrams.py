@@ -33,6 +33,7 @@ from __future__ import annotations
 import io
 import mmap
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,9 @@ HOT_TEXTS, HOT_SHARE, SPREAD = 500, 0.002, 16
 
 # Files in the shared folder.
 
+#: A map keeps a descriptor of its own unless told not to, which Python can since 3.13.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
 
 def _path(uri: str) -> str | None:
     parts = urlparse(uri)
@@ -92,10 +96,10 @@ def put_file(uri: str, data: bytes) -> None:
 
 
 def mapped(uri: str) -> memoryview:
-    """A file's bytes, mapped."""
+    """A file's bytes, mapped; no descriptor stays open, so any number of files may be."""
     if path := _path(uri):
         with open(path, "rb") as f:
-            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED))
     from pyarrow.fs import FileSystem
 
     store, path = FileSystem.from_uri(uri)
@@ -103,7 +107,7 @@ def mapped(uri: str) -> memoryview:
         while chunk := source.read(1 << 24):
             f.write(chunk)
         f.flush()
-        return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED))
 
 
 def packed(*arrays: np.ndarray) -> bytes:

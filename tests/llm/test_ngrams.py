@@ -1,7 +1,9 @@
 import collections
 import math
 import random
+import resource
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -103,3 +105,16 @@ def test_files_by_another_store(tmp_path):
     a, b = ngrams.unpacked(ngrams.mapped(f"file://{tmp_path}/d/x"))
     assert a.tolist() == [0, 1, 2, 3, 4] and b.tolist() == [0, 1, 2]
     assert [p.name for p in (tmp_path / "d").iterdir()] == ["x"]
+
+
+def test_more_files_are_mapped_than_may_be_open(tmp_path):
+    for i in range(200):
+        ngrams.put_file(f"file://{tmp_path}/d/{i}", ngrams.packed(np.arange(i + 1, dtype=np.uint64)))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(list(Path("/proc/self/fd").iterdir()))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 64, hard))
+    try:
+        held = [ngrams.unpacked(ngrams.mapped(f"file://{tmp_path}/d/{i}"))[0] for i in range(200)]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert [int(a[-1]) for a in held] == list(range(200))
