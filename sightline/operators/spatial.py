@@ -750,6 +750,108 @@ def reachable(moves: DataFrame, seeds: DataFrame, *, compact_every: int = 8) ->
     return reached
 
 
+def _within_tile(rows):
+    """Nodes of one tile newly reached from its frontier: one search over its own steps."""
+    import pandas as pd
+
+    steps: dict[tuple, list[tuple]] = {}
+    ahead, known = [], set()
+    columns = ("_kind", "row", "col", "z", "row2", "col2", "z2")
+    for kind, row, col, z, row2, col2, z2 in rows[list(columns)].itertuples(index=False, name=None):
+        if kind == 0:
+            steps.setdefault((row, col, z), []).append((int(row2), int(col2), z2))
+        elif kind == 1:
+            known.add((row, col, z))
+        else:
+            ahead.append((row, col, z))
+    found = set(ahead) - known
+    ahead = list(found)
+    while ahead:
+        for there in steps.get(ahead.pop(), ()):
+            if there not in found and there not in known:
+                found.add(there)
+                ahead.append(there)
+    out = pd.DataFrame(sorted(found), columns=["row", "col", "z"])
+    for c in ("_map", "_tile_row", "_tile_col"):
+        out[c] = rows[c].iloc[0]
+    return out
+
+
+def reachable_by_tiles(
+    moves: DataFrame, seeds: DataFrame, *, by: str = "map", tile: int = 32, compact_every: int = 8
+) -> DataFrame:
+    """Nodes (map, row, col, z) reachable from ``seeds`` (``node``) over directed ``moves``.
+
+    What :func:`reachable` gives, in rounds that follow tiles of ``tile`` x ``tile`` cells and
+    not cells: a round closes each tile its frontier enters within the tile, and only steps
+    over tile borders make the next frontier. A tile holds ``tile`` squared cells times their
+    floors, however large a map is. Steps inside a tile are read again only in rounds that
+    enter it anew, and no node is passed on twice. Rounds are stored in the shared folder.
+    """
+    spark = moves.sparkSession
+    key = ["_map", "_tile_row", "_tile_col"]
+
+    def tile_of(node: Column) -> list[Column]:
+        return [
+            node[by].alias("_map"),
+            F.floor(node["row"] / tile).alias("_tile_row"),
+            F.floor(node["col"] / tile).alias("_tile_col"),
+        ]
+
+    def flat(df: DataFrame, kind: int) -> DataFrame:
+        node, none = F.col("node"), F.lit(None)
+        return df.select(
+            *tile_of(node),
+            F.lit(kind).alias("_kind"),
+            *[node[c].alias(c) for c in ("row", "col", "z")],
+            *[none.cast(t).alias(c) for c, t in (("row2", "long"), ("col2", "long"), ("z2", "double"))],
+        )
+
+    src, dst = F.col("src"), F.col("dst")
+    same = F.lit(True)
+    for here, there in zip(tile_of(src), tile_of(dst), strict=True):
+        same = same & here.eqNullSafe(there)
+    edges = moves.select(src, dst, same.alias("_same"))
+    inner = staged(
+        edges.filter("_same").select(
+            *tile_of(src),
+            F.lit(0).alias("_kind"),
+            *[src[c].alias(c) for c in ("row", "col", "z")],
+            *[dst[c].alias(f"{c}2") for c in ("row", "col", "z")],
+        )
+    )
+    crossing = staged(edges.filter(~F.col("_same")).select("src", "dst"))
+    node_type = seeds.select("node").schema["node"].dataType
+    types = ", ".join(f"{c} {t}" for c, t in zip(
+        (*key, "row", "col", "z"), (node_type[by].dataType.simpleString(), *["long"] * 4, "double"), strict=True
+    ))
+    frontier = staged(seeds.select("node").distinct())
+    reached, rounds = None, 0
+    while not frontier.isEmpty():
+        rounds += 1
+        entered = flat(frontier, 2)
+        # only the tiles of this frontier are read
+        active = entered.select(*[F.col(c).alias(f"{c}_a") for c in key]).distinct()
+        on = [F.col(c).eqNullSafe(F.col(f"{c}_a")) for c in key]
+        parts = [inner.join(active, on, "left_semi")]
+        if reached is not None:
+            parts.append(flat(reached, 1).join(active, on, "left_semi"))
+        rows = entered
+        for part in parts:
+            rows = rows.unionByName(part)
+        closed = rows.groupBy(*key).applyInPandas(_within_tile, types)
+        found = staged(
+            closed.select(F.struct(F.col("_map").alias(by), "row", "col", "z").alias("node"))
+        )
+        reached = found if reached is None else reached.unionByName(found)
+        if rounds % compact_every == 0:
+            reached = staged(reached)
+        ahead = crossing.join(found, F.col("src") == F.col("node"), "left_semi")
+        ahead = ahead.select(F.col("dst").alias("node")).distinct()
+        frontier = staged(ahead.join(reached, "node", "left_anti"))
+    return seeds.select("node").limit(0) if reached is None else reached
+
+
 def mesh_acceptance(
     sighted: DataFrame, pairs: DataFrame, candidates: DataFrame, *, voxel: float = 64.0
 ) -> DataFrame:

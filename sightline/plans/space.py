@@ -409,7 +409,7 @@ def reachability(spark, d):
         )
     )
     starts = S.seed_floors(floors, seeds, cell=FLOOR_CELL)
-    return S.reachable(_moves(spark, d, floors), starts).select("node.*")
+    return S.reachable_by_tiles(_moves(spark, d, floors), starts).select("node.*")
 
 
 @query(
