@@ -12,6 +12,7 @@ from sightline.functions.angles import signed_log
 from sightline.operators.joins import complete_groups
 from sightline.operators.ordered import number_by_range
 from sightline.operators.sampling import group_folds
+from sightline.session import staged
 
 BASE_CHANNELS = ("d_yaw", "d_pitch", "valid")
 TARGET_CHANNELS = ("target_yaw", "target_pitch", "log_distance", "target_visible")
@@ -115,6 +116,55 @@ def score_windows(
     return tensors.withColumn(name, udf(*[F.col(c) for c in channels]))
 
 
+def pooled_channels(tensors: DataFrame) -> DataFrame:
+    """``mean_x`` and ``peak_x`` (largest magnitude) of every channel ``ch_x``, in place of its array."""
+    channels = [c for c in tensors.columns if c.startswith("ch_")]
+
+    def mean(c: str) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
+        return total / F.size(c)
+
+    def peak(c: str) -> Column:
+        return F.array_max(F.transform(c, lambda x: F.abs(x))).cast("double")
+
+    return tensors.select(
+        *[c for c in tensors.columns if c not in channels],
+        *[mean(c).alias(f"mean_{c[3:]}") for c in channels],
+        *[peak(c).alias(f"peak_{c[3:]}") for c in channels],
+    )
+
+
+def fit_window_scorer(
+    pooled: DataFrame, label: Column, path: str, *, estimator: object | None = None
+) -> None:
+    """Fit a classifier on :func:`pooled_channels` and store it at ``path``.
+
+    ``label`` is 1, 0 or NULL; rows without one are not learned from. Training is
+    distributed (``pyspark.ml``). ``estimator`` reads ``_x`` and ``y``; the default is a
+    regularised logistic regression.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    inputs = [c for c in pooled.columns if c.startswith(("mean_", "peak_"))]
+    known = staged(
+        pooled.select(label.cast("double").alias("y"), *inputs).filter(F.col("y").isNotNull())
+    )
+    fit = estimator or LogisticRegression(regParam=0.01, featuresCol="_x", labelCol="y")
+    stages = [VectorAssembler(inputCols=inputs, outputCol="_x"), fit]
+    Pipeline(stages=stages).fit(known).write().overwrite().save(path)
+
+
+def score_pooled(pooled: DataFrame, path: str, *, name: str = "score") -> DataFrame:
+    """Probability per row from the scorer stored at ``path``; no Python runs in tasks."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    scored = PipelineModel.load(path).transform(pooled)
+    return scored.select(*pooled.columns, vector_to_array("probability")[1].alias(name))
+
+
 def out_of_fold_scores(
     rows: DataFrame,
     features: Sequence[str],
@@ -124,11 +174,13 @@ def out_of_fold_scores(
     key: str,
     folds: int = 5,
     make_model: Callable[[], object] | None = None,
+    fold_of: Callable[[DataFrame, str, int], DataFrame] = group_folds,
 ) -> DataFrame:
     """Each row scored by a model that never saw its group: key, fold, y, score.
 
     Missing values are filled with 0 and flagged by a second column per feature.
-    Training is distributed (``pyspark.ml``); the loop is over the few folds.
+    Training is distributed (``pyspark.ml``) and reads a stored table; the loop is over the
+    few folds. ``fold_of`` deals groups to folds: ``group_folds`` or ``balanced_folds``.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -137,9 +189,8 @@ def out_of_fold_scores(
     make = make_model or (
         lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=0, featuresCol="_x", labelCol="y")
     )
-    filled = group_folds(rows, group, folds).select(
+    filled = fold_of(rows, group, folds).select(
         key,
-        group,
         "fold",
         label.cast("double").alias("y"),
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
@@ -147,7 +198,7 @@ def out_of_fold_scores(
     )
     inputs = [*features, *[f"{f}_missing" for f in features]]
     data = VectorAssembler(inputCols=inputs, outputCol="_x").transform(filled)
-    data = data.select(key, "fold", "y", "_x").persist()
+    data = staged(data.select(key, "fold", "y", "_x"))
     out: DataFrame | None = None
     for fold in range(folds):
         model = make().fit(data.filter(F.col("fold") != fold))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -638,6 +640,57 @@ def batch_scores(spark, d):
     return N.score_windows(tensors, _mean_turn)
 
 
+# a Gaussian classifier on pooled channels, fitted by its closed form
+_POOLED_SQL = f"""WITH {A.WINDOWS_SQL},
+ch AS (SELECT window_uid, session_id, label, {_CHANNEL_SQL} AS yc, (yaw_speed IS NOT NULL)::INT AS vc,
+    {_CHANNEL_SQL.replace("d_yaw", "d_pitch")} AS pc FROM wt),
+pool AS (SELECT window_uid, min(session_id) AS session_id, CASE min(label) WHEN 'cheater' THEN 1 WHEN 'clean' THEN 0 END AS y,
+    avg(yc) AS f1, avg(pc) AS f2, avg(vc) AS f3, max(abs(yc)) AS f4, max(abs(pc)) AS f5, CAST(max(vc) AS DOUBLE) AS f6 FROM ch GROUP BY 1)"""
+
+
+def _gauss_sql(by: str, learned: str) -> str:
+    """Scores of ``pool`` rows; ``fit`` has the learned rows of each ``by``."""
+    return f"""lng AS (UNPIVOT {learned} ON f1, f2, f3, f4, f5, f6 INTO NAME f VALUE v),
+spread AS (SELECT {by}, 1e-9 * max(s) AS e FROM (SELECT {by}, f, var_pop(v) AS s FROM lng GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT {by}, y, f, avg(v) AS m, var_pop(v) + min(e) AS s FROM lng JOIN spread USING ({by}) GROUP BY ALL),
+pr AS (SELECT {by}, y, ln(count(*)) AS p FROM {learned} GROUP BY ALL),
+al AS (UNPIVOT (SELECT * EXCLUDE (y), y AS truth FROM pool) ON f1, f2, f3, f4, f5, f6 INTO NAME f VALUE v),
+jl AS (SELECT window_uid, {by}, truth, y, min(p) + sum(-0.5 * ln(s) - power(v - m, 2) / (2 * s)) AS j
+  FROM al JOIN st USING ({by}, f) JOIN pr USING ({by}, y) GROUP BY ALL),
+jj AS (SELECT window_uid, {by}, truth, max(j) FILTER (y = 1) - max(j) FILTER (y = 0) AS odds FROM jl GROUP BY ALL)"""
+
+
+def _pooled(spark, d):
+    _, ticks = A.windows(A.stored_samples(spark, d))
+    label = A.label_of(F.col("entity_id"), F.col("session_id"))
+    return staged(
+        N.pooled_channels(N.sequence_channels(ticks, size=A.PRE + A.POST + 1)).withColumn(
+            "y", F.when(label == "cheater", 1).when(label == "clean", 0)
+        )
+    )
+
+
+def _gauss():
+    from pyspark.ml.classification import NaiveBayes
+
+    return NaiveBayes(modelType="gaussian", featuresCol="_x", labelCol="y")
+
+
+@query(
+    "window_uid:s score:d4",
+    f"""{_POOLED_SQL},
+fit AS (SELECT * FROM pool WHERE y IS NOT NULL),
+{_gauss_sql("one", "(SELECT *, 1 AS one FROM fit)").replace("y AS truth FROM pool", "y AS truth, 1 AS one FROM pool")}
+SELECT window_uid, 1 / (1 + exp(-odds)) AS score FROM jj""",
+)
+def fitted_scores(spark, d):
+    """A scorer learned from labelled windows, stored, loaded again and applied to all of them."""
+    pooled = _pooled(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorer-{uuid.uuid4().hex}"
+    N.fit_window_scorer(pooled, F.col("y"), path, estimator=_gauss())
+    return N.score_pooled(pooled.drop("y"), path)
+
+
 @query("doc_id:l fold:l y:d score:d", None)
 def oof_scores(spark, d):
     from pyspark.ml.classification import LogisticRegression
@@ -658,6 +711,32 @@ def oof_scores(spark, d):
     )
 
 
+@query(
+    "window_uid:s fold:l y:d score:d4",
+    f"""{_POOLED_SQL.replace("pool AS", "every AS")},
+told AS (SELECT * FROM every WHERE y IS NOT NULL),
+dealt AS (SELECT session_id, (row_number() OVER (ORDER BY count(*) DESC, session_id) - 1) % 6 AS turn FROM told GROUP BY 1),
+pool AS (SELECT told.*, CASE WHEN turn < 3 THEN turn ELSE 5 - turn END AS fold FROM told JOIN dealt USING (session_id)),
+fit AS (SELECT p.* EXCLUDE (fold), g.fold FROM pool p JOIN (SELECT unnest(range(3)) AS fold) g ON p.fold <> g.fold),
+{_gauss_sql("fold", "fit")}
+SELECT window_uid, fold, truth AS y, 1 / (1 + exp(-odds)) AS score FROM jj""",
+)
+def fold_scores(spark, d):
+    """Windows scored by models that saw nothing of their session; folds alike in rows."""
+    pooled = _pooled(spark, d).filter(F.col("y").isNotNull())
+    names = [c for c in pooled.columns if c.startswith(("mean_", "peak_"))]
+    return N.out_of_fold_scores(
+        pooled,
+        names,
+        F.col("y"),
+        group="session_id",
+        key="window_uid",
+        folds=3,
+        make_model=_gauss,
+        fold_of=U.balanced_folds,
+    )
+
+
 @query(
     "session_id:l entity_id:l n_rows:l picked:l total:d",
     f"""WITH {A.SAMPLES_SQL},

@@ -162,3 +162,49 @@ def test_balanced_folds_differ_by_one_group_at_most(spark, k):
     # without the hot group's fold the others are alike
     rest = sorted(rows_.values())[:-1]
     assert max(rest) - min(rest) <= 9
+
+
+def test_fitted_scorer_is_its_stored_coefficients(spark, tmp_path):
+    """Pooled by hand, learned from labelled rows only, and scored by what was stored."""
+    import math
+
+    from pyspark.ml import PipelineModel
+
+    data = [(f"w{i}", [0.1 * i, -0.3 * (i % 5)], [1.0, float(i % 2)], None if i % 4 == 3 else i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(data, "window_uid string, ch_a array<float>, ch_b array<float>, told boolean")
+    pooled = N.pooled_channels(df)
+    assert pooled.columns == ["window_uid", "told", "mean_a", "mean_b", "peak_a", "peak_b"]
+    by = {r.window_uid: r for r in pooled.collect()}
+    for w, a, b, _ in data:
+        assert by[w].mean_a == pytest.approx(sum(a) / 2) and by[w].peak_a == pytest.approx(max(map(abs, a)))
+        assert by[w].mean_b == sum(b) / 2 and by[w].peak_b == 1.0
+    path = str(tmp_path / "scorer")
+    N.fit_window_scorer(pooled, F.col("told"), path)
+    N.fit_window_scorer(pooled.filter("told IS NOT NULL"), F.col("told"), str(tmp_path / "told"))
+    model, told = (PipelineModel.load(p).stages[-1] for p in (path, str(tmp_path / "told")))
+    assert list(model.coefficients) == pytest.approx(list(told.coefficients))
+    scored = N.score_pooled(pooled, path)
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    for r in scored.collect():
+        x = (r.mean_a, r.mean_b, r.peak_a, r.peak_b)
+        z = model.intercept + sum(c * v for c, v in zip(model.coefficients, x, strict=True))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert scored.count() == 40
+
+
+def test_out_of_fold_scores_with_balanced_folds(spark):
+    """Every group is scored once, by one fold, and folds hold alike many rows."""
+    from collections import Counter
+
+    from sightline.operators.sampling import balanced_folds
+
+    data = [(i, f"g{i % 7}", float(i % 2), float(i % 2) if i % 5 else None) for i in range(70)]
+    df = spark.createDataFrame(data, "id long, g string, y double, f double")
+    got = N.out_of_fold_scores(df, ["f"], F.col("y"), group="g", key="id", folds=3, fold_of=balanced_folds).collect()
+    assert sorted(r.id for r in got) == list(range(70))
+    fold = {}
+    for r in got:
+        assert fold.setdefault(f"g{r.id % 7}", r.fold) == r.fold
+    sizes = Counter(r.fold for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 10
+    assert all((r.score > 0.5) == (r.y == 1) for r in got if r.id % 5)
