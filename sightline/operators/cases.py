@@ -483,6 +483,13 @@ def case_key() -> Column:
     )
 
 
+def split_case_key(key: Column) -> Column:
+    """A case key back as (session_id, entity_id): the entity is what follows the last slash."""
+    parts = F.split(key, "/", -1)
+    session = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    return F.struct(session.alias("session_id"), F.element_at(parts, -1).alias("entity_id"))
+
+
 def targets(cases: DataFrame) -> DataFrame:
     """Adds the verdict a case's own evidence supports.
 

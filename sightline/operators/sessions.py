@@ -9,17 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.labels import three_valued_label
 from sightline.operators import context as C
-from sightline.operators.features import mark_shots
+from sightline.operators.features import Segments, arrival_table, mark_shots, window_features
 from sightline.operators.joins import anchor_windows
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import attach_row
 from sightline.operators.spatial import Cells, line_of_sight, meshed_maps, packed_cells, stored_cells
+from sightline.sources.manifest import finished, pending
 from sightline.sources.sinks import write_windows
 
 RAYS, FLAG = "raycast", "spotting_flag"
@@ -134,3 +135,46 @@ def window_dataset(
     )
     spark = windows.sparkSession
     return spark.read.parquet(f"{root}/windows"), spark.read.parquet(f"{root}/window_ticks")
+
+
+def rebuild_features(
+    spark: SparkSession, root: str, seg: Segments = Segments(), **options: float
+) -> DataFrame:
+    """Window features made anew from the ticks stored under ``root``, stored beside them.
+
+    No session is cut or tested for sight again; ``options`` go to ``window_features``.
+    """
+    ticks = spark.read.parquet(f"{root}/window_ticks")
+    window_features(ticks, seg, **options).write.mode("overwrite").parquet(f"{root}/window_features")
+    return spark.read.parquet(f"{root}/window_features")
+
+
+def arrival_sessions(
+    samples: DataFrame,
+    anchors: DataFrame,
+    root: str,
+    *,
+    pre: int = 128,
+    post: int = 32,
+    burst_gap: int = K.BURST_GAP,
+    radius: float = K.HEAD_RADIUS,
+) -> DataFrame:
+    """Every arrival of an outside population's windows: one folder per session under ``root``.
+
+    Sessions that have a folder are not cut again, so a stopped run goes on where it was; all
+    that is stored is returned. A session without windows leaves no folder and is looked at
+    in the next run too.
+    """
+
+    def arrivals(part: DataFrame, kills: DataFrame) -> DataFrame:
+        turned = part if "yaw_speed" in part.columns else entity_deltas(part)
+        _, ticks = anchor_windows(turned, kills, pre=pre, post=post, carry=("weapon",))
+        ticks = mark_shots(C.add_target_geometry(ticks, part), part.filter("shot"))
+        return arrival_table(ticks, burst_gap, radius)
+
+    like = arrivals(samples, anchors)
+    done = finished(like, root)
+    left = arrivals(pending(samples, done, "session_id"), pending(anchors, done, "session_id"))
+    # few files a session, and a crowded session in several tasks
+    left.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(root)
+    return samples.sparkSession.read.schema(like.schema).parquet(root)

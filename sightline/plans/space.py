@@ -12,8 +12,10 @@ from sightline.operators import sessions as W
 from sightline.operators import spatial as S
 from sightline.operators.joins import state_of
 from sightline.plans import adapters as A
+from sightline.plans import windows as Q
 from sightline.plans.registry import query
 from sightline.session import ensure_checkpoint_dir, staged
+from sightline.sources.sinks import write_windows
 
 _SHOTS_SQL = f"""
 seg AS (SELECT w.window_uid, w.session_id % 2 AS map, a.x AS ox, a.y AS oy, a.z + 64 AS oz,
@@ -250,6 +252,37 @@ def window_dataset(spark, d):
     )
 
 
+@query(
+    "window_uid:s session_id:l entity_id:l weapon:s arrived:l opening:l dps:d4 closure:d4 speed_at_kill:d",
+    f"""WITH {A.WINDOWS_SQL}, {Q.GEO_SQL}, {Q.ARRIVAL_SQL}
+SELECT k.window_uid, k.session_id, k.entity_id, k.anchor_weapon AS weapon, a.tick_offset AS arrived, a.opening, a.sweep AS dps,
+  a.closure, k.yaw_speed AS speed_at_kill
+FROM (SELECT * FROM ar2 WHERE tick_offset = 0) k
+LEFT JOIN (SELECT * FROM ar2 WHERE enters AND tick_offset <= opening) a USING (window_uid)""",
+)
+def arrival_sessions(spark, d):
+    """Arrivals by session in two runs: even sessions first, then all, of which these are skipped."""
+    s = A.stored_samples(spark, d)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    options = {"pre": A.PRE, "post": A.POST, "burst_gap": A.BURST_GAP, "radius": A.RADIUS}
+    W.arrival_sessions(s.filter("session_id % 2 = 0"), A.anchors(s), root, **options)
+    return W.arrival_sessions(s, A.anchors(s), root, **options)
+
+
+@query(
+    "window_uid:s arrival_shot:b arrival_delay_ms:d straightness:d speed_at_kill:d",
+    f"""WITH {A.WINDOWS_SQL}, {Q.GEO_SQL}, {Q.ARRIVAL_SQL}, {Q.AIM_SQL}
+SELECT window_uid, opening = arrived AS arrival_shot, (opening - arrived) / 64.0 * 1000 AS arrival_delay_ms,
+  straightness, speed_at_kill FROM arr JOIN aim USING (window_uid)""",
+)
+def rebuilt_features(spark, d):
+    """Features made from the stored ticks of a window set."""
+    windows, _ = A.windows(A.stored_samples(spark, d))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    write_windows(windows, Q.shot_ticks(A.stored_samples(spark, d)), root)
+    return W.rebuild_features(spark, root, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS)
+
+
 _BOX_SQL = """
 pl AS (SELECT session_id % 2 AS map, x, y, z FROM samples WHERE is_alive),
 bx0 AS (SELECT map, quantile_cont(x, 0.001) AS x0, quantile_cont(x, 0.999) AS x1,

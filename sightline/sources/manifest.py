@@ -153,16 +153,22 @@ def read_through_cache(
     )
 
 
+def finished(like: DataFrame, root: str, key: str = "session_id") -> DataFrame:
+    """Keys that have an output folder under ``root``, whose rows have the schema of ``like``."""
+    schema = T.StructType([*(f for f in like.schema if f.name != key), like.schema[key]])
+    empty = like.select(*[F.col(f.name) for f in schema if f.name != key]).limit(0)
+    # the folder of NULL, which a key of any type can be read from
+    empty.write.mode("append").parquet(f"{root}/{key}=__HIVE_DEFAULT_PARTITION__")
+    return staged(like.sparkSession.read.schema(schema).parquet(root).select(key).distinct())
+
+
 def write_pending(rows: DataFrame, root: str, key: str = "session_id") -> None:
     """One output folder per ``key`` under ``root``; keys that have one are left alone.
 
     A folder appears when its rows are committed, so a stopped batch goes on where it was.
     """
-    schema = T.StructType([*(f for f in rows.schema if f.name != key), rows.schema[key]])
-    empty = rows.select(*[F.col(f.name) for f in schema if f.name != key]).limit(0)
-    empty.write.mode("append").parquet(f"{root}/{key}=__none__")
-    done = rows.sparkSession.read.schema(schema).parquet(root).select(key).distinct()
-    pending(rows, staged(done), key).write.mode("append").partitionBy(key).parquet(root)
+    left = pending(rows, finished(rows, root, key), key)
+    left.write.mode("append").partitionBy(key).parquet(root)
 
 
 def pending(sources: DataFrame, done: DataFrame, key: str = "name") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,26 +53,35 @@ def canonical(samples: DataFrame) -> DataFrame:
 
 
 _EVENT_ROW = T.MapType(T.StringType(), T.StringType())
-_EVENT_FILE = T.StructType(
-    [
-        *[
-            T.StructField(kind, T.ArrayType(_EVENT_ROW))
-            for kind in (*K.REQUIRED_EVENTS, *K.OPTIONAL_EVENTS)
-        ],
-        T.StructField(
-            "cheaters",
-            T.ArrayType(T.StructType([T.StructField("steamid", T.StringType())])),
-        ),
-        T.StructField("CSstats_info", T.ArrayType(_EVENT_ROW)),
-        T.StructField("_corrupt_record", T.StringType()),
-    ]
-)
 
 
-def read_event_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per session JSON; a file that does not parse keeps its raw text."""
+def _event_file(row: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            *[
+                T.StructField(kind, T.ArrayType(row))
+                for kind in (*K.REQUIRED_EVENTS, *K.OPTIONAL_EVENTS)
+            ],
+            T.StructField(
+                "cheaters",
+                T.ArrayType(T.StructType([T.StructField("steamid", T.StringType())])),
+            ),
+            T.StructField("CSstats_info", T.ArrayType(_EVENT_ROW)),
+            T.StructField("_corrupt_record", T.StringType()),
+        ]
+    )
+
+
+def read_event_files(
+    spark: SparkSession, paths: str | Sequence[str], *, typed: bool = False
+) -> DataFrame:
+    """One row per session JSON; a file that does not parse keeps its raw text.
+
+    Events are string maps or, ``typed``, VARIANT values in which numbers, booleans and
+    nested values stay what they are in the file.
+    """
     raw = (
-        spark.read.schema(_EVENT_FILE)
+        spark.read.schema(_event_file(T.VariantType() if typed else _EVENT_ROW))
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -91,7 +100,7 @@ def rejected_sessions(files: DataFrame) -> DataFrame:
 
 
 def event_rows(files: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
-    """All events in one long table: session_id, kind, row (string map)."""
+    """All events in one long table: session_id, kind, row (string map or VARIANT)."""
     wanted = kinds or (*K.REQUIRED_EVENTS, *K.OPTIONAL_EVENTS)
     packed = F.array(
         *[
@@ -107,31 +116,33 @@ def event_rows(files: DataFrame, kinds: Sequence[str] | None = None) -> DataFram
     )
 
 
-def _spread(events: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named values as columns; ``extras`` keeps every value, by its source's name."""
-    return events.select(
-        "session_id",
-        "kind",
-        *[F.col("row")[n].alias(n) for n in names],
-        F.col("row").alias("extras"),
-    )
+def _spread(
+    events: DataFrame, schema: T.StructType, aliases: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """The schema's values as columns; ``extras`` keeps every value, by its source's name.
+
+    Of a VARIANT a value is read as its column's type, whatever its file wrote it as; one that
+    is not of that type is NULL.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    for name, group in aliases.items():
+        for alias in group:
+            kinds.setdefault(alias, kinds[name])
+    row = F.col("row")
+    if isinstance(events.schema["row"].dataType, T.VariantType):
+        values = [F.try_variant_get(row, f"$.{n}", k).alias(n) for n, k in sorted(kinds.items())]
+    else:
+        values = [row[n].alias(n) for n in sorted(kinds)]
+    return events.select("session_id", "kind", *values, row.alias("extras"))
 
 
 def normalise_deaths(events: DataFrame) -> DataFrame:
-    names = sorted(
-        {f.name for f in DEATHS.fields}
-        | {a for group in DEATH_ALIASES.values() for a in group}
-    )
-    wide = _spread(events.filter(F.col("kind") == "player_death"), names)
+    wide = _spread(events.filter(F.col("kind") == "player_death"), DEATHS, DEATH_ALIASES)
     return conform(wide, DEATHS, DEATH_ALIASES, keep=["session_id", "extras"])
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
-    names = sorted(
-        {f.name for f in EVENTS.fields}
-        | {a for group in EVENT_ALIASES.values() for a in group}
-    )
-    wide = _spread(events.filter(F.col("kind") != "player_death"), names)
+    wide = _spread(events.filter(F.col("kind") != "player_death"), EVENTS, EVENT_ALIASES)
     return conform(wide, EVENTS, EVENT_ALIASES, keep=["session_id", "kind", "extras"])
 
 

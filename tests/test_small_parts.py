@@ -126,3 +126,42 @@ def test_stored_chat_rows_are_read_as_cases(spark, tmp_path):
     assert rows(got, "entity_id", "target_verdict", "target_probability", "score") == [
         ("e", "clean", 10, 0.25), ("f", None, None, None),
     ]
+
+
+def test_case_keys_split_back(spark):
+    from sightline.operators.cases import case_key, split_case_key
+
+    df = spark.createDataFrame([("a/b", "p"), ("a", "p q"), ("a/b/c", ""), ("", "x")], "session_id string, entity_id string")
+    got = df.withColumn("back", split_case_key(case_key()))
+    assert all((r.session_id, r.entity_id) == tuple(r.back) for r in got.collect())
+
+
+def test_arrivals_by_session_skip_finished_ones(spark, tmp_path, monkeypatch):
+    """Sessions with a folder are kept as they are; what another run adds is what one run gives."""
+    from sightline.operators import sessions as W
+
+    ticks = range(20)
+    data = [
+        (s, e, t, 3.0 * t * (1 if e == "a" else -1), 0.0, 10.0 * t, 0.0 if e == "a" else 300.0, 0.0, True, False, e == "a" and t in (8, 10), "ak47")
+        for s in ("s1", "s2") for e in ("a", "b") for t in ticks
+    ]
+    samples = spark.createDataFrame(
+        data,
+        "session_id string, entity_id string, tick long, yaw double, pitch double, x double, y double, z double, "
+        "is_alive boolean, is_freeze boolean, shot boolean, weapon string",
+    )
+    from sightline.operators.motion import number_samples
+
+    samples = number_samples(samples)
+    kills = spark.createDataFrame(
+        [(s, "a", "b", 10, "ak47") for s in ("s1", "s2")], "session_id string, entity_id string, target_id string, tick long, weapon string"
+    )
+    size = {"pre": 8, "post": 4, "burst_gap": 2, "radius": 200.0}
+    whole = W.arrival_sessions(samples, kills, str(tmp_path / "whole"), **size)
+    first = W.arrival_sessions(samples.filter("session_id = 's1'"), kills, str(tmp_path / "two"), **size)
+    assert {r.session_id for r in first.collect()} == {"s1"}
+    # samples that changed since do not touch a finished session
+    changed = samples.withColumn("yaw", F.when(F.col("session_id") == "s1", 0.0).otherwise(F.col("yaw")))
+    both = W.arrival_sessions(changed, kills, str(tmp_path / "two"), **size)
+    names = whole.columns
+    assert rows(both, *names) == rows(whole, *names) and {r.session_id for r in both.collect()} == {"s1", "s2"}

@@ -72,6 +72,37 @@ def test_event_files(spark, folder):
     assert {r.kind for r in lacking.collect()} == {"player_hurt", "round_freeze_end", "round_start"}
 
 
+def test_typed_events_keep_their_types(spark, folder, tmp_path):
+    """Typed and untyped tables agree; a VARIANT keeps numbers, booleans, lists and a changing type."""
+    one = {"tick": 7, "attacker_steamid": "P1", "user_steamid": "P2", "headshot": True, "distance": 2.5, "seen": [1, 2], "mark": 3}
+    two = {"tick": "8", "attacker_steamid": 76561198, "user_steamid": None, "headshot": "no", "distance": "far", "mark": "x", "place": {"x": 1.5}}
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "a.json").write_text(json.dumps({"player_death": [one, two], "weapon_fire": [{"tick": 1, "user_steamid": "P1"}]}))
+    (tmp_path / "set" / "bad.json").write_text("{oops")
+    files = tables.read_event_files(spark, str(tmp_path / "set"), typed=True)
+    assert rows(tables.rejected_sessions(files), "session_id") == [("set/bad",)]
+    events = tables.event_rows(files)
+    deaths = tables.normalise_deaths(events)
+    assert rows(deaths, "tick", "attacker_id", "victim_id", "headshot", "distance") == [
+        (7, "P1", "P2", True, 2.5), (8, "76561198", None, False, None),
+    ]
+    deaths.write.parquet(str(tmp_path / "deaths"))
+    back = spark.read.parquet(str(tmp_path / "deaths"))
+    kind = lambda p: F.schema_of_variant(F.try_variant_get("extras", p, "variant"))
+    got = back.select("tick", *[kind(f"$.{n}").alias(n) for n in ("mark", "headshot", "distance", "seen")])
+    assert rows(got, "tick", "mark", "headshot", "distance", "seen") == [
+        (7, "BIGINT", "BOOLEAN", "DECIMAL(2,1)", "ARRAY<BIGINT>"), (8, "STRING", "STRING", "STRING", None),
+    ]
+    place = back.select("tick", F.try_variant_get("extras", "$.place.x", "double").alias("x"))
+    assert rows(place, "tick", "x") == [(7, None), (8, 1.5)]
+    assert rows(tables.normalise_events(events), "kind", "player_id", "tick") == [("weapon_fire", "P1", 1)]
+    plain, typed = (
+        tables.normalise_deaths(tables.event_rows(tables.read_event_files(spark, str(folder / "*" / "*.json"), typed=t))).drop("extras")
+        for t in (False, True)
+    )
+    assert plain.schema == typed.schema and rows(plain, *plain.columns) == rows(typed, *typed.columns)
+
+
 def test_sample_files_and_stored_layout(spark, folder, tmp_path):
     samples = tables.read_samples(spark, [str(folder / "no_cheater_present" / "p2")])
     assert samples.columns[0] == "session_id" and samples.count() == 3
