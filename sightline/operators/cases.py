@@ -70,6 +70,27 @@ def top_moments(features: DataFrame, k: int = K.MOMENTS_PER_CASE) -> DataFrame:
     )
 
 
+#: What an entity could have known when a window's anchor came.
+CONTEXT = (
+    "sight_checked",
+    "last_seen_ms",
+    "victim_fired_ms_ago",
+    "victim_was_running",
+    "allies_alive",
+    "enemies_alive",
+)
+
+
+def moments_in_context(
+    features: DataFrame, windows: DataFrame, k: int = K.MOMENTS_PER_CASE
+) -> DataFrame:
+    """:func:`top_moments` with their tick and context, as ``sessions.session_windows`` has them."""
+    known = [c for c in CONTEXT if c in windows.columns]
+    return top_moments(features, k).join(
+        windows.select("window_uid", "tick", *known), "window_uid"
+    )
+
+
 def trajectories(
     moments: DataFrame,
     window_ticks: DataFrame,
@@ -404,9 +425,9 @@ def _check_points() -> Column:
     return F.array_compact(F.transform(shown, point))
 
 
-def aimed_through_cover(m: Column) -> Column:
+def aimed_through_cover(m: Column, wall_aim: float = K.WALL_AIM_KILL) -> Column:
     share = F.coalesce(m["aim_through_wall_share"], F.lit(0.0))
-    return F.coalesce(m["sight_checked"], F.lit(False)) & (share >= K.WALL_AIM_KILL)
+    return F.coalesce(m["sight_checked"], F.lit(False)) & (share >= wall_aim)
 
 
 def seen_or_heard(m: Column) -> Column:
@@ -417,9 +438,9 @@ def seen_or_heard(m: Column) -> Column:
     )
 
 
-def _awareness_point() -> Column:
+def _awareness_point(wall_aim: float) -> Column:
     unexplained = F.size(
-        F.filter("moments", lambda m: aimed_through_cover(m) & ~seen_or_heard(m))
+        F.filter("moments", lambda m: aimed_through_cover(m, wall_aim) & ~seen_or_heard(m))
     )
     reason = T.fill(K.AWARENESS_REASON, n=unexplained, all=F.size("moments"))
     weight = F.lit(K.WEIGHTS["notable"])
@@ -444,10 +465,10 @@ def _rule_points() -> Column:
     )
 
 
-def evidence_points() -> Column:
+def evidence_points(wall_aim: float = K.WALL_AIM_KILL) -> Column:
     """Points worth citing, heaviest first; equal weights keep their order."""
     every = F.concat(
-        _check_points(), F.array_compact(F.array(_awareness_point())), _rule_points()
+        _check_points(), F.array_compact(F.array(_awareness_point(wall_aim))), _rule_points()
     )
     placed = F.transform(
         every,
@@ -462,8 +483,8 @@ def counted(points: Column) -> Column:
     return F.filter(points, lambda p: ~heavy | (p["kind"] != "wallhack"))
 
 
-def standard_caveats() -> Column:
-    covered = F.filter("moments", aimed_through_cover)
+def standard_caveats(wall_aim: float = K.WALL_AIM_KILL) -> Column:
+    covered = F.filter("moments", lambda m: aimed_through_cover(m, wall_aim))
     explained = (F.size(covered) > 0) & F.forall(covered, seen_or_heard)
     heavy = F.coalesce(F.col("features")["sniper_share"], F.lit(0.0)) >= K.SNIPER_HEAVY
     return F.array_compact(
@@ -490,16 +511,19 @@ def split_case_key(key: Column) -> Column:
     return F.struct(session.alias("session_id"), F.element_at(parts, -1).alias("entity_id"))
 
 
-def targets(cases: DataFrame) -> DataFrame:
+def targets(cases: DataFrame, *, wall_aim: float = K.WALL_AIM_KILL) -> DataFrame:
     """Adds the verdict a case's own evidence supports.
 
+    ``wall_aim``: share of an approach aimed through cover from which a moment asks how the
+    entity knew.
+
     verdict, probability, cheat_type, reasons (at most 3), caveats (at most 2). The
     probability comes first and the word follows; an accusation on a single line is
     held at unclear.
     """
     key = case_key()
     # the points are a long expression: they get their own projection
-    scored = cases.withColumn("points", evidence_points()).withColumn(
+    scored = cases.withColumn("points", evidence_points(wall_aim)).withColumn(
         "counted", counted(F.col("points"))
     )
     weight = F.aggregate("counted", F.lit(0.0), lambda acc, p: acc + p["weight"])
@@ -538,7 +562,7 @@ def targets(cases: DataFrame) -> DataFrame:
                 F.when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0))),
             ).otherwise("none"),
             "reasons": said,
-            "caveats": F.slice(standard_caveats(), 1, 2),
+            "caveats": F.slice(standard_caveats(wall_aim), 1, 2),
         }
     ).drop("_p")
 

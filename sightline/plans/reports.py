@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline import constants as K
 from sightline.functions.text import measurement_rows
 from sightline.operators import cases as Z
 from sightline.operators import evaluate as E
@@ -19,6 +20,7 @@ from sightline.operators import tensors as N
 from sightline.operators.joins import compare_tables, state_of
 from sightline.operators.ordered import attach_row, tick_chunk
 from sightline.plans import adapters as A
+from sightline.plans import space as SP
 from sightline.plans import windows as Q
 from sightline.plans.registry import query
 from sightline.plans.series import _INTERVALS_SQL, _intervals
@@ -58,20 +60,32 @@ def _cases(spark, d):
     """Cases with moments, approaches, strict rule hits and the clean reference."""
     s = A.stored_samples(spark, d)
     ticks = staged(Q.shot_ticks(s))
-    features = staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS))
-    entities = staged(X.entity_features(features, min_arrivals=2))
     anchor = ticks.filter(F.col("tick_offset") == 0).select(
         "window_uid", F.col("anchor_tick").alias("tick")
     )
+    return _cases_of(s, ticks, anchor)
+
+
+def _context_cases(spark, d):
+    """The same of whole sessions: sight by rays where there is a mesh, moments in context."""
+    windows, ticks = SP._session_windows(spark, d)
+    s = A.stored_samples(spark, d)
+    return _cases_of(s, staged(A.with_label(ticks)), staged(windows))
+
+
+def _cases_of(s, ticks, windows):
+    features = staged(X.window_features(ticks, A.SEGMENTS, burst_gap=A.BURST_GAP, radius=A.RADIUS))
+    entities = staged(X.entity_features(features, min_arrivals=2))
     moments = staged(
-        Z.top_moments(
+        Z.moments_in_context(
             features.withColumns(
                 {
                     c: F.round(c, 9)
                     for c in ("aim_through_wall_share", "angle_at_first_visible")
                 }
-            )
-        ).join(anchor, "window_uid")
+            ),
+            windows,
+        )
     )
     approach = Z.trajectories(
         moments.filter(F.col("place") <= 2), ticks, stride=2
@@ -163,6 +177,55 @@ def targets(spark, d):
     )
 
 
+_HEARD = "(last_seen_ms IS NOT NULL OR victim_fired_ms_ago IS NOT NULL OR running)"
+_COVERED = "checked AND coalesce(share, 0) >= 0"
+
+
+@query(
+    "session_id:l entity_id:l contexts:s awareness:s caveat:s",
+    f"""WITH {A.WINDOWS_SQL}, {SP._SESSION_SQL}, {Q.GEO_SQL.replace("geo AS (", "geoflag AS (")},
+geo AS (SELECT g.* REPLACE (CASE WHEN g.session_id % 2 = 1 THEN g.target_visible
+      WHEN s.window_uid IS NOT NULL THEN c.window_uid IS NOT NULL END AS target_visible)
+  FROM geoflag g LEFT JOIN (SELECT window_uid, tick_offset FROM seg WHERE kind = 'tick') s USING (window_uid, tick_offset)
+  LEFT JOIN (SELECT window_uid, tick_offset FROM clear WHERE kind = 'tick') c USING (window_uid, tick_offset)),
+{Q.PERCEPTION_SQL},
+m AS (SELECT w.session_id, w.entity_id, w.window_uid, w.session_id % 2 = 0 AS checked, p.aim_through_wall_share AS share, r.last_seen_ms, fr.victim_fired_ms_ago,
+    rn.window_uid IS NOT NULL AS running, allies_alive, enemies_alive, count(*) OVER (PARTITION BY w.session_id, w.entity_id) AS n_kills,
+    row_number() OVER (PARTITION BY w.session_id, w.entity_id
+      ORDER BY round(aim_through_wall_share, 9) DESC NULLS LAST, round(angle_at_first_visible, 9) ASC NULLS LAST, w.window_uid) AS place
+  FROM win w JOIN perc p USING (window_uid) LEFT JOIN rays r USING (window_uid) LEFT JOIN fr USING (window_uid)
+  LEFT JOIN rn USING (window_uid) LEFT JOIN ac USING (window_uid)),
+t AS (SELECT *, concat_ws('; ', CASE WHEN checked AND last_seen_ms IS NULL THEN '{K.CONTEXT_NEVER_SEEN}'
+      WHEN checked THEN 'last saw this enemy ' || format('{{:.1f}}', last_seen_ms / 1000) || 's before the kill' END,
+    'the enemy had fired ' || format('{{:.1f}}', victim_fired_ms_ago / 1000) || 's before', CASE WHEN running THEN '{K.CONTEXT_RUNNING}' END,
+    allies_alive || 'v' || coalesce(enemies_alive::VARCHAR, 'None') || ' at the time') AS said FROM m WHERE place <= 3 AND n_kills >= 5),
+g AS (SELECT session_id, entity_id, string_agg('   context: ' || said, '|' ORDER BY place) FILTER (said <> '') AS contexts, count(*) AS kills,
+    count(*) FILTER ({_COVERED} AND NOT {_HEARD}) AS blind, count(*) FILTER ({_COVERED}) AS covered FROM t GROUP BY 1, 2)
+SELECT session_id, entity_id, coalesce(contexts, '') AS contexts,
+  CASE WHEN blind >= 2 THEN 'in ' || blind || ' of the ' || kills || ' {K.AWARENESS_REASON.split("} ")[-1]}' END AS awareness,
+  CASE WHEN covered > 0 AND blind = 0 THEN '{K.CAVEAT_EXPLAINED}' END AS caveat FROM g""",
+)
+def session_targets(spark, d):
+    """What the cases of whole sessions say about what their entity could have known.
+
+    Every moment asks (``wall_aim=0``), as few approaches in these tables are aimed through cover.
+    """
+    cases = _context_cases(spark, d)
+    judged = Z.targets(cases.withColumn("text", Z.render_case()), wall_aim=0.0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("   context: "))
+    about = F.filter(
+        F.transform("points", lambda p: p["reason"]), lambda x: x.contains(" kills that stand out ")
+    )
+    explained = F.filter("caveats", lambda x: x == K.CAVEAT_EXPLAINED)
+    return judged.select(
+        "session_id",
+        "entity_id",
+        F.array_join(lines, "|").alias("contexts"),
+        F.get(about, F.lit(0)).alias("awareness"),
+        F.get(explained, F.lit(0)).alias("caveat"),
+    )
+
+
 @query(
     "session_id:l entity_id:l shown_verdict:s shown_probability:l held:b",
     f"""{TARGET_SQL},
