@@ -39,6 +39,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ITEMS = frozenset(("li", "dt", "dd", "td", "th"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li "
@@ -85,6 +87,8 @@ class _Open:
     inside: bool
     article: bool
     silent: bool
+    heading: bool = False
+    item: bool = False
 
 
 def _says(tag: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -126,9 +130,15 @@ def _names_no_article(value: str) -> bool:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order, in time linear in its length.
+
+    Where elements of a tag, and block elements, lie on the stack is noted as they open, so no
+    tag searches the stack, and each element is taken off it once.
+    """
     out: list[Block] = []
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}
+    block_places: list[int] = []
     parts: list[str] = []
     links: list[str] = []
     depth_a = 0
@@ -139,14 +149,13 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1] if stack else _Open("", False, False, False, False, False)
-            tags = {e.tag for e in stack}
             out.append(
                 Block(
                     text,
                     text.count(" ") + 1,
                     len(" ".join(links).split()),
-                    not tags.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6")),
-                    not tags.isdisjoint(("li", "dt", "dd", "td", "th")),
+                    top.heading,
+                    top.item,
                     top.chrome,
                     top.hint,
                     top.inside,
@@ -155,12 +164,18 @@ def blocks(page: str | None) -> list[Block]:
             )
         parts, links = [], []
 
-    def close(place: int) -> None:
+    def drop(place: int) -> None:
         nonlocal depth_a
+        while len(stack) > place:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+            depth_a -= tag == "a"
+
+    def close(place: int) -> None:
         flush()
-        for e in stack[place:]:
-            depth_a -= e.tag == "a"
-        del stack[place:]
+        drop(place)
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -174,7 +189,7 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if token[2] or token[5]:  # a closing tag
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
+            place = places[tag][-1] if places.get(tag) else None
             if tag in BLOCK:
                 if place is None:
                     flush()
@@ -182,22 +197,20 @@ def blocks(page: str | None) -> list[Block]:
                     close(place)
             elif place is not None:
                 # inline elements end without ending the block, unless blocks are open in them
-                if any(e.tag in BLOCK for e in stack[place:]):
-                    continue
-                for e in stack[place:]:
-                    depth_a -= e.tag == "a"
-                del stack[place:]
+                if not (block_places and block_places[-1] > place):
+                    drop(place)
             continue
         if tag in ("br", "wbr", "img", "input"):
             parts.append(" " if tag != "wbr" else "")
             continue
         if tag in BLOCK:
             ends = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
+            # past paragraphs only, as tags that others end are all blocks
+            for i in reversed(block_places):
                 if stack[i].tag in ends:
                     close(i)
                     break
-                if stack[i].tag in BLOCK and stack[i].tag != "p" and stack[i].tag not in ends:
+                if stack[i].tag != "p":
                     break
             flush()
         if tag in VOID:
@@ -214,12 +227,16 @@ def blocks(page: str | None) -> list[Block]:
                 hint or (above.inside and not article),
                 above.article or article,
                 above.silent or hidden,
+                above.heading or tag in HEADINGS,
+                above.item or tag in ITEMS,
             )
         )
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if tag in BLOCK:
+            block_places.append(len(stack) - 1)
         depth_a += tag == "a"
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
-            depth_a -= tag == "a"
-            stack.pop()
+            drop(len(stack) - 1)
     if at < len(page) and not (stack and stack[-1].silent):
         parts.append(references.unescape(page[at:]))
         if depth_a:

@@ -75,3 +75,19 @@ def test_rows(spark):
 )
 def test_attributes_are_read_by_name(html, text):
     assert extract.main_texts([html]) == [text]
+
+
+@pytest.mark.parametrize(
+    "shape",
+    ["<b>{}</i>", "<div>{}<p>", "<b>{}<p>", "<b>{}</b>", "<p>{}</div>", "<ul><li>{}</b>", "<td><p>{}<tr>", "<a><b>{}x</a>", "<i>{}<div>x</div>"],
+)
+def test_parsing_is_linear(shape):
+    """A megabyte of tags that never close, or close nothing, takes a second or two."""
+    import time
+
+    first, second = shape.split("{}")
+    page = "<p>one two three</p>" + first * (500_000 // len(first)) + second * (500_000 // len(second))
+    started = time.process_time()
+    found = extract.blocks(page)
+    assert time.process_time() - started < 12
+    assert found[0].text == "one two three"
