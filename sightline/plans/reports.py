@@ -478,6 +478,81 @@ def replay_documents(spark, d):
     )
 
 
+@query(
+    "session_id:l number:l t0:l players:s events:s spans:s objectives:s",
+    f"""WITH {A.SAMPLES_SQL}, {_INTERVALS_SQL},
+i AS (SELECT s.*, iv.number, iv."end" FROM samples s JOIN iv ON iv.session_id = s.session_id AND s.tick >= iv.start AND s.tick < iv."end"),
+p0 AS (SELECT session_id, number, entity_id, CASE min(team) WHEN 2 THEN 'T' ELSE 'CT' END AS side,
+    min(tick // 4 * 4) AS t0 FROM i WHERE tick % 4 = 0 GROUP BY 1, 2, 3),
+p AS (SELECT p0.session_id, p0.number, min((iv.start + 3) // 4 * 4) AS t0, string_agg(entity_id || ' ' || side, '|' ORDER BY entity_id) AS players
+  FROM p0 JOIN iv USING (session_id, number) GROUP BY 1, 2),
+d AS (SELECT k.session_id, k.number, 'death' AS kind, k.tick, k.target_id AS entity_id, CAST(round(a.x) AS BIGINT) AS x, CAST(round(a.y) AS BIGINT) AS y
+  FROM (SELECT * FROM i WHERE anchor) k ASOF LEFT JOIN samples a ON a.session_id = k.session_id AND a.entity_id = k.target_id AND k.tick >= a.tick),
+ev AS (SELECT * FROM d UNION ALL SELECT session_id, number, 'shot', tick, entity_id, NULL, NULL FROM i WHERE shot AND weapon <> 'knife'),
+e AS (SELECT session_id, number, string_agg(tick || ' ' || kind || ' ' || entity_id || ' ' || coalesce(x::VARCHAR, '-') || ' ' || coalesce(y::VARCHAR, '-'), '|'
+    ORDER BY tick, kind, entity_id, x NULLS FIRST, y NULLS FIRST) AS events FROM ev GROUP BY 1, 2),
+ends AS (SELECT session_id, entity_id % 3 AS id, tick AS over FROM samples WHERE anchor),
+paired AS (SELECT b.*, (SELECT min(over) FROM ends n WHERE n.session_id = b.session_id AND n.id = b.entity_id % 3 AND n.over >= b.tick) AS over
+  FROM i b WHERE shot),
+sp AS (SELECT session_id, number, tick, least(coalesce(over, least("end", tick + 8)), "end") AS until,
+    CASE WHEN entity_id % 2 = 0 THEN 'smoke' ELSE 'fire' END AS kind, CAST(round(x) AS BIGINT) AS x, CAST(round(y) AS BIGINT) AS y FROM paired),
+sl AS (SELECT session_id, number, string_agg(tick || '-' || until || ' ' || kind || ' ' || x || ' ' || y, '|' ORDER BY tick, until, kind, x, y) AS spans FROM sp GROUP BY 1, 2),
+ob AS (SELECT s.session_id, s.tick, s.entity_id, CAST(round(any_value(s.x)) AS BIGINT) AS x, CAST(round(any_value(s.y)) AS BIGINT) AS y, arg_min(iv.number, iv."end") AS number
+  FROM samples s JOIN iv ON iv.session_id = s.session_id AND iv."end" > s.tick WHERE s.is_freeze GROUP BY 1, 2, 3),
+ol AS (SELECT session_id, number, string_agg(tick || ' plant ' || entity_id || ' ' || x || ' ' || y, '|' ORDER BY tick, entity_id, x, y) AS objectives FROM ob GROUP BY 1, 2)
+SELECT p.session_id, p.number, t0, players, coalesce(events, '') AS events, coalesce(spans, '') AS spans, coalesce(objectives, '') AS objectives
+FROM p LEFT JOIN e USING (session_id, number) LEFT JOIN sl USING (session_id, number) LEFT JOIN ol USING (session_id, number)""",
+)
+def replay_scenes(spark, d):
+    """Whole round documents, every list read out in its order: smokes, fires and objectives too."""
+    s = A.stored_samples(spark, d)
+    intervals = staged(_intervals(s))
+    grid = Y.replay_grid(staged(Y.replay_values(s, intervals)), intervals)
+    place = [F.round(c).cast("int").alias(c) for c in "xy"]
+    nowhere = [F.lit(None).cast("int").alias(c) for c in "xy"]
+    shots = Y.replay_shots(s.filter("shot"), intervals).select(
+        "session_id", "number", F.lit("shot").alias("kind"), "tick", "entity_id", *nowhere
+    )
+    deaths = Y.replay_deaths(A.anchors(s), s, intervals).select(
+        "session_id",
+        "number",
+        F.lit("death").alias("kind"),
+        "tick",
+        F.col("target_id").alias("entity_id"),
+        "x",
+        "y",
+    )
+    thrown = F.when(F.col("entity_id") % 2 == 0, "smoke").otherwise("fire")
+    keys = ["session_id", "tick", (F.col("entity_id") % 3).alias("entityid")]
+    begun = s.filter("shot").select(*keys, thrown.alias("kind"), *place)
+    spans = Y.replay_spans(begun, s.filter("anchor").select(*keys), intervals, cap=8)
+    planted = s.filter("is_freeze").select(
+        "session_id", "tick", "entity_id", F.lit("plant").alias("kind")
+    )
+    objectives = Y.replay_objectives(planted, s, intervals).select(
+        "session_id", "number", "tick", "kind", "entity_id",
+        *[F.round(f"place_{c}").cast("int").alias(c) for c in "xy"],
+    )
+    docs = Y.replay_documents(grid, intervals, shots.unionByName(deaths), spans, objectives)
+
+    def text(name, line):
+        listed = F.transform(name, line)
+        return F.array_join(F.coalesce(listed, F.array().cast("array<string>")), "|").alias(name)
+
+    def spot(r, *columns):
+        return F.concat_ws(" ", *[F.coalesce(r[c].cast("string"), F.lit("-")) for c in columns])
+
+    return docs.select(
+        "session_id",
+        "number",
+        "t0",
+        text("players", lambda p: spot(p, "entity_id", "side")),
+        text("events", lambda e: spot(e, "tick", "kind", "entity_id", "x", "y")),
+        text("spans", lambda x: F.concat(spot(x, "tick"), F.lit("-"), spot(x, "until", "kind", "x", "y"))),
+        text("objectives", lambda e: spot(e, "tick", "kind", "entity_id", "x", "y")),
+    )
+
+
 # --- entity reports --------------------------------------------------------------------
 
 
