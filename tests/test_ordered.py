@@ -108,6 +108,16 @@ def test_last_known(series, width, forward):
             assert mine[r[1]] == want
 
 
+def test_forward_fill_takes_time_by_row(series):
+    """A frame that ends with its partition is evaluated anew for every row."""
+    _, df = series
+    got = last_known(
+        df, ["entity_id"], tick_chunk("tick"), ["tick"], {"near": F.col("v")}, forward=True
+    )
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_runs_over_chunk_borders(series, width):
     data, df = series
