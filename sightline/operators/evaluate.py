@@ -18,6 +18,7 @@ from sightline import constants as K
 from sightline.functions.labels import is_sniper, sniper_band
 from sightline.operators.ordered import attach_row, number_by_range
 from sightline.operators.quantiles import cumulative_counts, quantiles, unpivot
+from sightline.operators.sampling import floor_share
 from sightline.session import staged
 
 
@@ -530,7 +531,7 @@ def population_summary(
     ).withColumn("_all", F.col("map").isNull())
     keyed = both.withColumn("_map", F.coalesce("map", F.lit("")))
     ranked = number_by_range(keyed, ["_all", "_map"], ["at", "entity"], "_rn", count="_n")
-    at_share = lambda q: F.max(F.when(F.col("_rn") - 1 == F.floor(F.col("_n") * q), F.col("at")))
+    at_share = lambda q: F.max(F.when(F.col("_rn") - 1 == floor_share(F.col("_n"), q), F.col("at")))
     said = lambda v: F.count_if(F.col("verdict") == v)
     return ranked.groupBy("_all", "map").agg(
         F.count(F.lit(1)).alias("entities"),

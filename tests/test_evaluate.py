@@ -121,6 +121,14 @@ def test_splits_keep_groups_together(spark):
     assert rows(again, "id", "split") == rows(got, "id", "split")
 
 
+@pytest.mark.parametrize("n", [90, 170, 340])
+def test_shares_are_cut_exactly(spark, n):
+    """90 * 0.7 is 62.99... as a double, but 63 of 90 groups are 0.7 of them."""
+    got = U.group_split(spark.range(n), "id").groupBy("split").count()
+    train, val = n * 7 // 10, n * 85 // 100
+    assert {r.split: r["count"] for r in got.collect()} == {"train": train, "val": val - train, "test": n - val}
+
+
 def test_queue_takes_turns(spark):
     df = spark.createDataFrame([(i, "a" if i < 6 else "b", i in (0, 7)) for i in range(8)], "id long, s string, v boolean")
     got = U.interleave(df, ["s"], "id", F.col("v"))
