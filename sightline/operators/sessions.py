@@ -2,7 +2,7 @@
 
 ``session_windows`` is what both a training set and a live report read, so that a session
 is cut, measured and tested for sight in one way. Nothing is staged here but what
-``line_of_sight`` stages; callers who read both results store them.
+``anchor_windows`` and ``line_of_sight`` stage; callers who read both results store them.
 """
 
 from __future__ import annotations
@@ -86,10 +86,12 @@ def session_windows(
         samples if "yaw_speed" in samples.columns else entity_deltas(samples), anchors, pre=pre, post=post, carry=("weapon",)
     )
     windows = windows.join(sessions, "session_id", "left")
+    # shots first: the ticks still lie by the keys they were found by
+    ticks = mark_shots(ticks, samples.filter("shot"))
     ticks = C.add_target_geometry(ticks, samples).join(
         sessions.select("session_id", "map"), "session_id", "left"
     )
-    ticks = mark_shots(with_sight(ticks, triangles, **sight), samples.filter("shot"))
+    ticks = with_sight(ticks, triangles, **sight)
     parts = [
         C.alive_counts(windows, samples),
         C.fired_recently(windows, samples.filter("shot"), span=span),
@@ -169,7 +171,7 @@ def arrival_sessions(
     def arrivals(part: DataFrame, kills: DataFrame) -> DataFrame:
         turned = part if "yaw_speed" in part.columns else entity_deltas(part)
         _, ticks = anchor_windows(turned, kills, pre=pre, post=post, carry=("weapon",))
-        ticks = mark_shots(C.add_target_geometry(ticks, part), part.filter("shot"))
+        ticks = C.add_target_geometry(mark_shots(ticks, part.filter("shot")), part)
         return arrival_table(ticks, burst_gap, radius)
 
     like = arrivals(samples, anchors)

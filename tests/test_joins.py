@@ -89,6 +89,23 @@ def test_a_gap_breaks_a_window(spark):
     assert windows.count() == 0
 
 
+@pytest.mark.parametrize("start", [0, 65536 - 30, -20])
+def test_windows_are_known_whole_before_they_are_written_out(spark, start):
+    """Gaps, doubled ticks and chunk borders; the ticks need no grouping by window."""
+    rng = random.Random(start)
+    have = [start + t for t in range(60) for _ in range(rng.choice([1] * 30 + [0, 2]))]
+    samples = spark.createDataFrame([(0, 1, t, 1.0) for t in have], "session_id long, entity_id long, tick int, yaw double")
+    at = [start + t for t in range(60)]
+    anchors = kills(spark, *[(1, 2, t) for t in at]).unionByName(
+        spark.createDataFrame([(0, 1, 2, None), (None, 1, 2, start + 20)], "session_id long, entity_id long, target_id long, tick long")
+    )
+    windows, wt = anchor_windows(samples, anchors, pre=5, post=3)
+    want = [t for t in at if sum(have.count(x) for x in range(t - 5, t + 4)) == 9]
+    assert rows(windows, "tick") == [(t,) for t in want] and 0 < len(want) < 60
+    assert wt.count() == 9 * len(want) and wt.filter("session_id is null").isEmpty()
+    assert "Window" not in wt._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reused_ids_pair_forward(spark):
     starts = spark.createDataFrame([(7, 100), (7, 300), (8, 50)], "id long, tick long")
     ends = spark.createDataFrame([(7, 90), (7, 150)], "id long, tick long")
