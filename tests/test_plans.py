@@ -119,6 +119,26 @@ def test_stored_samples_are_joined_where_they_lie(spark, name):
     assert n > 0
 
 
+def test_samples_are_made_after_the_last_shuffle(spark, tmp_path):
+    """What is dealt out is the event and its deltas; the stored table is that of whole samples."""
+    from sightline.operators.motion import entity_deltas
+    from sightline.plans import adapters as A
+    from sightline.sources import stored
+
+    d = "/root/testdata/sf0.001"
+    text = plan(A._as_samples(A._numbered(spark, d)))
+    shuffled = text[text.index("Exchange hash"):]
+    assert not any(f"AS {c}#" in shuffled for c in ("weapon", "name", "yaw", "spotted_by", "target_id"))
+    whole, made = entity_deltas(A.samples(spark, d)), A.stored_samples(spark, d)
+    assert whole.columns == made.columns and whole.schema.simpleString() == made.schema.simpleString()
+    assert whole.exceptAll(made).isEmpty() and made.exceptAll(whole).isEmpty()
+    dealt = stored.write_bucketed(
+        spark.range(50).selectExpr("id % 3 as session_id", "id % 7 as entity_id", "id as tick"),
+        str(tmp_path / "t"), buckets=3, finish=lambda rows_: rows_.withColumn("x", F.col("tick") * 2),
+    )
+    assert dealt.filter("x = 2 * tick").count() == 50
+
+
 def test_a_stored_table_is_registered_again_and_unions_of_it_group_whole(spark, tmp_path):
     from sightline.sources import stored
 
