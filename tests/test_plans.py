@@ -150,3 +150,24 @@ def test_a_stored_table_is_registered_again_and_unions_of_it_group_whole(spark,
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows_.collect())) and first.columns == again.columns
     twice = again.unionByName(again).groupBy(*stored.SAMPLE_KEYS).count()
     assert twice.count() == 1000 and twice.where("count <> 2").isEmpty()
+
+
+def test_targets_are_found_where_own_ticks_lie(spark):
+    """The wanted ticks travel once: own sample, shot and target are found in the same place."""
+    from sightline.operators.joins import at_tick
+    from sightline.plans import adapters as A
+    from sightline.plans import windows as Q
+
+    s = A.stored_samples(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(Q.shot_ticks(s))
+        pairs = at_tick(A.anchors(s), s.select("session_id", "entity_id", "tick", "x"), "target_id")
+        told = A.anchors(s).join(
+            s.selectExpr("session_id", "entity_id as target_id", "tick", "x"), ["session_id", "target_id", "tick"]
+        ).select(*pairs.columns)
+        assert pairs.exceptAll(told).isEmpty() and told.exceptAll(pairs).isEmpty() and not pairs.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1, text
+    assert text.count("SortMergeJoin") == 2 and "NestedLoop" not in text
