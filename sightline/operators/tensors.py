@@ -29,7 +29,6 @@ def sequence_channels(
     rows = window_ticks
     if labels is not None:
         rows = rows.filter(F.col("label").isin(*labels))
-    rows = complete_groups(rows, ["window_uid"], size)
     valid = F.col("yaw_speed").isNotNull().cast("double")
 
     def known(name: str, other: float) -> Column:
@@ -51,9 +50,11 @@ def sequence_channels(
             ),
         }
     ids = [c for c in ("session_id", "entity_id", "label") if c in rows.columns]
-    packed = F.struct(
-        "tick_offset", *[c.cast("float").alias(f"c_{n}") for n, c in channels.items()]
-    )
+    # channels are made before rows are dealt by window: they are narrower than what they come from
+    made = [c.cast("float").alias(f"c_{n}") for n, c in channels.items()]
+    rows = rows.select("window_uid", *ids, "tick_offset", *made)
+    rows = complete_groups(rows, ["window_uid"], size)
+    packed = F.struct("tick_offset", *[f"c_{n}" for n in channels])
     grouped = rows.groupBy("window_uid").agg(
         *[F.first(c).alias(c) for c in ids],
         F.sort_array(F.collect_list(packed)).alias("_rows"),
