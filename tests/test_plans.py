@@ -171,3 +171,38 @@ def test_targets_are_found_where_own_ticks_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1, text
     assert text.count("SortMergeJoin") == 2 and "NestedLoop" not in text
+
+
+def test_a_rule_deals_its_rows_once(samples):
+    """The look-back of a median or a turn and that of the run share one shuffle by chunk."""
+    from sightline.operators import rules as R
+
+    moved = entity_deltas(samples)
+    for found in (R.sustained_runs(moved, 1.0, 4), R.alternating_runs(moved, 1.0, 2)):
+        text = plan(found)
+        closed = text[: text.rindex("Union") + 1] if "Union" in text else text
+        whole = len(re.findall(r"Exchange hashpartitioning\([^)]*_chunk", text))
+        # two branches (closed runs, open ones), each with the shuffle of the deltas below
+        assert whole <= 4, (whole, closed)
+
+
+def test_channels_are_made_before_rows_are_dealt(spark):
+    from sightline.operators import tensors as N
+
+    ticks = spark.createDataFrame([("a", 0, 1.0, 2.0, 3.0)], "window_uid string, tick_offset int, yaw_speed double, d_yaw double, d_pitch double")
+    text = plan(N.sequence_channels(ticks, size=1))
+    assert "as float)" in text[text.index("Exchange hashpartitioning(window_uid"):]
+
+
+def test_the_approach_comes_with_the_features(spark):
+    """The same points as ticks read again give, so no ticks are stored for them."""
+    from sightline.operators import cases as Z
+    from sightline.operators import features as X
+    from sightline.plans import adapters as A
+    from sightline.plans import windows as Q
+
+    ticks = Q.shot_ticks(A.stored_samples(spark, "/root/testdata/sf0.001"))
+    made = X.window_features(ticks, A.SEGMENTS, stride=2).select("window_uid", "trajectory")
+    read = Z.trajectories(ticks.select("window_uid").distinct(), ticks, stride=2)
+    as_rows = lambda df: sorted((r.window_uid, r.trajectory) for r in df.collect())
+    assert as_rows(made) == as_rows(read) and not read.isEmpty()
