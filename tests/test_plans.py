@@ -5,12 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators import replay
 from sightline.operators.cases import top_moments
 from sightline.operators.joins import asof_join
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import with_halo
 from sightline.operators.quantiles import quantiles
 from sightline.operators.sampling import stratified_sample
+from sightline.plans import catalog
+from tests.conftest import rows
 
 
 def plan(df):
@@ -206,3 +209,44 @@ def test_the_approach_comes_with_the_features(spark):
     read = Z.trajectories(ticks.select("window_uid").distinct(), ticks, stride=2)
     as_rows = lambda df: sorted((r.window_uid, r.trajectory) for r in df.collect())
     assert as_rows(made) == as_rows(read) and not read.isEmpty()
+
+
+def test_asof_meets_no_join_and_sorts_its_rows_once(spark):
+    left = spark.createDataFrame([(1, 5), (1, 70_000), (None, 5)], "k long, t long")
+    right = spark.createDataFrame([(1, 4, 0.5, 1), (1, 6, 0.25, 2), (None, 1, 9.0, 3)], "k long, t long, v double, w long")
+    found = asof_join(left, right, on="t", by=["k"], take=["v", "w"])
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 0.5, 1), (1, 70_000, 0.25, 2)]
+    text = plan(found)
+    assert "Join" not in text and "SortAggregate [k" not in text and "max_by(_right" not in text
+
+
+def test_replay_grid_shuffles_values_once(spark):
+    names = "session_id long, number int, entity_id long, tick long, team int, x int, y int, z int, yaw int, hp int, blind int, sees long"
+    values = spark.createDataFrame(
+        [(0, 1, e, t, team, t, 0, 0, 0, 9, 0, None) for e, team, t in ((1, 2, 4), (1, 2, 12), (2, 3, 8), (3, None, 4))], names
+    )
+    rounds = spark.createDataFrame([(0, 1, 1, 14)], "session_id long, number int, start long, end long")
+    grid = replay.replay_grid(values, rounds)
+    got = {r.entity_id: (r.side, r.t0, r.x) for r in grid.collect()}
+    assert got == {1: ("T", 4, [4, None, 12]), 2: ("CT", 4, [None, 8, None])}
+    text = plan(replay.replay_grid(values, rounds))
+    assert "Generate" not in text and text.count("Join") == 1
+
+
+def test_played_samples_are_tagged_once(spark):
+    s = spark.createDataFrame(
+        [(0, 1, t, t % 3 == 0, t == 5, 2) for t in range(1, 12)],
+        "session_id long, entity_id long, tick long, shot boolean, anchor boolean, target_id long",
+    ).withColumn("weapon", F.lit("ak47"))
+    rounds = spark.createDataFrame([(0, 1, 4, 9)], "session_id long, number int, start long, end long")
+    tagged = replay.played(s, rounds)
+    assert rows(tagged, "tick", "number") == [(3, None), (4, 1), (5, 1), (6, 1), (8, 1), (9, None)]
+    assert rows(replay.in_play(tagged, rounds), "tick") == [(4,), (5,), (6,), (8,)]
+    again = replay.replay_shots(tagged.filter("shot"), rounds)
+    assert rows(again, "tick") == [(6,)] and plan(again).count("Window") == plan(tagged).count("Window")
+
+
+def test_replay_scenes_read_no_sample_twice(spark):
+    """What the lists share is stored: the last plan reads no samples, and looks up no round."""
+    found = catalog.QUERIES["replay_scenes"].run(spark, "/root/testdata/sf0.001")
+    assert "bucketed_" not in plan(found) and plan(found).count("Generate") == 0
