@@ -12,7 +12,9 @@ from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import with_halo
 from sightline.operators.quantiles import quantiles
 from sightline.operators.sampling import stratified_sample
+from sightline.plans import adapters as A
 from sightline.plans import catalog
+from sightline.plans import windows as Q
 from tests.conftest import rows
 
 
@@ -250,3 +252,14 @@ def test_replay_scenes_read_no_sample_twice(spark):
     """What the lists share is stored: the last plan reads no samples, and looks up no round."""
     found = catalog.QUERIES["replay_scenes"].run(spark, "/root/testdata/sf0.001")
     assert "bucketed_" not in plan(found) and plan(found).count("Generate") == 0
+
+
+def test_one_measurement_makes_no_other(spark):
+    s = A.stored_samples(spark, "/root/testdata/sf0.001")
+    names = ("session_id", "entity_id", "label", "wall_aim_share")
+    one, found = Q.measured(s, *names[2:]), Q.measured(s, *names)
+    assert rows(found, *names) == rows(Q.entities(s), *names) != []
+    text = plan(one)
+    # no quantiles, no ordered helpers, and a window's features go from their ticks to the entity
+    assert "Expand" not in text and "Window" not in text and "yaw_speed" not in text
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 3
