@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators.context import lookback_pairs, ran_nearby
 from sightline.operators.joins import (
     anchor_windows,
     asof_join,
@@ -106,6 +108,20 @@ def test_windows_are_known_whole_before_they_are_written_out(spark, start):
     assert "Window" not in wt._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ticks_written_out_of_windows_are_not_broadcast(spark):
+    """A planner that takes a window's ticks to be as small as the window sends them through the driver."""
+    samples = ticks(spark).withColumns({c: F.col("tick").cast("double") for c in "xyz"}).withColumn("seq", F.col("tick"))
+    windows, wt = anchor_windows(samples, kills(spark, (1, 2, 20)), pre=8, post=2)
+    assert wt.count() == 11
+    pairs = lookback_pairs(windows, samples, first=-8, last=-2, stride=2)
+    assert pairs.count() == 4
+    heard = ran_nearby(windows, samples, span=4, speed=0.0, reach=1e9)
+    assert rows(heard, "victim_was_running") == [(True,)]
+    for df in (wt, pairs, heard):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin .*, Inner", plan), plan
+
+
 def test_reused_ids_pair_forward(spark):
     starts = spark.createDataFrame([(7, 100), (7, 300), (8, 50)], "id long, tick long")
     ends = spark.createDataFrame([(7, 90), (7, 150)], "id long, tick long")
