@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import replay
-from sightline.operators.cases import top_moments
+from sightline.operators.cases import moments_in_context, top_moments
 from sightline.operators.joins import asof_join
 from sightline.operators.motion import entity_deltas
 from sightline.operators.ordered import with_halo
@@ -15,6 +15,7 @@ from sightline.operators.sampling import stratified_sample
 from sightline.plans import adapters as A
 from sightline.plans import catalog
 from sightline.plans import windows as Q
+from sightline.session import staged
 from tests.conftest import rows
 
 
@@ -71,6 +72,18 @@ def test_top_k_limits_before_the_shuffle(spark):
     assert plan(stratified_sample(docs, ["g"], "id", 3)).count("WindowGroupLimit") == 2
 
 
+def test_windows_are_not_broadcast_to_moments(spark):
+    """A row per window: its file is small, its table in the driver's memory is not."""
+    features = spark.createDataFrame(
+        [(1, 2, f"1#{i}", 0.1 * i, 5.0) for i in range(5)],
+        "session_id long, entity_id long, window_uid string, aim_through_wall_share double, angle_at_first_visible double",
+    )
+    windows = staged(spark.createDataFrame([(f"1#{i}", 100 + i) for i in range(5)], "window_uid string, tick long"))
+    shown = moments_in_context(features, windows, k=2)
+    assert rows(shown, "window_uid", "tick", "place") == [("1#3", 103, 2), ("1#4", 104, 1)]
+    assert "Broadcast" not in plan(shown)
+
+
 def test_joins_are_equi_joins(spark, samples):
     right = samples.select("session_id", "entity_id", "tick", F.col("yaw").alias("near"))
     near = asof_join(samples, right, on="tick", by=("session_id", "entity_id"), take=("near",))
